@@ -33,9 +33,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), and whether they decode to the text."""
-    out = docs.withColumn("ids", byte_bpe.encode(F.col("text"), *BPE))
-    out = out.withColumn("decoded", byte_bpe.decode(F.col("ids"), *BPE))
-    return out.select("doc_id", byte_bpe.id_count(F.col("ids")).alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
+    both = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), byte_bpe.encode_and_decode(F.col("text"), *BPE).alias("b"))
+    return both.select("doc_id", byte_bpe.id_count(F.col("b.ids")).alias("n_tokens"), F.col("b.ids").alias("ids"), (F.col("b.decoded") == F.col("raw")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -15,7 +15,7 @@ independent, so ties, repeated rows, other columns and empty tables need no care
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,9 +28,9 @@ from pairlens.llm.common import by_value, text_bytes, worker_cache
 by_value(__name__)
 
 #: Pieces kept in a worker's memory; beyond that it starts anew. Affects time only.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 #: Characters of text encoded at once; one longer text is still encoded whole.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: Widest piece, in bytes, that goes through the batched tree.
 WIDE = 128
 NONE = np.int64(2**62)
@@ -163,9 +163,10 @@ class Vocabulary:
                 part = items[start : start + step]
                 self.cache.update(zip((x for x, _ in part), self.merge_many([x for _, x in part], width)))
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: Iterable[bytes]) -> list[bytes]:
         found, size, out = [], 0, []
-        for text in texts:
+        for raw in texts:
+            text = raw.decode("utf-8", "replace")
             found.append(self.find(text))
             size += len(text)
             if size >= BATCH_CHARS:
@@ -197,11 +198,15 @@ def encode(text: Column, vocabulary_path: str, pattern: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = vocabulary(lines, pattern)
         for batch in batches:
-            yield pd.Series(words.encode_batch([x.decode("utf-8", "replace") for x in batch]), dtype=object)
+            yield pd.Series(words.encode_batch(batch), dtype=object)
 
     return run(text_bytes(text))
 
 
+def decode_ids(ids: bytes, words: Vocabulary) -> bytes:
+    return b"".join(map(words.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(ids: Column, vocabulary_path: str, pattern: str) -> Column:
     """Bytes of packed ids, as binary."""
     with open(vocabulary_path, "rb") as file:
@@ -209,13 +214,28 @@ def decode(ids: Column, vocabulary_path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        get = vocabulary(lines, pattern).tokens.__getitem__
+        words = vocabulary(lines, pattern)
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else decode_ids(x, words) for x in batch], dtype=object)
 
     return run(ids)
 
 
+def encode_and_decode(text: Column, vocabulary_path: str, pattern: str) -> Column:
+    """A struct of packed ids and the bytes decoded from them, in one visit to Python."""
+    with open(vocabulary_path, "rb") as file:
+        lines = file.read()
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = vocabulary(lines, pattern)
+        for batch in batches:
+            ids = words.encode_batch(batch)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(x, words) for x in ids], dtype=object)})
+
+    return run(text_bytes(text))
+
+
 def ids_array(ids: Column) -> Column:
     """Packed ids as array<bigint>, without Python: two hex digits a byte, lowest byte first."""
     digits = F.hex(ids)

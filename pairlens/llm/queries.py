@@ -45,9 +45,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode(F.col("text"), *BPE).alias("ids"))
-    docs = docs.select("doc_id", "ids", byte_bpe.decode(F.col("ids"), *BPE).alias("decoded"))
-    return docs.select("doc_id", byte_bpe.id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode_and_decode(F.col("text"), *BPE).alias("b"))
+    return docs.select("doc_id", byte_bpe.id_count(F.col("b.ids")).alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2("b.decoded", 256).alias("decoded_sha256"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
