@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, toxicity
+from pairlens.llm import byte_bpe, decontaminate, near_dup, toxicity
 from pairlens.llm.common import durable, fresh, remainder, table
 from pairlens.llm.queries import BPE, GRAM, WINDOW
 
@@ -26,6 +26,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn(name, toxicity.assess(docs, model)["score"]).where(F.col(name) < TOXIC).drop(name)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group by five-word shingles at 0.8, all columns kept."""
+    return near_dup.keep_one(docs, width=5, percent=80)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark, all columns kept."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=WINDOW, gram=GRAM)
@@ -39,6 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("MinHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark),
     ("byte-level BPE", encode),
 ]

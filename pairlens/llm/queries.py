@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, sharding, topk, toxicity, warc
+from pairlens.llm import byte_bpe, decontaminate, near_dup, oracles, sharding, topk, toxicity, warc
 from pairlens.llm.common import durable, remainder, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -31,6 +31,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
+    out = near_dup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record for each page, written and read back."""
     archives = durable(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
@@ -64,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_warc": op7_warc,
         "op8_topk": op8_topk,
         "op9_byte_bpe": op9_byte_bpe,
@@ -71,5 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql
