@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, near_dup, oracles, sharding, topk, toxicity, warc
+from pairlens.llm import byte_bpe, decontaminate, maxent_lm, near_dup, oracles, sharding, topk, toxicity, warc
 from pairlens.llm.common import durable, remainder, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -31,6 +31,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; ids whose crc32 leaves 1 of 5 are held out from learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = remainder(F.col("doc_id"), 5)
+    model, counts = maxent_lm.fit(docs, F.coalesce(rest != 1, F.lit(True)))
+    out = maxent_lm.score(docs, model, counts)
+    held_out = F.coalesce(remainder(F.col("id"), 5) == 1, F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
     out = near_dup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -71,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op4_maxent_lm": op4_maxent_lm,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_warc": op7_warc,
         "op8_topk": op8_topk,
