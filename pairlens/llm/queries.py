@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, maxent_lm, near_dup, oracles, sharding, topk, toxicity, warc
+from pairlens.llm import byte_bpe, decontaminate, maxent_lm, near_dup, oracles, sharding, surrogates, topk, toxicity, warc
 from pairlens.llm.common import durable, remainder, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SHARDS = 40
 WINDOW, GRAM = 10, 5
+#: The key of the surrogates; a deployment passes its own secret to ``surrogates.replace``.
+SURROGATE_KEY = "pairlens"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, SURROGATE_KEY, count="n_entities")
+
+
 def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document; ids whose crc32 leaves 1 of 5 are held out from learning."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op3_surrogates": op3_surrogates,
         "op4_maxent_lm": op4_maxent_lm,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_warc": op7_warc,
