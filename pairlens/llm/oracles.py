@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pairlens.llm.licenses import TEMPLATES, compiled
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: RFC 4648 base32.
 BASE32 = UPPER + "234567"
@@ -82,8 +84,34 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 
+def license_matches(least: float = 0.8) -> str:
+    rows = ", ".join(f"('{t.name}', [{', '.join(repr(b) for b in t.bigrams)}])" for t in compiled(TEMPLATES))
+    return rf"""
+WITH t(license, bigrams) AS (VALUES {rows}
+), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), p AS (
+  SELECT r, unnest(list_distinct(list_concat([text], list_concat(regexp_split_to_array(text, '
+[ 	]*
+'), list_concat(string_split(text, chr(10)),
+    string_split(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))))))) AS passage FROM d
+), w AS (
+  SELECT r, list_filter(string_split(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM p WHERE passage ILIKE '%licen%' OR passage ILIKE '%permission%' OR passage ILIKE '%software%' OR passage ILIKE '%source%'
+), g AS (
+  SELECT r, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1
+), m AS (
+  SELECT r, license, max(2.0::DOUBLE * len(list_intersect(grams, bigrams)) / (len(grams) + len(bigrams))) AS score FROM g, t
+  WHERE len(grams) BETWEEN len(bigrams) * {least / (2 - least)} - 1e-9 AND len(bigrams) / {least / (2 - least)} + 1e-9 GROUP BY ALL
+), b AS (
+  SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, arg_min(license, struct_pack(a := -score, b := license)) AS best, max(score) AS score
+  FROM m WHERE score >= {least} - 1e-12 GROUP BY r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, best AS best_license, round(score, 6) AS best_score FROM d LEFT JOIN b ON b.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_licenses": license_matches(),
         "op6_near_duplicates": near_duplicates(),
         "op7_warc": warc_records(),
         "op8_topk": top_k(),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, maxent_lm, near_dup, oracles, sharding, surrogates, topk, toxicity, warc
+from pairlens.llm import byte_bpe, decontaminate, licenses, maxent_lm, near_dup, oracles, sharding, surrogates, topk, toxicity, warc
 from pairlens.llm.common import durable, remainder, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -49,6 +49,14 @@ def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document."""
+    docs = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.transform("licenses", lambda m: m["license"])
+    best = F.get(F.col("licenses"), 0)
+    return docs.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_sort(names), ",").alias("licenses"), best["license"].alias("best_license"), F.round(best["score"], 6).alias("best_score"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more."""
     out = near_dup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_surrogates": op3_surrogates,
         "op4_maxent_lm": op4_maxent_lm,
+        "op5_licenses": op5_licenses,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_warc": op7_warc,
         "op8_topk": op8_topk,
