@@ -6,9 +6,9 @@ normalised to lower-case words, and meets only the templates whose number of
 bigrams lies within the bounds beyond which the coefficient cannot reach the
 threshold.
 
-Before any passage is cut, a text must hold one of a few anchor words.  They are
-chosen so that each template keeps too few bigrams without one of them for a
-match, hence a text without them matches nothing: the test loses nothing.
+Before a text is cut into passages, and a passage into words, it must hold one of
+a few anchor words.  They are chosen so that each template keeps too few bigrams
+without one of them for a match: the test loses nothing.
 
 Defined results: null, empty and wordless texts match nothing; a passage of one
 word has no bigrams and matches nothing.  A template that several passages match
@@ -84,8 +84,8 @@ def anchors(templates: list[Template], least: float) -> list[str]:
     chosen: list[str] = []
     while True:
         open_ = [k for k, b in enumerate(bare) if len(b) >= needed[k]]
-        if not open_:
-            return chosen
+        if not open_:  # words are looked for as substrings, so one that holds another is superfluous
+            return [w for w in chosen if not any(v != w and v in w for v in chosen)]
         gain: dict[str, float] = {}
         for k in open_:
             for words in bare[k].values():
@@ -121,9 +121,13 @@ def matches(text: Column, templates: dict[str, list[str]] | None = None, least:
     ratio, empty = least / (2 - least), F.array().cast("array<struct<license:string,score:double>>")
     sizes = [len(t.bigrams) for t in known]
     low, high = math.ceil(min(sizes) * ratio - 1e-9), math.floor(max(sizes) / ratio + 1e-9)
-    hint, lowered = F.lit(False), F.lower(text)
-    for word in anchors(known, least):
-        hint = hint | lowered.contains(word)
+    signs = anchors(known, least)
+
+    def hint(part: Column) -> Column:
+        lowered, out = F.lower(part), F.lit(False)
+        for word in signs:
+            out = out | lowered.contains(word)
+        return out
 
     def of(grams: Column) -> Column:
         size = F.size(grams)
@@ -131,13 +135,13 @@ def matches(text: Column, templates: dict[str, list[str]] | None = None, least:
         return F.transform(near, lambda t: F.struct(t["license"].alias("license"), (2.0 * F.size(F.array_intersect(grams, t["bigrams"])) / (size + t["n"])).alias("score")))
 
     # a bigram takes at least three signs, so shorter passages need not be cut into words
-    worth = F.filter(passages(text), lambda p: F.length(p) >= 2 * low + 1)
+    worth = F.filter(passages(text), lambda p: (F.length(p) >= 2 * low + 1) & hint(p))
     sets = F.filter(F.transform(worth, bigrams), lambda g: F.size(g).between(max(1, low), high))
     found = F.filter(F.flatten(F.transform(sets, of)), lambda m: m["score"] >= least - 1e-12)
     names = F.array_distinct(F.transform(found, lambda m: m["license"]))
     best = F.transform(names, lambda x: F.struct((-F.array_max(F.transform(F.filter(found, lambda m: m["license"] == x), lambda m: m["score"]))).alias("minus"), x.alias("license")))
     ranked = F.transform(F.array_sort(best), lambda m: F.struct(m["license"].alias("license"), (-m["minus"]).alias("score")))
-    return F.when(hint, ranked).otherwise(empty)
+    return F.when(hint(text), ranked).otherwise(empty)
 
 
 def scan(docs: DataFrame, *, text: str = "text", output: str = "licenses", templates: dict[str, list[str]] | None = None, least: float = 0.8) -> DataFrame:
