@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import byte_bpe, decontaminate, near_dup, toxicity
+from pairlens.llm import byte_bpe, decontaminate, near_dup, surrogates, toxicity
 from pairlens.llm.common import durable, fresh, remainder, table
-from pairlens.llm.queries import BPE, GRAM, WINDOW
+from pairlens.llm.queries import BPE, GRAM, SURROGATE_KEY, WINDOW
 
 #: Documents of at least this probability are rejected as toxic.
 TOXIC = 0.7
@@ -36,6 +36,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=WINDOW, gram=GRAM)
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates; n_chars, where there is one, follows the new text."""
+    out = surrogates.replace(docs, SURROGATE_KEY)
+    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), and whether they decode to the text."""
     both = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), byte_bpe.encode_and_decode(F.col("text"), *BPE).alias("b"))
@@ -46,6 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic),
     ("MinHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark),
+    ("PII surrogates", replace_personal_data),
     ("byte-level BPE", encode),
 ]
 
