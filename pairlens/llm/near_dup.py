@@ -10,12 +10,14 @@ that remain are skipped.  Within a list, collisions are counted over whole
 signatures.
 
 Lists never become all their pairs: a list gives a spanning forest over its best
-counts, its pairs are confirmed on full shingle sets, and confirmed links join
-nodes to components.  Lists that still hold several components then give every
-pair between components that agrees on ``threshold`` coordinates, so what the
-forest misses is found.  Lists longer than ``BLOCK`` are divided: in the first
-round each part meets a hub of the nodes whose values are commonest, in the
-second every part meets every other.
+counts, whose pairs are confirmed on full shingle sets; a list longer than
+``BLOCK`` is divided into parts that each meet a hub of the nodes whose values
+are commonest.  Confirmed links join nodes to components, and candidates, linked
+or not, to families (all of a long list are one family): no link can leave a
+family.  In families that hold several components, every node outside the
+largest one is held against all others of another component on full sets, in
+blocks of bounded size, and a block gives only links that join components.  So
+what the forest misses is found, at a cost of blocks, not of pairs sent around.
 
 A pair at the least similarity of 0.8 reaches the threshold of 26 of 48 with a
 chance of 0.99999; every link reported is confirmed exactly.
@@ -43,7 +45,7 @@ from pairlens.llm.components import components
 
 by_value(__name__)
 
-COORDINATES, THRESHOLD, BLOCK = 48, 26, 1024
+COORDINATES, THRESHOLD, BLOCK, BLOCK_BYTES = 48, 26, 1024, 6_000_000
 CACHED_WORDS = 300_000
 #: Odd multipliers and offsets of the hash functions, from a fixed seed.
 FUNCTIONS = np.random.default_rng(20).integers(0, 2**64, (2, COORDINATES), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -124,26 +126,25 @@ def forest(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def pairs_of_list(rows: pd.DataFrame, least: int, share: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of_list(rows: pd.DataFrame, least: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs that one list, or a pair of its parts, gives."""
     signs = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), COORDINATES)
-    sizes, classes = rows["n"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
+    sizes = rows["n"].to_numpy(np.int64)
     if len(rows) == 2:
-        fine = classes[0] != classes[1] and sizes.min() >= share * sizes.max() and (signs[0] == signs[1]).sum() >= least
+        fine = sizes.min() >= share * sizes.max() and (signs[0] == signs[1]).sum() >= least
         return (np.array([0]), np.array([1])) if fine else (np.empty(0, np.int64),) * 2
     counts = np.zeros((len(rows), len(rows)), np.int16)
     for k in range(COORDINATES):
         column = signs[:, k]
         counts += column[:, None] == column
-    # a link needs sizes in this proportion; nodes of one component need none
-    counts[(sizes[:, None] < share * sizes) | (sizes < share * sizes[:, None]) | (classes[:, None] == classes)] = 0
-    if all_pairs:
-        return np.nonzero(np.triu(counts >= least, 1))
+    # a link needs sizes in this proportion
+    counts[(sizes[:, None] < share * sizes) | (sizes < share * sizes[:, None])] = 0
+    np.fill_diagonal(counts, 0)
     return forest(counts, least)
 
 
-def pairs_of_lists(lists: DataFrame, least: int, share: float, all_pairs: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that the lists give. ``lists``: list, node, n, component, signature."""
+def pairs_of_lists(lists: DataFrame, least: int, share: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that the lists give. ``lists``: list, node, n, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -160,7 +161,7 @@ def pairs_of_lists(lists: DataFrame, least: int, share: float, all_pairs: bool)
         a, b, nodes = [], [], rows["node"].to_numpy(np.int64)
         for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if high - low > 1:
-                left, right = pairs_of_list(rows.iloc[low:high], least, share, all_pairs)
+                left, right = pairs_of_list(rows.iloc[low:high], least, share)
                 a.append(nodes[low:high][left])
                 b.append(nodes[low:high][right])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -174,32 +175,113 @@ def pairs_of_lists(lists: DataFrame, least: int, share: float, all_pairs: bool)
 RANKS = [0.0] + [1 - m / 10**e for e in range(1, 10) for m in (5, 2, 1)]
 
 
-def divided(lists: DataFrame, everything: bool) -> DataFrame:
-    """The lists (key, node, weight, ...) that still hold several components, column ``list`` naming each or its parts.
+def divided(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists (key, node, weight, ...) of two or more nodes, column ``list`` naming each or its parts; and links (a, b) that make a long list one family.
 
-    A part and what it meets are about two ``BLOCK`` rows. A list of n rows gives
-    n / BLOCK parts that meet the hub, or with ``everything`` all pairs of parts.
+    A part and the hub it meets are about two ``BLOCK`` rows, and a list of n
+    rows gives n / BLOCK parts.
     """
-    stats = lists.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    stats = durable(stats.select("key", "length"), "lists")
+    stats = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "lists")
     rows = lists.join(stats, "key")
-    wanted = ["list", "node", "n", "component", "signature"]
-    short = rows.where(F.col("length") <= 2 * BLOCK).withColumn("list", F.xxhash64("key", F.lit(-1), F.lit(-1)))
+    wanted = ["list", "node", "n", "signature"]
+    short = rows.where(F.col("length") <= 2 * BLOCK).withColumn("list", F.xxhash64("key", F.lit(-1)))
     long = rows.where(F.col("length") > 2 * BLOCK).withColumn("parts", F.ceil(F.col("length") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    if everything:
-        meets = F.transform(every, lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    else:
-        # weights are drawn apart by the node, so that equal ones do not crowd into the hub
-        long = long.withColumn("weight", F.col("weight") + F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**20)) / 2**20)
-        edges = long.groupBy("key", "length").agg(F.percentile_approx("weight", RANKS, 100_000).alias("edges"))
-        fits = F.array_position(F.transform(F.array(*map(F.lit, RANKS)), lambda r: (1 - r) * F.col("length") <= BLOCK), True)
-        edges = edges.select("key", F.element_at("edges", fits.cast("int")).alias("edge"))
-        long = long.join(edges, "key")
-        own = F.array(F.struct(F.col("part").alias("i"), F.lit(-1).alias("j")))
-        meets = F.when(F.col("weight") >= F.col("edge"), F.transform(every, lambda p: F.struct(p.alias("i"), F.lit(-1).alias("j")))).otherwise(own)
-    long = long.withColumn("meet", F.explode(meets)).withColumn("list", F.xxhash64("key", "meet.i", "meet.j"))
-    return short.select(wanted).unionByName(long.select(wanted))
+    # weights are drawn apart by the node, so that equal ones do not crowd into the hub
+    long = long.withColumn("weight", F.col("weight") + F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**20)) / 2**20)
+    edges = long.groupBy("key", "length").agg(F.percentile_approx("weight", RANKS, 100_000).alias("edges"))
+    fits = F.array_position(F.transform(F.array(*map(F.lit, RANKS)), lambda r: (1 - r) * F.col("length") <= BLOCK), True)
+    edges = edges.select("key", F.element_at("edges", fits.cast("int")).alias("edge"))
+    long = long.join(edges, "key")
+    meets = F.when(F.col("weight") >= F.col("edge"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    family = long.select(F.col("least").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
+    long = long.withColumn("meet", F.explode(meets)).withColumn("list", F.xxhash64("key", "meet"))
+    return short.select(wanted).unionByName(long.select(wanted)), family
+
+
+def blocks_of(families: DataFrame) -> DataFrame:
+    """(block, left, node, component, raw): what must be held against each other. ``families``: family, node, component, raw; several components each.
+
+    A block holds nodes outside a family's largest component (``left``) and any
+    of its nodes, about ``BLOCK`` rows or ``BLOCK_BYTES`` bytes of either.
+    """
+    held = families.select("family", "node", "component", F.octet_length("raw").cast("long").alias("bytes"))
+    sizes = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    total = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.max_by("b", F.struct("n", "component")).alias("main_b"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
+    total = total.select("family", "main", parts(F.col("n"), F.col("b")).alias("rights"), parts(F.col("n") - F.col("main_n"), F.col("b") - F.col("main_b")).alias("lefts"))
+    rows = families.join(total, "family")
+    spot = lambda count: F.pmod(F.xxhash64("node", F.lit(3)), count).cast("int")
+    every = lambda count: F.sequence(F.lit(0), count - 1)
+    as_left = rows.where("component != main").withColumn("i", spot(F.col("lefts"))).withColumn("j", F.explode(every(F.col("rights")))).withColumn("left", F.lit(True))
+    as_right = rows.withColumn("j", spot(F.col("rights"))).withColumn("i", F.explode(every(F.col("lefts")))).withColumn("left", F.lit(False))
+    both = as_left.unionByName(as_right)
+    return both.select(F.xxhash64("family", "i", "j").alias("block"), "left", "node", "component", "raw")
+
+
+def links_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
+    """Places of all pairs whose full sets are similar enough and whose components differ. Items: (component, set)."""
+    if len(left) * len(right) <= 16:
+        for i, (c, x) in enumerate(left):
+            for j, (d, y) in enumerate(right):
+                if c != d and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        yield i, j
+        return
+    sizes = [np.array([len(s) for _, s in side]) for side in (left, right)]
+    owners = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
+    values = [np.concatenate([s for _, s in side]) for side in (left, right)]
+    shared = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)  # counts stay below 2**24, so float32 is exact
+    for start in range(0, len(shared), 2048):
+        part = shared[start : start + 2048]
+        tables = []
+        for side, own, own_values in zip((left, right), owners, values):
+            at = np.minimum(np.searchsorted(part, own_values), len(part) - 1)
+            there = part[at] == own_values
+            table = np.zeros((len(side), len(part)), np.float32)
+            table[own[there], at[there]] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+    both = both.astype(np.int64)
+    fine = 100 * both >= percent * (sizes[0][:, None] + sizes[1] - both)
+    fine &= np.array([c for c, _ in left])[:, None] != np.array([c for c, _ in right])
+    yield from zip(*(x.tolist() for x in np.nonzero(fine)))
+
+
+def links_in_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within each block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        name, left, right, nodes = None, [], [], ([], [])
+
+        def close() -> pd.DataFrame:
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            out = []
+            for i, j in links_between(left, right, percent) if left and right else ():
+                a, b = find(left[i][0]), find(right[j][0])
+                if a != b:
+                    root[a] = b
+                    out.append((nodes[0][i], nodes[1][j]))
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        for batch in batches:
+            for block, is_left, node, component, raw in zip(*(batch[c] for c in ("block", "left", "node", "component", "raw"))):
+                if block != name:
+                    yield close()
+                    name, left, right, nodes = block, [], [], ([], [])
+                (left if is_left else right).append((component, shingle_set(raw, width, known)))
+                nodes[0 if is_left else 1].append(node)
+        yield close()
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(run, "a long, b long")
 
 
 def posted(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -259,14 +341,15 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
     source = docs.select(F.col(id_column).alias("id"), text_bytes(F.col(text)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
     texts = source.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(F.first("raw").alias("raw"))
     texts = durable(texts, "texts")
-    members = able.select("node", "n", "signature", "weight", F.explode("keys").alias("key"))
-
-    pairs = durable(pairs_of_lists(divided(members.withColumn("component", F.col("node")), False), THRESHOLD, percent / 100, False), "pairs")
+    lists, hot = divided(able.select("node", "n", "signature", "weight", F.explode("keys").alias("key")))
+    pairs = durable(pairs_of_lists(lists, THRESHOLD, percent / 100), "pairs")
     links = durable(confirmed(pairs, texts, width, percent), "links")
     found = durable(components(links), "components")
-    held = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = pairs_of_lists(divided(held, True), THRESHOLD, percent / 100, True).join(pairs, ["a", "b"], "left_anti")
-    late = durable(confirmed(more, texts, width, percent), "late-links")
+    families = components(pairs.unionByName(hot)).select("node", F.col("component").alias("family"))
+    families = durable(families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "families")
+    mixed = families.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("family")
+    blocks = blocks_of(families.join(mixed, "family").join(texts, "node"))
+    late = durable(links_in_blocks(blocks, width, percent), "late-links")
     if not late.isEmpty():
         found = durable(components(links.unionByName(late)), "components")
 
