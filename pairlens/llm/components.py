@@ -19,7 +19,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     # large: each higher neighbour joins the least one known; small: each lower neighbour and the node itself do
     moved = both.join(least, "u")
     out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    out = out.where(F.col("u") != F.col("v"))
+    return out if large else out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

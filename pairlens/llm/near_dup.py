@@ -9,18 +9,17 @@ first, only the prefix that such a pair cannot avoid is kept; the long lists
 that remain are skipped.  Within a list, collisions are counted over whole
 signatures.
 
-Lists never become all their pairs: a list gives a spanning forest over its best
-counts, whose pairs are confirmed on full shingle sets; a list longer than
-``BLOCK`` is divided into parts that each meet a hub of the nodes whose values
-are commonest.  Confirmed links join nodes to components, and candidates, linked
-or not, to families (all of a long list are one family): no link can leave a
-family.  In families that hold several components, every node outside the
-largest one is held against all others of another component on full sets, in
-blocks of bounded size, and a block gives only links that join components.  So
-what the forest misses is found, at a cost of blocks, not of pairs sent around.
+Lists never become all their pairs: a list gives a spanning forest of the pairs
+that agree often enough, and a list longer than ``BLOCK`` links all its nodes.
+Nodes so linked are a family, and no similar pair can leave one.  Families are
+then settled on full shingle sets, in blocks of bounded size: a small family is
+one block; a large one is divided into parts that each meet a hub of the nodes
+whose values are commonest, and afterwards every node outside its largest
+component meets all others.  Blocks give only links that join components, so
+what travels grows with nodes and blocks, not with pairs.
 
 A pair at the least similarity of 0.8 reaches the threshold of 26 of 48 with a
-chance of 0.99999; every link reported is confirmed exactly.
+chance of 0.99999; every link is confirmed exactly.
 
 Defined results: texts without words, null ones among them, have an empty set
 and are linked with nothing.  A text of fewer words than a shingle has its whole
@@ -37,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import bounded_batches, by_value, durable, fresh, text_bytes
@@ -45,7 +44,9 @@ from pairlens.llm.components import components
 
 by_value(__name__)
 
-COORDINATES, THRESHOLD, BLOCK, BLOCK_BYTES = 48, 26, 1024, 6_000_000
+COORDINATES, THRESHOLD = 48, 26
+#: Nodes, and bytes of text, of a block at most, about; nodes of a hub.
+BLOCK, BLOCK_BYTES, HUB = 1024, 6_000_000, 256
 CACHED_WORDS = 300_000
 #: Odd multipliers and offsets of the hash functions, from a fixed seed.
 FUNCTIONS = np.random.default_rng(20).integers(0, 2**64, (2, COORDINATES), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -126,14 +127,29 @@ def forest(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def pairs_of_list(rows: pd.DataFrame, least: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs that one list, or a pair of its parts, gives."""
-    signs = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), COORDINATES)
-    sizes = rows["n"].to_numpy(np.int64)
-    if len(rows) == 2:
+class Sets(dict):
+    """Disjoint sets of nodes, each named by its least."""
+
+    def find(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = x = self[self[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+
+    def links(self) -> pd.DataFrame:
+        rows = [(self.find(x), x) for x in self]
+        return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
+
+
+def pairs_of_list(signs: np.ndarray, sizes: np.ndarray, least: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that one list gives."""
+    if len(signs) == 2:
         fine = sizes.min() >= share * sizes.max() and (signs[0] == signs[1]).sum() >= least
         return (np.array([0]), np.array([1])) if fine else (np.empty(0, np.int64),) * 2
-    counts = np.zeros((len(rows), len(rows)), np.int16)
+    counts = np.zeros((len(signs), len(signs)), np.int16)
     for k in range(COORDINATES):
         column = signs[:, k]
         counts += column[:, None] == column
@@ -143,143 +159,149 @@ def pairs_of_list(rows: pd.DataFrame, least: int, share: float) -> tuple[np.ndar
     return forest(counts, least)
 
 
-def pairs_of_lists(lists: DataFrame, least: int, share: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that the lists give. ``lists``: list, node, n, signature."""
+def candidate_links(lists: DataFrame, least: int, share: float) -> DataFrame:
+    """Links (a, b) of nodes that agree often enough, joined to disjoint sets in each task. ``lists``: list, node, n, signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, sets = None, Sets()
+
+        def take(rows: pd.DataFrame, starts: np.ndarray) -> None:
+            if not len(rows):
+                return
+            signs = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(len(rows), COORDINATES)
+            nodes, sizes = rows["node"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if high - low > 1:
+                    left, right = pairs_of_list(signs[low:high], sizes[low:high], least, share)
+                    for a, b in zip(nodes[low:high][left].tolist(), nodes[low:high][right].tolist()):
+                        sets.join(a, b)
+
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            names = held["list"].to_numpy()
+            names = held["key"].to_numpy()
             starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            yield give(held.iloc[: starts[-1]], starts)
+            take(held.iloc[: starts[-1]], starts)
             held = held.iloc[starts[-1] :].reset_index(drop=True)  # the last list may go on
         if held is not None:
-            yield give(held, np.array([0, len(held)]))
+            take(held, np.array([0, len(held)]))
+        yield sets.links()
+
+    return lists.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+
+
+def family_links(able: DataFrame, least: int, share: float) -> DataFrame:
+    """Links (a, b) that hold families together: candidates of short lists, and all nodes of long ones."""
+    lists = able.select("node", "n", "signature", F.explode("keys").alias("key"))
+    stats = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "lists")
+    short = lists.join(stats.where(F.col("length") <= BLOCK).select("key"), "key")
+    long = able.select("node", F.explode("keys").alias("key")).join(stats.where(F.col("length") > BLOCK).select("key", "least"), "key")
+    return candidate_links(short, least, share).unionByName(long.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
 
-    def give(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        a, b, nodes = [], [], rows["node"].to_numpy(np.int64)
-        for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if high - low > 1:
-                left, right = pairs_of_list(rows.iloc[low:high], least, share)
-                a.append(nodes[low:high][left])
-                b.append(nodes[low:high][right])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    rows = lists.repartition("list").sortWithinPartitions("list", "node")
-    return rows.mapInPandas(run, "a long, b long").where("a != b").distinct()
+#: Shares of a family below its hub; the hub is the first that leaves at most ``HUB`` nodes.
+RANKS = [1 - m / 10**e for e in range(1, 10) for m in (5, 2, 1)]
 
 
-#: Shares of a list below its hub; the hub is the first that leaves at most ``BLOCK`` nodes.
-RANKS = [0.0] + [1 - m / 10**e for e in range(1, 10) for m in (5, 2, 1)]
+def _parts(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
-def divided(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists (key, node, weight, ...) of two or more nodes, column ``list`` naming each or its parts; and links (a, b) that make a long list one family.
+def _spot(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(3)), count).cast("int")
 
-    A part and the hub it meets are about two ``BLOCK`` rows, and a list of n
-    rows gives n / BLOCK parts.
+
+def _every(count: Column) -> Column:
+    return F.sequence(F.lit(0), count - 1)
+
+
+def family_blocks(members: DataFrame) -> DataFrame:
+    """(block, left, node, component, raw) of all families: small ones whole, large ones in parts with their hub.
+
+    ``members``: family, node, weight, raw. Every node is its own component.
     """
-    stats = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "lists")
-    rows = lists.join(stats, "key")
-    wanted = ["list", "node", "n", "signature"]
-    short = rows.where(F.col("length") <= 2 * BLOCK).withColumn("list", F.xxhash64("key", F.lit(-1)))
-    long = rows.where(F.col("length") > 2 * BLOCK).withColumn("parts", F.ceil(F.col("length") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    totals = members.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).alias("parts"), F.count(F.lit(1)).alias("length"))
+    totals = durable(totals.where("length > 1"), "families")
+    small = members.join(totals.where("parts = 1").select("family"), "family").withColumn("i", F.lit(-1))
+    large = members.join(totals.where("parts > 1"), "family")
     # weights are drawn apart by the node, so that equal ones do not crowd into the hub
-    long = long.withColumn("weight", F.col("weight") + F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**20)) / 2**20)
-    edges = long.groupBy("key", "length").agg(F.percentile_approx("weight", RANKS, 100_000).alias("edges"))
-    fits = F.array_position(F.transform(F.array(*map(F.lit, RANKS)), lambda r: (1 - r) * F.col("length") <= BLOCK), True)
-    edges = edges.select("key", F.element_at("edges", fits.cast("int")).alias("edge"))
-    long = long.join(edges, "key")
-    meets = F.when(F.col("weight") >= F.col("edge"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    family = long.select(F.col("least").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    long = long.withColumn("meet", F.explode(meets)).withColumn("list", F.xxhash64("key", "meet"))
-    return short.select(wanted).unionByName(long.select(wanted)), family
-
-
-def blocks_of(families: DataFrame) -> DataFrame:
-    """(block, left, node, component, raw): what must be held against each other. ``families``: family, node, component, raw; several components each.
-
-    A block holds nodes outside a family's largest component (``left``) and any
-    of its nodes, about ``BLOCK`` rows or ``BLOCK_BYTES`` bytes of either.
+    large = large.withColumn("weight", F.col("weight") + F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**20)) / 2**20)
+    edges = large.groupBy("family", "length").agg(F.percentile_approx("weight", RANKS, 100_000).alias("edges"))
+    fits = F.array_position(F.transform(F.array(*map(F.lit, RANKS)), lambda r: (1 - r) * F.col("length") <= HUB), True)
+    large = large.join(edges.select("family", F.element_at("edges", fits.cast("int")).alias("edge")), "family")
+    large = large.withColumn("i", F.explode(F.when(F.col("weight") >= F.col("edge"), _every(F.col("parts"))).otherwise(F.array(_spot(F.col("parts"))))))
+    wanted = [F.xxhash64("family", "i").alias("block"), F.lit(False).alias("left"), "node", F.col("node").alias("component"), "raw"]
+    return small.select(*wanted).unionByName(large.select(*wanted))
+
+
+def stray_blocks(members: DataFrame) -> DataFrame:
+    """(block, left, node, component, raw): nodes outside their family's largest component (``left``) against all its nodes.
+
+    ``members``: family, node, component, raw of families in several parts and components.
     """
-    held = families.select("family", "node", "component", F.octet_length("raw").cast("long").alias("bytes"))
-    sizes = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    total = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("main_n"), F.max_by("b", F.struct("n", "component")).alias("main_b"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("int")
-    total = total.select("family", "main", parts(F.col("n"), F.col("b")).alias("rights"), parts(F.col("n") - F.col("main_n"), F.col("b") - F.col("main_b")).alias("lefts"))
-    rows = families.join(total, "family")
-    spot = lambda count: F.pmod(F.xxhash64("node", F.lit(3)), count).cast("int")
-    every = lambda count: F.sequence(F.lit(0), count - 1)
-    as_left = rows.where("component != main").withColumn("i", spot(F.col("lefts"))).withColumn("j", F.explode(every(F.col("rights")))).withColumn("left", F.lit(True))
-    as_right = rows.withColumn("j", spot(F.col("rights"))).withColumn("i", F.explode(every(F.col("lefts")))).withColumn("left", F.lit(False))
-    both = as_left.unionByName(as_right)
-    return both.select(F.xxhash64("family", "i", "j").alias("block"), "left", "node", "component", "raw")
-
-
-def links_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Places of all pairs whose full sets are similar enough and whose components differ. Items: (component, set)."""
-    if len(left) * len(right) <= 16:
-        for i, (c, x) in enumerate(left):
-            for j, (d, y) in enumerate(right):
-                if c != d and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        yield i, j
-        return
-    sizes = [np.array([len(s) for _, s in side]) for side in (left, right)]
-    owners = [np.repeat(np.arange(len(side)), n) for side, n in zip((left, right), sizes)]
-    values = [np.concatenate([s for _, s in side]) for side in (left, right)]
-    shared = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw")).alias("b"))
+    main = F.struct("n", "component")
+    total = sizes.groupBy("family").agg(F.max_by("component", main).alias("main"), F.max_by("n", main).alias("main_n"), F.max_by("b", main).alias("main_b"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    total = total.select("family", "main", _parts(F.col("n"), F.col("b")).alias("rights"), _parts(F.col("n") - F.col("main_n"), F.col("b") - F.col("main_b")).alias("lefts"))
+    rows = members.join(total, "family")
+    as_left = rows.where("component != main").withColumn("i", _spot(F.col("lefts"))).withColumn("j", F.explode(_every(F.col("rights")))).withColumn("left", F.lit(True))
+    as_right = rows.withColumn("j", _spot(F.col("rights"))).withColumn("i", F.explode(_every(F.col("lefts")))).withColumn("left", F.lit(False))
+    return as_left.unionByName(as_right).select(F.xxhash64("family", "i", "j").alias("block"), "left", "node", "component", "raw")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of one side with every set of the other."""
+    same = left is right
+    values = [np.concatenate(side) for side in ((left,) if same else (left, right))]
+    if same:
+        shared, times = np.unique(values[0], return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(*map(np.unique, values), assume_unique=True)
     both = np.zeros((len(left), len(right)), np.float32)  # counts stay below 2**24, so float32 is exact
     for start in range(0, len(shared), 2048):
         part = shared[start : start + 2048]
         tables = []
-        for side, own, own_values in zip((left, right), owners, values):
-            at = np.minimum(np.searchsorted(part, own_values), len(part) - 1)
-            there = part[at] == own_values
+        for side, own in zip((left, right), values):
+            at = np.minimum(np.searchsorted(part, own), len(part) - 1)
+            there = part[at] == own
             table = np.zeros((len(side), len(part)), np.float32)
-            table[own[there], at[there]] = 1
+            table[np.repeat(np.arange(len(side)), list(map(len, side)))[there], at[there]] = 1
             tables.append(table)
-        both += tables[0] @ tables[1].T
-    both = both.astype(np.int64)
-    fine = 100 * both >= percent * (sizes[0][:, None] + sizes[1] - both)
-    fine &= np.array([c for c, _ in left])[:, None] != np.array([c for c, _ in right])
-    yield from zip(*(x.tolist() for x in np.nonzero(fine)))
+        both += tables[0] @ tables[-1].T
+    return both.astype(np.int64)
 
 
-def links_in_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components within each block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        name, left, right, nodes = None, [], [], ([], [])
-
-        def close() -> pd.DataFrame:
-            root: dict[int, int] = {}
+def settle(sets: Sets, left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> None:
+    """Join the components of all similar pairs. Items: (node, component, shingles)."""
+    if len(left) * len(right) <= 64:
+        for i, (_, c, x) in enumerate(left):
+            for _, d, y in right[i + 1 :] if left is right else right:
+                if sets.find(c) != sets.find(d) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        sets.join(c, d)
+        return
+    one = [s for *_, s in left]
+    both = common_counts(one, one if left is right else [s for *_, s in right])
+    sizes = [np.array([len(s) for *_, s in side]) for side in (left, right)]
+    for i, j in zip(*(x.tolist() for x in np.nonzero(100 * both >= percent * (sizes[0][:, None] + sizes[1] - both)))):
+        sets.join(left[i][1], right[j][1])
 
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = x = root[root[x]]
-                return x
 
-            out = []
-            for i, j in links_between(left, right, percent) if left and right else ():
-                a, b = find(left[i][0]), find(right[j][0])
-                if a != b:
-                    root[a] = b
-                    out.append((nodes[0][i], nodes[1][j]))
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def links_in_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, joined to disjoint sets in each task."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, sets = WordHashes(), Sets()
+        name, left, right = None, [], []
         for batch in batches:
-            for block, is_left, node, component, raw in zip(*(batch[c] for c in ("block", "left", "node", "component", "raw"))):
+            for block, is_left, node, component, raw in zip(*(batch[c].tolist() for c in ("block", "left", "node", "component", "raw"))):
                 if block != name:
-                    yield close()
-                    name, left, right, nodes = block, [], [], ([], [])
-                (left if is_left else right).append((component, shingle_set(raw, width, known)))
-                nodes[0 if is_left else 1].append(node)
-        yield close()
+                    settle(sets, left or right, right, percent)
+                    name, left, right = block, [], []
+                (left if is_left else right).append((node, component, shingle_set(raw, width, known)))
+        settle(sets, left or right, right, percent)
+        yield sets.links()
 
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(run, "a long, b long")
 
@@ -302,31 +324,6 @@ def posted(nodes: DataFrame, threshold: int) -> DataFrame:
     return own.join(nodes.select("node", "n", "signature"), "node")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-
-    @F.pandas_udf("boolean")
-    def similar(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        known, held = WordHashes(), {}
-
-        def of(node: int, raw: bytes) -> np.ndarray:
-            if node not in held:
-                if len(held) >= 64:
-                    held.clear()
-                held[node] = shingle_set(raw, width, known)
-            return held[node]
-
-        for a, raw_a, b, raw_b in batches:
-            out = []
-            for x, y in ((of(i, r), of(j, s)) for i, r, j, s in zip(a, raw_a, b, raw_b)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.Series(out, dtype=bool)
-
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("raw_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("raw").alias("raw_b")), "b")
-    return rows.where(similar("a", "raw_a", "b", "raw_b")).select("a", "b")
-
-
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, text_hash, n (set size), component (least id reachable, its own included) of every row.
 
@@ -337,20 +334,21 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
     named = rows.where("n > 0").groupBy("set_hash").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("id").alias("id"), F.min(F.struct("id", "text_hash")).alias("one"))
     nodes = durable(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are drawn once
     able = durable(posted(nodes, THRESHOLD), "posted")
-    ones = able.select("node").join(nodes.select("node", "one"), "node").select("node", F.col("one.id").alias("i"), F.col("one.text_hash").alias("h"))
+    families = durable(components(family_links(able, THRESHOLD, percent / 100)), "families")
+    ones = families.join(able.select("node", "weight"), "node").join(nodes.select("node", "one"), "node")
+    ones = ones.select("node", F.col("component").alias("family"), "weight", F.col("one.id").alias("i"), F.col("one.text_hash").alias("h"))
     source = docs.select(F.col(id_column).alias("id"), text_bytes(F.col(text)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
-    texts = source.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(F.first("raw").alias("raw"))
-    texts = durable(texts, "texts")
-    lists, hot = divided(able.select("node", "n", "signature", "weight", F.explode("keys").alias("key")))
-    pairs = durable(pairs_of_lists(lists, THRESHOLD, percent / 100), "pairs")
-    links = durable(confirmed(pairs, texts, width, percent), "links")
+    members = source.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(*(F.first(c).alias(c) for c in ("family", "weight", "raw")))
+    members = durable(members, "members")
+    links = durable(links_in_blocks(family_blocks(members), width, percent), "links")
     found = durable(components(links), "components")
-    families = components(pairs.unionByName(hot)).select("node", F.col("component").alias("family"))
-    families = durable(families.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "families")
-    mixed = families.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("family")
-    blocks = blocks_of(families.join(mixed, "family").join(texts, "node"))
-    late = durable(links_in_blocks(blocks, width, percent), "late-links")
-    if not late.isEmpty():
+    # what parts of large families may have missed
+    large = members.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).alias("parts")).where("parts > 1").select("family")
+    rest = members.join(large, "family").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rest.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("family")
+    mixed = durable(mixed, "mixed")
+    if not mixed.isEmpty():
+        late = durable(links_in_blocks(stray_blocks(rest.join(mixed, "family")), width, percent), "late-links")
         found = durable(components(links.unionByName(late)), "components")
 
     placed = nodes.select("node", "set_hash", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
