@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,83 +41,136 @@ ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: Step length, and the pull towards zero in expected counts.
 RATE, PULL = 0.25, 20.0
 #: Rows of a gradient block.
-BLOCK_ROWS = 448
-WORDS_KEPT = 200_000
+BLOCK_ROWS = 256
+#: Distinct tokens that a counting task holds before it passes them on.
+WORDS_KEPT = 600_000
 CHUNK = 4096
-END = b"\n"
-END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END)).astype(np.int64)
+#: The end token's place among the hashes.
+END_HASH = np.int64(0x5DEECE66D1234567)
 
 
-def ending(word: bytes) -> int:
-    """A bucket for the last two bytes of a word, its trailing ASCII signs left out."""
-    core = word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    if not core:
-        return 0
-    if core[-1:].isdigit():
-        return 1
-    return 2 + xxhash.xxh32_intdigest(core[-2:]) % (ENDINGS - 2)
+#: A random word for each byte, capitals as small letters, and the base of the polynomial hash (odd, so it has an inverse).
+_RANDOM = np.random.default_rng(4).integers(1, 2**63, 257, np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+BYTE_WORDS, BASE = _RANDOM[LOWER], int(_RANDOM[256])
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SIGN = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+#: Text bytes hashed at once; one longer text is still hashed whole.
+HASHED_BYTES = 1 << 20
 
 
-class Words:
-    """Rows for the distinct words of a task, found in bulk; row 0 is the end token."""
+def powers(base: int, count: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2 ** 64."""
+    out = np.ones(count, np.uint64)
+    have = 1
+    while have < count:
+        more = min(have, count - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, 2**64))
+        have += more
+    return out
+
+
+class Hasher:
+    """Hashes and endings of all tokens of many texts at once: polynomial hashes as differences of prefix sums."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows = {END: 0}
-        self.hashes, self.endings = [np.array([END_HASH])], [np.zeros(1, np.int64)]
-        self.fixed = None
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all tokens of the texts one after another, an end after each, and the number of each text's tokens."""
-        words: list[bytes] = []
-        lengths = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = text.lower().split()
-            own.append(END)
-            lengths[k] = len(own)
-            words += own
-        new = list(set(words).difference(self.rows))
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)).astype(np.int64))
-            self.endings.append(np.fromiter(map(ending, new), np.int64, len(new)))
-            self.fixed = None
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)), lengths
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.fixed is None:
-            self.hashes, self.endings = [np.concatenate(self.hashes)], [np.concatenate(self.endings)]
-            self.fixed = self.hashes[0], self.endings[0]
-        return self.fixed
+        self.up = self.down = powers(BASE, 0)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and ending of every token, an end token after each text, and the number of each text's tokens."""
+        parts, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text) + 1
+            if size >= HASHED_BYTES:
+                parts.append(self._some(group))
+                group, size = [], 0
+        if group or not parts:
+            parts.append(self._some(group))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(x for t in texts for x in (t, b" ")), np.uint8)
+        if len(self.up) < len(raw):
+            room = max(HASHED_BYTES + 4096, len(raw))
+            self.up, self.down = powers(BASE, room), powers(pow(BASE, -1, 2**64), room)
+        space = SPACE[raw]
+        before = np.r_[True, space[:-1]]
+        starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        sums = np.cumsum(BYTE_WORDS[raw] * self.up[: len(raw)])
+        hashes = (sums[ends - 1] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * self.down[starts]
+        hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(29)
+        # the last byte of a word that is no sign, and the one before it
+        core = np.maximum.accumulate(np.where(SIGN[raw], -1, np.arange(len(raw))))[ends - 1]
+        last = LOWER[raw[np.maximum(core, 0)]].astype(np.int64)
+        second = np.where(core > starts, LOWER[raw[np.maximum(core - 1, 0)]], 0).astype(np.int64)
+        endings = 2 + (second * 263 + last * 7919) % (ENDINGS - 2)
+        endings = np.where(core < starts, 0, np.where((last >= 48) & (last <= 57), 1, endings))
+        texts_end = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        own = np.searchsorted(texts_end, starts, side="right")
+        lengths = np.bincount(own, minlength=len(texts)) + 1
+        all_hashes, all_endings = np.full(lengths.sum(), END_HASH), np.zeros(lengths.sum(), np.int64)
+        at = np.arange(len(starts)) + own
+        all_hashes[at], all_endings[at] = hashes.view(np.int64), endings
+        return all_hashes, all_endings, lengths
+
+
+def counted(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, their endings, and the sums of their counts."""
+    if not len(hashes):
+        return hashes, endings, counts
+    order = np.argsort(hashes)
+    hashes, endings, counts = hashes[order], endings[order], counts[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    return hashes[first], endings[first], np.add.reduceat(counts, first)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """token (hash), ending, c over all texts in ``raw``; tasks count before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = Words(), np.zeros(1, np.int64)
-
-        def flush() -> pd.DataFrame:
-            hashes, endings = words.arrays()
-            at = np.flatnonzero(counts)
-            return pd.DataFrame({"token": hashes[at], "ending": endings[at], "c": counts[at]})
-
+        hasher, none = Hasher(), np.empty(0, np.int64)
+        held = none, none, none
         for batch in batches:
-            rows, _ = words.of(batch["raw"].tolist())
-            got = np.bincount(rows, minlength=len(words.rows))
-            got[: len(counts)] += counts
-            counts = got
-            if len(counts) > WORDS_KEPT:
-                yield flush()
-                words.clear()
-                counts = np.zeros(1, np.int64)
-        yield flush()
+            hashes, endings, _ = hasher.of(batch["raw"].tolist())
+            new = counted(hashes, endings, np.ones(len(hashes), np.int64))
+            held = counted(*(np.concatenate(x) for x in zip(held, new)))
+            if len(held[0]) > WORDS_KEPT:
+                yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
+                held = none, none, none
+        yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
 
     return docs.mapInPandas(run, "token long, ending int, c long").groupBy("token").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
+class Lookup:
+    """Values of known hashes by open addressing, many at a time; -1 for others."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(hashes)).bit_length())
+        self.mask, self.keys, self.values = (1 << bits) - 1, np.zeros(1 << bits, np.int64), np.full(1 << bits, -1)
+        todo, step = np.arange(len(hashes)), 0
+        while len(todo):
+            slot = hashes[todo] + step & self.mask
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.values[slot[first]] < 0]
+            self.keys[slot[first]], self.values[slot[first]] = hashes[todo[first]], values[todo[first]]
+            todo, step = np.delete(todo, first), step + 1
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & self.mask
+        out = np.where(self.keys[slot] == hashes, self.values[slot], -1)
+        todo = np.flatnonzero((self.values[slot] >= 0) & (self.keys[slot] != hashes))
+        step = 1
+        while len(todo):
+            slot = hashes[todo] + step & self.mask
+            hit, more = self.keys[slot] == hashes[todo], self.values[slot] >= 0
+            out[todo[hit & more]] = self.values[slot[hit & more]]
+            todo, step = todo[more & ~hit], step + 1
+        return out
+
+
 @dataclass
 class Model:
     """Counts of common tokens, classes, and the weights of the class softmax (natural logarithms)."""
@@ -132,22 +184,17 @@ class Model:
     total: int
     distinct: int
 
-    def facts(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By row of ``words``: class, feature bucket, count (-1 where a join must tell)."""
-        hashes, endings = words.arrays()
-        classes = self.class_of_ending[endings]
-        order = np.argsort(self.own)
-        if len(order):
-            at = order[np.minimum(np.searchsorted(self.own, hashes, sorter=order), len(order) - 1)]
-            classes = np.where(self.own[at] == hashes, at, classes)
-        counts = np.full(len(hashes), -1)
-        buckets = CLASSES + endings % (BUCKETS // 2 - CLASSES)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-            counts = np.where(self.tokens[at] == hashes, self.counts[at], -1)
+    def tables(self) -> tuple[Lookup, Lookup]:
+        """The count of a common token, and the class of one that is a class of its own; made once in a task."""
+        return Lookup(self.tokens, self.counts), Lookup(self.own, np.arange(len(self.own)))
+
+    def facts(self, hashes: np.ndarray, endings: np.ndarray, tables: tuple[Lookup, Lookup]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token: class, feature bucket, count (-1 where a join must tell)."""
+        own, counts = tables[1].of(hashes), tables[0].of(hashes)
+        classes = np.where(own >= 0, own, self.class_of_ending[endings])
         # frequent words have hashed buckets of their own, others share those of their endings
         frequent = counts * 20_000 >= max(1, self.total)
-        buckets = np.where(frequent, BUCKETS // 2 + hashes % (BUCKETS // 2), buckets)
+        buckets = np.where(frequent, BUCKETS // 2 + (hashes >> 7) % (BUCKETS // 2), CLASSES + endings % (BUCKETS // 2 - CLASSES))
         return classes, buckets, counts
 
     @staticmethod
@@ -211,17 +258,17 @@ def class_layout(endings: pd.DataFrame, common: pd.DataFrame, total: int, distin
     )
 
 
-def gradient(model: Model, rows: np.ndarray, lengths: np.ndarray, words: Words, sums: np.ndarray, seen: np.ndarray) -> None:
+def gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], tables: tuple[Lookup, Lookup], sums: np.ndarray, seen: np.ndarray) -> None:
     """Add to ``sums`` the gradient by feature row and class, to ``seen`` how often each row occurs."""
-    classes, buckets, _ = model.facts(words)
-    classes, buckets = classes[rows], buckets[rows]
+    hashes, endings, lengths = tokens
+    classes, buckets, _ = model.facts(hashes, endings, tables)
     features = model.features(classes, buckets, lengths)
     count = features.shape[1]
     for k in range(count):
         sums += np.bincount(features[:, k] * CLASSES + classes, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
         seen += np.bincount(features[:, k], minlength=ROWS)
     room, ones = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32)
-    for start in range(0, len(rows), CHUNK):
+    for start in range(0, len(features), CHUNK):
         part = features[start : start + CHUNK]
         expected = model.exponents(part, room)
         expected /= (expected @ ones)[:, None]
@@ -246,13 +293,12 @@ def round_of(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-ROWS // BLOCK_ROWS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, words = sent.value, Words()
+        model, hasher = sent.value, Hasher()
+        tables = model.tables()
         sums, seen, any_rows = np.zeros((ROWS, CLASSES)), np.zeros(ROWS), False
         for batch in batches:
             any_rows = True
-            gradient(model, *words.of(batch["raw"].tolist()), words, sums, seen)
-            if len(words.rows) > WORDS_KEPT:
-                words.clear()
+            gradient(model, hasher.of(batch["raw"].tolist()), tables, sums, seen)
         if any_rows:
             both, task = np.c_[sums, seen].astype(np.float32), TaskContext.get().partitionId()
             yield pd.DataFrame({"block": range(blocks), "twig": task % 32, "data": [both[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS].tobytes() for b in range(blocks)]})
@@ -276,7 +322,11 @@ def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, D
     counts = durable(token_counts(train), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     endings = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()  # ENDINGS rows
-    common = counts.orderBy(F.desc("c"), "token").limit(COMMON).toPandas()  # COMMON rows
+    # the tokens above the least level of counts (sixteen levels a doubling) that leaves at most COMMON of them
+    level = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("level", ascending=False)
+    low = levels["level"][levels["n"].cumsum() <= COMMON]
+    common = counts.where(level >= int(low.min() if len(low) else 2**30)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     model = class_layout(endings, common, total, distinct)
     for k in range(ROUNDS):
         step(model, *round_of(train.where(F.pmod(F.xxhash64("raw"), F.lit(ROUNDS)) == k), model))
@@ -288,19 +338,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, words, done = sent.value, Words(), 0
+        model, hasher, done = sent.value, Hasher(), 0
+        tables = model.tables()
         log_mass, task = np.log10(model.mass), TaskContext.get().partitionId()
         for batch in batches:
-            rows, lengths = words.of(batch["raw"].tolist())
-            by_class, by_bucket, by_count = model.facts(words)
-            hashes, _ = words.arrays()
-            classes, counts = by_class[rows], by_count[rows]
-            features = model.features(classes, by_bucket[rows], lengths)
+            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
+            classes, buckets, counts = model.facts(hashes, endings, tables)
+            features = model.features(classes, buckets, lengths)
             gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
             there = counts >= 0
             logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
             starts = np.cumsum(lengths) - lengths
-            rare = np.split(hashes[rows[~there]], np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1])
+            rare = np.split(hashes[~there], np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1])
             yield pd.DataFrame(
                 {
                     "row": (np.int64(task) << 33) + done + np.arange(len(batch)), "id": batch["id"], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
@@ -308,8 +357,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
                 }
             )
             done += len(batch)
-            if len(words.rows) > WORDS_KEPT:
-                words.clear()
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_bytes(F.col(text)).alias("raw"))
