@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pairlens.functions import patterns as P
 UNICODE = "(?U)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Whether a pattern occurs, with Unicode word and space classes."""
     return text.rlike(UNICODE + pattern)

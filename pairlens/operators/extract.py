@@ -16,7 +16,12 @@ SKILL = ["doc_id", "skill_pos", "name", "category", "proficiency", "years", "evi
 
 def grams(tokens: Column, widest: int) -> Column:
     """All runs of 1 to ``widest`` tokens, joined by spaces."""
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: i + n - 1 <= F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i, n), " "))))
+
+    def of(held: Column) -> Column:
+        starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), lambda i: i + n - 1 <= F.size(held))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(held, i, n), " "))))
+
+    return X.let(tokens, of)
 
 
 def skill_hits(lines: DataFrame, skills: SkillDictionary, sections: list[str] | None = None) -> DataFrame:

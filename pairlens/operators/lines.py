@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 
-DOC = Window.partitionBy("doc_id").orderBy("line_no")
+
+def doc_order() -> WindowSpec:
+    """Lines of a document in order."""
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def clean_lines(raw: Column) -> Column:
@@ -30,7 +33,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def tag_sections(lines: DataFrame) -> DataFrame:
     """``lines`` with column section: that of the last heading up to here."""
     marked = lines.withColumn("_heading", X.section_heading(F.col("text"), F.col("is_bullet")))
-    so_far = DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = doc_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return marked.withColumn("section", F.last("_heading", ignorenulls=True).over(so_far)).drop("_heading")
 
 
@@ -44,12 +47,12 @@ def clause_context(lines: DataFrame, reach: int, out: str = "context") -> DataFr
     Steps go forward, then back, one further each time; the first that meets a
     bullet, another section or the end stops both.
     """
-    going, before, after = F.lit(True), [], []
+    going, before, after, order = F.lit(True), [], [], doc_order()
     for k in range(1, reach + 1):
         for shift, held in ((F.lead, after), (F.lag, before)):
-            there = shift("line_no", k).over(DOC).isNotNull() & ~shift("is_bullet", k).over(DOC) & shift("section", k).over(DOC).eqNullSafe(F.col("section"))
+            there = shift("line_no", k).over(order).isNotNull() & ~shift("is_bullet", k).over(order) & shift("section", k).over(order).eqNullSafe(F.col("section"))
             going = going & F.coalesce(there, F.lit(False))
-            held.append(F.when(going, shift("text", k).over(DOC)))
+            held.append(F.when(going, shift("text", k).over(order)))
     return lines.withColumn(out, F.concat_ws(" ", *reversed(before), "text", *after))
 
 

@@ -61,9 +61,12 @@ def surface_index(indexed: DataFrame, dictionary: SkillDictionary) -> DataFrame:
 def sub_phrases(requirements: DataFrame, dictionary: SkillDictionary) -> DataFrame:
     """(jd_id, req_pos, canonical, tier, ord) of known phrases inside requirement names: windows of four to one words, then parts."""
     text = X.removed(F.col("name"), P.DURATION_NOISE, " ")
-    tokens = X.words(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
-    windows = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*(F.lit(w) for w in (4, 3, 2, 1))), lambda w: F.struct((i * 10 - w).alias("ord"), F.array_join(F.slice(tokens, i, w), " ").alias("phrase")))))
+
+    def windows_of(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.array(*(F.lit(w) for w in (4, 3, 2, 1))), lambda w: F.struct((i * 10 - w).alias("ord"), F.array_join(F.slice(tokens, i, w), " ").alias("phrase")))))
+
+    windows = X.let(X.words(text), windows_of)
     parts = F.transform(F.filter(X.compound_parts(text), lambda p: F.length(p) > 2), lambda p, i: F.struct(i.alias("ord"), p.alias("phrase")))
     rows = requirements.select("jd_id", "req_pos", F.explode(F.concat(F.transform(windows, lambda w: F.struct(F.lit(4).alias("tier"), w["ord"].cast("int").alias("ord"), w["phrase"].alias("phrase"))), F.transform(parts, lambda p: F.struct(F.lit(5).alias("tier"), p["ord"].cast("int").alias("ord"), p["phrase"].alias("phrase"))))).alias("c"))
     rows = rows.select("jd_id", "req_pos", "c.tier", "c.ord", "c.phrase").where(F.col("phrase") != "")

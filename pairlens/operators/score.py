@@ -18,7 +18,8 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def overall_score() -> Column:
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted_mean(F.col("score"), F.col("weight")).cast("double") * 100)), 1)
+    percent = weighted_mean(F.col("score"), F.col("weight")) * F.lit(100).cast("decimal(3,0)")  # in decimals, so that ties are ties
+    return F.bround(F.greatest(F.lit(0), F.least(F.lit(100), percent)), 1).cast("double")
 
 
 def must_coverage() -> Column:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.functions import patterns as P
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not import this package
+
 CASES = "id string, note string, jd_text string, resume_text string, expected_verdict string, expected_matched array<string>, expected_missing array<string>"
 REQUEST = "jd string, resume string, top int"
 MOST_REQUEST_BYTES = 4 * 1024 * 1024
@@ -30,7 +34,7 @@ def doc_type(path: Column) -> Column:
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 if they are valid, without a byte-order mark, else Latin-1."""
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), "^﻿", "")
+    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "ISO-8859-1")), "^\ufeff", "")
 
 
 def docx_text(data: bytes) -> str:
@@ -52,16 +56,22 @@ def pdf_text(data: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
-@F.pandas_udf("text string, error string")
-def _office_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for contents, kinds in batches:
-        rows = []
-        for data, kind in zip(contents, kinds):
-            try:
-                rows.append(((docx_text if kind == "docx" else pdf_text)(data), None))
-            except Exception as e:  # a broken or unreadable file is a rejected row, not a failed job
-                rows.append((None, f"could not parse {kind}: {e}"))
-        yield pd.DataFrame(rows, columns=["text", "error"])
+def office_text(content: Column, kind: Column) -> Column:
+    """A struct (text, error) for PDF and DOCX bytes, by an Arrow-batched function."""
+    readers = {"docx": docx_text, "pdf": pdf_text}
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, kinds in batches:
+            rows = []
+            for data, name in zip(contents, kinds):
+                try:
+                    rows.append((readers[name](data), None))
+                except Exception as e:  # a broken or unreadable file is a rejected row, not a failed job
+                    rows.append((None, f"could not parse {name}: {e}"))
+            yield pd.DataFrame(rows, columns=["text", "error"])
+
+    return run(content, kind)
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +83,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     large = files.where(F.col("length") > P.MAX_FILE_BYTES).select("path", F.lit("the file is too large").alias("error"))
     small = files.where(F.col("length") <= P.MAX_FILE_BYTES)
     plain = small.where(F.col("doc_type").isin("text", "markdown")).select("path", "doc_type", decoded(F.col("content")).alias("raw_text"), F.lit(None).cast("string").alias("error"))
-    office = small.where(F.col("doc_type").isin("pdf", "docx")).select("path", "doc_type", _office_text("content", "doc_type").alias("o")).select("path", "doc_type", F.col("o.text").alias("raw_text"), F.col("o.error").alias("error"))
+    office = small.where(F.col("doc_type").isin("pdf", "docx")).select("path", "doc_type", office_text(F.col("content"), F.col("doc_type")).alias("o")).select("path", "doc_type", F.col("o.text").alias("raw_text"), F.col("o.error").alias("error"))
     every = plain.unionByName(office).withColumn("error", F.when(F.col("error").isNull() & (F.coalesce(F.trim(F.regexp_replace("raw_text", r"\s+", " ")), F.lit("")) == ""), "the document is empty").otherwise(F.col("error")))
     return every.where("error is null").select(F.col("path").alias("doc_id"), "path", "doc_type", "raw_text"), every.where("error is not null").select("path", "error").unionByName(large)
 
