@@ -11,15 +11,15 @@ from pairlens.operators.match import PAIR, MatchConfig
 OUTCOME = ["req_pos", "name", "category", "importance", "min_years", "evidence", "weight", "status", "score", "matched_as", "matched_proficiency", "resume_evidence", "method", "similarity", "explanation"]
 
 
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """An aggregate: 0 if the weights sum to nothing. Decimals keep it exact in any order."""
-    exact = F.sum(value.cast("decimal(10,4)") * weight.cast("decimal(6,2)"))
-    return F.coalesce(F.try_divide(exact, F.nullif(F.sum(weight.cast("decimal(6,2)")), F.lit(0).cast("decimal(6,2)"))), F.lit(0))
+def weighted_mean(value: Column, weight: Column, scale: int = 1) -> Column:
+    """An aggregate, times ``scale``: 0 if the weights sum to nothing. The sums are decimals, exact in any order, and divided once."""
+    exact = F.sum(value.cast("decimal(10,4)") * weight.cast("decimal(6,2)")) * F.lit(scale).cast("decimal(3,0)")
+    weights = F.sum(weight.cast("decimal(6,2)"))
+    return F.coalesce(F.try_divide(exact.cast("double"), F.nullif(weights.cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
 def overall_score() -> Column:
-    percent = weighted_mean(F.col("score"), F.col("weight")) * F.lit(100).cast("decimal(3,0)")  # in decimals, so that ties are ties
-    return F.bround(F.greatest(F.lit(0), F.least(F.lit(100), percent)), 1).cast("double")
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted_mean(F.col("score"), F.col("weight"), 100))), 1)
 
 
 def must_coverage() -> Column:
