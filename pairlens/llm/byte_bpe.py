@@ -237,12 +237,9 @@ def encode_and_decode(text: Column, vocabulary_path: str, pattern: str) -> Colum
 
 
 def ids_array(ids: Column) -> Column:
-    """Packed ids as array<bigint>, without Python: two hex digits a byte, lowest byte first."""
-    digits = F.hex(ids)
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), F.length(digits) / F.lit(8)), lambda i: i < F.length(digits) / 8),
-        lambda i: F.conv(F.concat(*[F.substring(digits, (i * 8 + 7 - 2 * k).cast("int"), F.lit(2)) for k in range(4)]), 16, 10).cast("bigint"),
-    )
+    """Packed ids as array<bigint>, without Python: eight hex digits an id, lowest byte first."""
+    turned = lambda x: F.concat(*(F.substring(x, k, 2) for k in (7, 5, 3, 1)))
+    return F.transform(F.regexp_extract_all(F.hex(ids), F.lit(".{8}"), F.lit(0)), lambda x: F.conv(turned(x), 16, 10).cast("bigint"))
 
 
 def id_count(ids: Column) -> Column:

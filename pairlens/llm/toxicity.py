@@ -155,7 +155,7 @@ class Model:
 
     def score(self, evidence: list[float]) -> float:
         z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], evidence))
-        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
+        return 0.0 if z < -700 else 1.0 / (1.0 + math.exp(-z))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str, text: str, label: str, bound: int) -> DataFrame:
