@@ -64,7 +64,8 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 
 
 def _bins(groups: DataFrame, bits: int) -> DataFrame:
-    return groups.groupBy(F.shiftright("group_hash", 64 - bits).alias("bin")).agg(F.sum("size").alias("size"), F.countDistinct("group_hash").alias("groups") if bits > 64 else F.count(F.lit(1)).alias("groups"))
+    """Size and number of groups of each stretch of the hash order that ``bits`` leading bits name."""
+    return groups.groupBy(F.shiftright("group_hash", 64 - bits).alias("bin")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("groups"))
 
 
 def find_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:

@@ -10,8 +10,8 @@ significance of the two best passages and the number of significant ones turns
 that into a probability.
 
 Fitting reads at most ``MAX_LABELLED`` labelled documents, those whose id hashes
-lowest.  The curve is fitted to each half with the token counts of the other, so
-it never sees a document's own counts; scoring uses the counts of both.  Counts live in ``BINS`` hashed bins, so the
+lowest.  The curve is fitted to each fold of them with the token counts of the
+others, so it never sees a document's own counts; scoring uses all counts.  Counts live in ``BINS`` hashed bins, so the
 model's size is fixed.  Scoring covers every text whole.
 
 Defined results: null and empty texts have no passage and get the score of a
@@ -40,9 +40,10 @@ from pairlens.llm.common import by_value, text_bytes
 by_value(__name__)
 
 MAX_LABELLED = 20_000
+FOLDS = 5
 BINS = 1 << 18
 #: Strength of the Dirichlet prior in tokens; standard errors below which a token's log-odds count as nothing; the drift of a token; the highest score.
-PRIOR, CAUTION, DRIFT, HIGHEST = 2_000.0, 3.5, 0.5, 5.0
+PRIOR, CAUTION, DRIFT, HIGHEST = 2_000.0, 3.0, 0.4, 5.0
 #: Passages of at most this chance in clean text are significant.
 CHANCE = 0.05
 CACHED_WORDS = 400_000
@@ -159,30 +160,31 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str, text: str, label: str, bound: int) -> DataFrame:
-    """(id, text, toxic, half) of at most ``bound`` labelled documents where ``learn`` holds."""
+    """(id, text, toxic, fold) of at most ``bound`` labelled documents where ``learn`` holds."""
     ids = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(bound)  # bounded, hence broadcast
     rows = docs.where(learn).select(F.col(id_column).alias("id"), text_bytes(F.col(text)).alias("text"))
-    return rows.join(F.broadcast(ids), "id").withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
+    return rows.join(F.broadcast(ids), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).cast("int"))
 
 
 def bin_counts(sample: DataFrame) -> np.ndarray:
-    """Tokens by half of the sample, clean or toxic, and bin."""
+    """Tokens by fold of the sample, clean or toxic, and bin."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bins, sums = WordBins(), np.zeros((4, BINS), np.int64)
+        bins, sums = WordBins(), np.zeros((2 * FOLDS, BINS), np.int64)
         for batch in batches:
-            for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"]):
+            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
                 at, times = bins.count(text)
-                sums[2 * half + int(toxic > 0), at] += times
+                sums[2 * fold + int(toxic > 0), at] += times
         at = np.flatnonzero(sums.sum(0))
-        yield pd.DataFrame({"bin": at} | {f"n{k}": sums[k, at] for k in range(4)})
+        yield pd.DataFrame({"bin": at} | {c: sums[k, at] for k, c in enumerate(columns)})
 
-    rows = sample.select("text", "toxic", "half").mapInPandas(run, "bin long, n0 long, n1 long, n2 long, n3 long")
-    got = rows.groupBy("bin").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toPandas()  # BINS rows at most
-    out = np.zeros((4, BINS))
-    out[:, got["bin"].to_numpy(np.int64)] = got[[f"n{k}" for k in range(4)]].to_numpy(np.float64).T
-    return out.reshape(2, 2, BINS)
+    columns = [f"n{k}" for k in range(2 * FOLDS)]
+    rows = sample.select("text", "toxic", "fold").mapInPandas(run, ", ".join(f"{c} long" for c in ["bin", *columns]))
+    got = rows.groupBy("bin").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # BINS rows at most
+    out = np.zeros((2 * FOLDS, BINS))
+    out[:, got["bin"].to_numpy(np.int64)] = got[columns].to_numpy(np.float64).T
+    return out.reshape(FOLDS, 2, BINS)
 
 
 def token_table(counts: np.ndarray) -> np.ndarray:
@@ -206,18 +208,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "
     sample = labelled_sample(docs, labels, learn, id_column, text, label, bound)
     counts = bin_counts(sample)
     table = token_table(counts.sum(0))
-    other = [token_table(counts[1]), token_table(counts[0])]  # for each half, what the other half has taught
+    other = [token_table(counts.sum(0) - own) for own in counts]  # for each fold, what the others have taught
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = [WordScores(x) for x in other]
         for batch in batches:
             rows = []
-            for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"]):
-                scores = known[half].of(text)
+            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
+                scores = known[fold].of(text)
                 rows.append((int(toxic > 0), len(scores), [w for _, _, w in maximal_segments(scores)]))
             yield pd.DataFrame(rows, columns=["toxic", "length", "weights"])
 
-    rows = sample.select("text", "toxic", "half").mapInPandas(run, "toxic int, length long, weights array<double>").toPandas()
+    rows = sample.select("text", "toxic", "fold").mapInPandas(run, "toxic int, length long, weights array<double>").toPandas()
     toxic, lengths = rows["toxic"].to_numpy(np.int64), rows["length"].to_numpy(np.int64)
     weights = [np.asarray(x, np.float64) for x in rows["weights"]]
     best = np.array([x.max() if len(x) else 0.0 for x in weights]) - np.log(lengths + 1.0)
