@@ -15,7 +15,7 @@ from pairlens.dims import SkillDictionary, shown
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 from pairlens.operators.extract import REQUIREMENT, SKILL, first_by
-from pairlens.operators.lines import chunks, evidence, resolve_quotes
+from pairlens.operators.lines import chunks, resolve_quotes
 
 EVIDENCE_JSON = "struct<text:string,line:int>"
 JD_JSON = f"title string, company string, requirements array<struct<name:string,category:string,importance:string,min_years:double,evidence:{EVIDENCE_JSON}>>"
@@ -94,6 +94,3 @@ def _first_of_both(model: DataFrame, rules: DataFrame, place: str, dictionary: S
     keyed = dictionary.with_canonical(both, F.col("name")).withColumn("_key", X.norm_key(shown(F.col("name"), F.col("canonical"))))
     first = first_by(keyed, ["doc_id", "_key"], "_source", place)
     return first.withColumn(place, F.col("_source") * 100_000_000 + F.col(place)).drop("_source", "_key", "canonical")
-
-
-__all__ = ["canonical_names", "evidence", "label_keys", "merge_requirements", "model_requirements", "model_skills", "name_variants", "recovered"]

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pairlens.operators import lines as L
 from pairlens.operators.extract import certification_parts, fragments, merged_intervals
