@@ -46,7 +46,7 @@ BINS = 1 << 18
 PRIOR, CAUTION, DRIFT, HIGHEST = 2_000.0, 3.0, 0.4, 5.0
 #: Passages of at most this chance in clean text are significant.
 CHANCE = 0.05
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Letters and digits, and all beyond ASCII: other bytes end a token.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b == 39 or b >= 128 else 32 for b in range(256))
 
@@ -65,11 +65,14 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-class WordBins(dict):
+def bins_of(word: bytes) -> tuple[int, ...]:
     """Bins of a word and of its stems, its first three to six bytes."""
+    return tuple(xxhash.xxh3_64_intdigest(x) % BINS for x in [word, *(b"^" + word[:k] for k in range(3, 7) if len(word) > k)])
+
 
+class WordBins(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        value = self[word] = tuple(xxhash.xxh3_64_intdigest(x) % BINS for x in [word, *(b"^" + word[:k] for k in range(3, 7) if len(word) > k)])
+        value = self[word] = bins_of(word)
         return value
 
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -83,16 +86,15 @@ class WordScores(dict):
     """The score of a word: the best of its own and its stems'."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.bins = table, WordBins()
+        self.table = table
 
     def __missing__(self, word: bytes) -> float:
-        value = self[word] = float(self.table[list(self.bins.__missing__(word))].max())
+        value = self[word] = max(map(self.table.item, bins_of(word)))
         return value
 
     def of(self, text: bytes) -> np.ndarray:
         if len(self) > CACHED_WORDS:
             self.clear()
-            self.bins.clear()
         words = tokens(text)
         return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
