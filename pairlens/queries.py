@@ -180,6 +180,30 @@ def prf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("fold", *(c.alias(n) for c, n in zip(prf(F.col("tp"), F.col("fp"), F.col("fn")), ("precision", "recall", "f1"))))
 
 
+def posting_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements by rules in all documents."""
+    out = extract.requirements(lines.read_lines(documents(spark, sf_dir)), WORDS)
+    return out.select("doc_id", "req_pos", "name", "category", "importance", "min_years", F.col("evidence.line").alias("line_no"))
+
+
+def resume_skill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills by rules in all documents; each word of the dictionary once a document, at its first line."""
+    out, _ = extract.resume_skills(lines.read_lines(documents(spark, sf_dir)), WORDS)
+    return out.select("doc_id", "skill_pos", "name", F.col("evidence.line").alias("line_no"))
+
+
+def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers of matching: a customer's first orders' priorities as needs, those of all but the first two as skills."""
+    needs = _profile_rows(spark, sf_dir, "req_pos").where("req_pos <= 5").select(*extract.REQUIREMENT).withColumn("min_years", F.lit(None).cast("double"))
+    skills = _profile_rows(spark, sf_dir, "skill_pos").where("skill_pos > 2").select(*extract.SKILL)
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    pairs = customers.select(F.col("c_custkey").alias("jd_id"), F.col("c_custkey").alias("resume_id"))
+    profiles = customers.select(F.col("c_custkey").alias("doc_id"), F.lit(None).cast("double").alias("total_years"), F.lit(None).cast("string").alias("highest_education"), F.lit(None).cast("struct<text:string,line:int,section:string>").alias("education_evidence"))
+    names = SkillDictionary({"1 Urgent": [], "2 High": ["high"], "3 Medium": ["medium"]})
+    out = match.match(pairs, extract.distinct_requirements(needs), extract.distinct_skills(skills), profiles, names)
+    return out.select("jd_id", "req_pos", "name", "status", "method", F.round("score", 4).alias("score"))
+
+
 POSTING = "Senior Data Engineer\nRequirements:\n- 5+ years of Python required\n- PostgreSQL and data pipelines mandatory\n- CI/CD experience required\n- Tableau is a plus\n- Bachelor's degree in Statistics required"
 RESUMES = [
     ("a", "DANA REED\nEXPERIENCE\nEngineer, Northwind | 01/2019 - Present\n- Six years of Python and postgres\n- Built data pipelines with Jenkins\nEDUCATION\nB.Sc Statistics\nSKILLS\nPython, SQL, Tableau"),
@@ -197,7 +221,7 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         doc_lines, section_ffill, clause_context, chunk_overlap, mask_contacts, mask_email, norm_keys, content_tokens, dictionary_hits, alias_lookup, cues, doc_types, requirement_dedupe, skill_dedupe,
-        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, prf_eval, analysis_reports,
+        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, prf_eval, posting_requirements, resume_skill_rows, cascade_match, analysis_reports,
     ]
     return {f.__name__: f for f in every}
 
@@ -337,6 +361,20 @@ SELECT doc_id, (src * 100000000 + pos)::INT AS req_pos, name FROM (SELECT *, row
 WITH l AS ({_TURNS}), q AS (SELECT doc_id, line_no AS quote_id, CASE WHEN doc_id % 3 > 0 THEN lower(trim(regexp_replace(substr(text, 5, 40), '\\s+', ' ', 'g'))) END AS quote, line_no + 2 AS hint FROM l WHERE line_no <= 2),
 r AS (SELECT q.doc_id, quote_id, l.line_no, CASE WHEN quote <> '' AND (contains(lower(text), quote) OR (length(quote) > 12 AND contains(lower(text), left(quote, 60)))) THEN 0 ELSE abs(l.line_no - hint) + 1 END AS rank FROM q JOIN l ON l.doc_id = q.doc_id)
 SELECT doc_id, quote_id, arg_min(line_no, struct_pack(r := rank, l := line_no)) AS line_no FROM r GROUP BY doc_id, quote_id
+""",
+        "resume_skill_rows": f"""
+WITH f(canonical, k, canon_ord) AS (VALUES {forms}), l AS (SELECT doc_id, line_no, ' ' || {_KEY.format('text')} || ' ' AS t FROM ({_LINES})),
+h AS (SELECT doc_id, canonical, min(struct_pack(l := line_no, o := canon_ord)) AS spot FROM l JOIN f ON contains(t, ' ' || k || ' ') GROUP BY doc_id, canonical)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot)::INT AS skill_pos, canonical AS name, spot.l AS line_no FROM h
+""",
+        "cascade_match": f"""
+WITH p AS ({_PROFILE}), k AS (SELECT *, {_KEY.format('name')} AS key, CASE proficiency WHEN 'unknown' THEN 0.0 WHEN 'exposed' THEN 0.7 ELSE 1.0 END AS points FROM p),
+n AS (SELECT doc_id, key, min(pos) AS req_pos, arg_max(name, struct_pack(m := (importance = 'must')::INT, p := CASE WHEN importance = 'must' THEN pos ELSE -pos END)) AS name FROM k WHERE pos <= 5 GROUP BY ALL),
+s AS (SELECT doc_id, key, arg_max(points, struct_pack(s := points, p := -pos)) AS points FROM k WHERE pos > 2 GROUP BY ALL),
+m AS (SELECT n.*, s.points, n.key IN ('1 urgent', '2 high', '3 medium') AS known FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.key = n.key),
+o AS (SELECT *, CASE WHEN points IS NULL THEN 0.0 ELSE round(least(1.0, least(1.0, CASE WHEN known THEN 1.0 ELSE {P.SYNONYM_EXACTNESS} END + 0.1) * points), 4) END AS score FROM m)
+SELECT o.doc_id AS jd_id, req_pos, name, CASE WHEN points IS NULL THEN 'missing' WHEN score >= {P.MET} THEN 'met' WHEN score >= {P.PARTIAL} THEN 'partial' ELSE 'contested' END AS status,
+  CASE WHEN points IS NULL THEN 'none' WHEN known THEN 'taxonomy' ELSE 'synonym' END AS method, score::DOUBLE AS score FROM o JOIN customer ON c_custkey = o.doc_id
 """,
         "prf_eval": """
 WITH s AS (SELECT doc_id % 10 AS fold, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn FROM labels GROUP BY 1),
