@@ -47,6 +47,8 @@ by_value(__name__)
 COORDINATES, THRESHOLD = 48, 26
 #: Nodes, and bytes of text, of a block at most, about; nodes of a hub.
 BLOCK, BLOCK_BYTES, HUB = 1024, 6_000_000, 256
+#: Tasks among which a large family's nodes are dealt when they meet its facts.
+SALT = 32
 CACHED_WORDS = 300_000
 #: Odd multipliers and offsets of the hash functions, from a fixed seed.
 FUNCTIONS = np.random.default_rng(20).integers(0, 2**64, (2, COORDINATES), np.uint64) | np.array([[1], [0]], np.uint64)
@@ -214,20 +216,25 @@ def _every(count: Column) -> Column:
     return F.sequence(F.lit(0), count - 1)
 
 
+def with_family(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined by family to a table of large families, each of which meets its nodes in ``SALT`` tasks."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALT)).cast("int")).join(salted, ["family", "salt"], how).drop("salt")
+
+
 def family_blocks(members: DataFrame) -> DataFrame:
     """(block, left, node, component, raw) of all families: small ones whole, large ones in parts with their hub.
 
     ``members``: family, node, weight, raw. Every node is its own component.
     """
     totals = members.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).alias("parts"), F.count(F.lit(1)).alias("length"))
-    totals = durable(totals.where("length > 1"), "families")
-    small = members.join(totals.where("parts = 1").select("family"), "family").withColumn("i", F.lit(-1))
-    large = members.join(totals.where("parts > 1"), "family")
+    rows = with_family(members, durable(totals.where("parts > 1"), "large-families"), "left")
+    small, large = rows.where("parts is null").withColumn("i", F.lit(-1)), rows.where("parts is not null")
     # weights are drawn apart by the node, so that equal ones do not crowd into the hub
     large = large.withColumn("weight", F.col("weight") + F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2**20)) / 2**20)
     edges = large.groupBy("family", "length").agg(F.percentile_approx("weight", RANKS, 100_000).alias("edges"))
     fits = F.array_position(F.transform(F.array(*map(F.lit, RANKS)), lambda r: (1 - r) * F.col("length") <= HUB), True)
-    large = large.join(edges.select("family", F.element_at("edges", fits.cast("int")).alias("edge")), "family")
+    large = with_family(large, edges.select("family", F.element_at("edges", fits.cast("int")).alias("edge")))
     large = large.withColumn("i", F.explode(F.when(F.col("weight") >= F.col("edge"), _every(F.col("parts"))).otherwise(F.array(_spot(F.col("parts"))))))
     wanted = [F.xxhash64("family", "i").alias("block"), F.lit(False).alias("left"), "node", F.col("node").alias("component"), "raw"]
     return small.select(*wanted).unionByName(large.select(*wanted))
@@ -242,7 +249,7 @@ def stray_blocks(members: DataFrame) -> DataFrame:
     main = F.struct("n", "component")
     total = sizes.groupBy("family").agg(F.max_by("component", main).alias("main"), F.max_by("n", main).alias("main_n"), F.max_by("b", main).alias("main_b"), F.sum("n").alias("n"), F.sum("b").alias("b"))
     total = total.select("family", "main", _parts(F.col("n"), F.col("b")).alias("rights"), _parts(F.col("n") - F.col("main_n"), F.col("b") - F.col("main_b")).alias("lefts"))
-    rows = members.join(total, "family")
+    rows = with_family(members, total)
     as_left = rows.where("component != main").withColumn("i", _spot(F.col("lefts"))).withColumn("j", F.explode(_every(F.col("rights")))).withColumn("left", F.lit(True))
     as_right = rows.withColumn("j", _spot(F.col("rights"))).withColumn("i", F.explode(_every(F.col("lefts")))).withColumn("left", F.lit(False))
     return as_left.unionByName(as_right).select(F.xxhash64("family", "i", "j").alias("block"), "left", "node", "component", "raw")
@@ -344,11 +351,11 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
     found = durable(components(links), "components")
     # what parts of large families may have missed
     large = members.groupBy("family").agg(_parts(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).alias("parts")).where("parts > 1").select("family")
-    rest = members.join(large, "family").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = with_family(members, large).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rest.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("family")
     mixed = durable(mixed, "mixed")
     if not mixed.isEmpty():
-        late = durable(links_in_blocks(stray_blocks(rest.join(mixed, "family")), width, percent), "late-links")
+        late = durable(links_in_blocks(stray_blocks(with_family(rest, mixed)), width, percent), "late-links")
         found = durable(components(links.unionByName(late)), "components")
 
     placed = nodes.select("node", "set_hash", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
