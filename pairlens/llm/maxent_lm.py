@@ -1,18 +1,23 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class).  A class is one of the
-most frequent words, or the words with some ending; words are divided among
-classes by their training counts plus a half each, with one share in each class
-for unknown words, so the probabilities of all words sum to one.  The class is
+P(word | context) = P(class | context) * P(word | class, context).  A class is one
+of the most frequent words, or the words with some ending.  The class is
 predicted by a log-linear model over hashed features: the word before (n-gram),
 the one before that alone (skip), and the pair of classes before.
 
+The word is predicted within its class by ``DEPTH`` log-linear decisions down a
+binary tree over the bits of its hash.  Each begins at the shares of the counts
+on both sides and adds the weights of the word before and of the one before that,
+hashed whole together with the decision into a table whose size follows the
+training tokens.  Words of one leaf divide it by their counts plus a half each.
+Each class has one share for unknown words beside its tree, so the probabilities
+of all words sum to one.
+
 Training: exact token counts over all training text, by one shuffle; then
-``ROUNDS`` gradient steps, each over another part of the training documents,
-whose gradients tasks sum locally and one aggregation joins, in blocks.  Scoring
-is one pass of sparse numpy batches.  The counts of the ``COMMON`` most frequent
-tokens travel to the tasks (a fixed size); all other tokens meet their counts in
-a join.
+``ROUNDS`` gradient steps, each over all training documents, whose gradients
+tasks sum locally and one aggregation joins, in blocks.  Scoring is one pass of
+sparse numpy batches.  The counts of the ``COMMON`` most frequent tokens travel to
+the tasks (a fixed size); all other tokens meet their counts in a join.
 
 Tokens are identified by a 64-bit hash.  Defined results: null text is empty and
 has the end token alone; a null id is never held out; with no training text only
@@ -40,8 +45,12 @@ CLASSES, OWN, BUCKETS, ENDINGS, COMMON, ROUNDS = 64, 24, 1024, 4096, 1 << 17, 5
 ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: Step length, and the pull towards zero in expected counts.
 RATE, PULL = 0.25, 20.0
-#: Rows of a gradient block.
-BLOCK_ROWS = 256
+#: Decisions of a word, step length and pull of their weights.
+DEPTH, WORD_RATE, WORD_PULL = 12, 0.3, 20.0
+#: Training tokens for each word weight, and the bits of the least and largest table (what tasks and driver hold).
+TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 16, 12, 22
+#: Numbers in a gradient block, and training tokens of a task for each number it sends.
+BLOCK, TOKENS_A_NUMBER = 16_384, 4
 #: Distinct tokens that a counting task holds before it passes them on.
 WORDS_KEPT = 600_000
 CHUNK = 4096
@@ -183,6 +192,8 @@ class Model:
     weights: np.ndarray  # the classes' shares to begin with, in the rows of the word before
     total: int
     distinct: int
+    offsets: np.ndarray  # by class and tree node: log of the right side's counts to the left side's
+    word_weights: np.ndarray
 
     def tables(self) -> tuple[Lookup, Lookup]:
         """The count of a common token, and the class of one that is a class of its own; made once in a task."""
@@ -211,23 +222,74 @@ class Model:
         out[:, 2] = 2 * BUCKETS + before[0] * CLASSES + before[1]
         return out
 
-    def exponents(self, features: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """Unnormalised probabilities of all classes for a chunk of tokens; the bias is one of the weights' parts."""
+    @staticmethod
+    def exponents(raised: np.ndarray, features: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Unnormalised probabilities of all classes for a chunk of tokens from the raised weights; the bias is one of their parts."""
         out, spare = room[0, : len(features)], room[1, : len(features)]
-        np.take(self.weights, features[:, 0], axis=0, out=out, mode="clip")
+        np.take(raised, features[:, 0], axis=0, out=out, mode="clip")
         for k in range(1, features.shape[1]):
-            np.take(self.weights, features[:, k], axis=0, out=spare, mode="clip")
-            out += spare
-        return np.exp(out, out=out)
+            np.take(raised, features[:, k], axis=0, out=spare, mode="clip")
+            out *= spare
+        return out
 
     def log_probabilities(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log probability of each token's own class."""
-        room, ones = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        room, ones, raised = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32), np.exp(self.weights)
         out = self.weights[features, classes[:, None]].sum(1, dtype=np.float64)
         for start in range(0, len(features), CHUNK):
-            out[start : start + CHUNK] -= np.log(self.exponents(features[start : start + CHUNK], room) @ ones)
+            out[start : start + CHUNK] -= np.log(self.exponents(raised, features[start : start + CHUNK], room) @ ones)
         return out
 
+    def decisions(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token and depth: 1 for right or -1 for left, the offset, and by word before the place of its weight."""
+        bits, depth = (hashes.view(np.uint64) >> np.uint64(64 - DEPTH)).astype(np.int64)[:, None], np.arange(DEPTH)
+        nodes = (classes << DEPTH)[:, None] + (1 << depth) + (bits >> DEPTH - depth)
+        side = (2 * (bits >> DEPTH - 1 - depth & 1) - 1).astype(np.float32)
+        mixed = nodes.astype(np.uint64) * MIX[0]
+        shift = np.uint64(65 - len(self.word_weights).bit_length())
+        places = np.stack([((before[:, k, None] * MIX[k + 1] ^ mixed) * MIX[3] >> shift).astype(np.int64) for k in range(2)])
+        return side, np.take(self.offsets, nodes), places
+
+    def word_odds(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By token and depth: the odds against the side taken, with and without context; side and places."""
+        side, offset, places = self.decisions(hashes, classes, before)
+        logit = np.take(self.word_weights, places[0])
+        logit += np.take(self.word_weights, places[1])
+        logit += offset
+        return np.exp(-side * logit), np.exp(-side * offset), side, places
+
+    def word_gains(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What context adds to the log probability of each token within its class, if the token is known."""
+        out, treed = np.zeros(len(hashes)), np.flatnonzero(classes >= len(self.own))
+        with np.errstate(over="ignore", invalid="ignore"):  # only unknown words go where no counts are
+            for start in range(0, len(treed), CHUNK):
+                at = treed[start : start + CHUNK]
+                odds, bare, _, _ = self.word_odds(hashes[at], classes[at], before[at])
+                out[at] = np.log((1 + bare).prod(1, dtype=np.float64)) - np.log((1 + odds).prod(1, dtype=np.float64))
+        return np.nan_to_num(out, posinf=0.0, neginf=0.0)
+
+
+#: Odd multipliers: of tree nodes, of the two words before, and of both together.
+MIX = np.random.default_rng(5).integers(1, 2**63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words_before(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the word before each token and of the one before that; the end token's before a text."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.stack([np.where(place >= k, hashes[np.maximum(np.arange(len(hashes)) - k, 0)], END_HASH) for k in (1, 2)], 1).view(np.uint64)
+
+
+def tree_offsets(leaves: np.ndarray) -> np.ndarray:
+    """Offsets of all tree nodes from the mass of leaves by class; a side without mass is out of reach."""
+    out, mass = np.zeros((len(leaves), 1 << DEPTH), np.float32), leaves
+    for depth in reversed(range(DEPTH)):
+        left, right = mass[:, 0::2], mass[:, 1::2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            offset = np.log(right) - np.log(left)
+        out[:, 1 << depth : 2 << depth] = np.clip(np.nan_to_num(offset, nan=0.0, posinf=40.0, neginf=-40.0), -40, 40)
+        mass = left + right
+    return out.ravel()
+
 
 def class_layout(endings: pd.DataFrame, common: pd.DataFrame, total: int, distinct: int) -> Model:
     """Classes from the counts of endings (ending, c, v) and of common tokens (token, ending, c; most frequent first)."""
@@ -254,12 +316,12 @@ def class_layout(endings: pd.DataFrame, common: pd.DataFrame, total: int, distin
     weights[:BUCKETS] = np.log(mass / mass.sum())
     return Model(
         common["token"].to_numpy(np.int64)[order], common["c"].to_numpy(np.int64)[order], own, class_of_ending, mass,
-        weights, total, distinct,
+        weights, total, distinct, np.zeros(CLASSES << DEPTH, np.float32), np.zeros(1 << min(MOST_BITS, max(LEAST_BITS, (total // TOKENS_A_WEIGHT).bit_length() - 1)), np.float32),
     )
 
 
-def gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], tables: tuple[Lookup, Lookup], sums: np.ndarray, seen: np.ndarray) -> None:
-    """Add to ``sums`` the gradient by feature row and class, to ``seen`` how often each row occurs."""
+def gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], tables: tuple[Lookup, Lookup], sums: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Add to ``sums`` the gradient by feature row and class, to ``seen`` how often each row occurs; the tokens' classes."""
     hashes, endings, lengths = tokens
     classes, buckets, _ = model.facts(hashes, endings, tables)
     features = model.features(classes, buckets, lengths)
@@ -267,17 +329,34 @@ def gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], ta
     for k in range(count):
         sums += np.bincount(features[:, k] * CLASSES + classes, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
         seen += np.bincount(features[:, k], minlength=ROWS)
-    room, ones = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+    room, ones, raised = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32), np.exp(model.weights)
     for start in range(0, len(features), CHUNK):
         part = features[start : start + CHUNK]
-        expected = model.exponents(part, room)
+        expected = model.exponents(raised, part, room)
         expected /= (expected @ ones)[:, None]
         for k in range(count):
-            order = np.argsort(part[:, k])
+            order = np.argsort(part[:, k].astype(np.int16), kind="stable")
             named = part[order, k]
             firsts = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
             np.take(expected, order, axis=0, out=room[1, : len(part)], mode="clip")
             sums[named[firsts]] -= np.add.reduceat(room[1, : len(part)], firsts, axis=0)
+    return classes
+
+
+def word_gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], classes: np.ndarray, sums: np.ndarray, bend: np.ndarray | None) -> None:
+    """Add to ``sums`` the gradient of the word weights, to ``bend`` (if given) their curvature."""
+    hashes, _, lengths = tokens
+    before = words_before(hashes, lengths)
+    treed = np.flatnonzero(classes >= len(model.own))
+    for start in range(0, len(treed), CHUNK):
+        at = treed[start : start + CHUNK]
+        odds, _, side, places = model.word_odds(hashes[at], classes[at], before[at])
+        miss = odds / (1 + odds)
+        wrong = (side * miss).ravel().astype(np.float64)
+        for k in range(2):
+            np.add.at(sums, places[k].ravel(), wrong)
+            if bend is not None:
+                np.add.at(bend, places[k].ravel(), (miss * (1 - miss)).ravel().astype(np.float64))
 
 
 def step(model: Model, sums: np.ndarray, seen: np.ndarray) -> None:
@@ -287,32 +366,43 @@ def step(model: Model, sums: np.ndarray, seen: np.ndarray) -> None:
     np.clip(model.weights, -20, 20, out=model.weights)
 
 
-def round_of(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The gradient over all texts in ``raw``: tasks sum, then blocks of rows are summed in a tree."""
+def round_of(docs: DataFrame, model: Model, bend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient over all texts in ``raw``: tasks sum, then blocks of numbers are summed in a tree.
+
+    By class weight and how often its row occurs, by word weight, and their curvature if ``bend``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    blocks = -(-ROWS // BLOCK_ROWS)
+    width = len(model.word_weights)
+    size = ROWS * (CLASSES + 1) + width * (2 if bend else 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, hasher = sent.value, Hasher()
         tables = model.tables()
         sums, seen, any_rows = np.zeros((ROWS, CLASSES)), np.zeros(ROWS), False
+        word_sums, bends = np.zeros(width), np.zeros(width) if bend else None
         for batch in batches:
             any_rows = True
-            gradient(model, hasher.of(batch["raw"].tolist()), tables, sums, seen)
+            tokens = hasher.of(batch["raw"].tolist())
+            classes = gradient(model, tokens, tables, sums, seen)
+            word_gradient(model, tokens, classes, word_sums, bends)
         if any_rows:
-            both, task = np.c_[sums, seen].astype(np.float32), TaskContext.get().partitionId()
-            yield pd.DataFrame({"block": range(blocks), "twig": task % 32, "data": [both[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS].tobytes() for b in range(blocks)]})
+            every, task = np.concatenate([x.ravel() for x in (sums, seen, word_sums, bends) if x is not None]).astype(np.float32), TaskContext.get().partitionId()
+            starts = range(0, size, BLOCK)
+            yield pd.DataFrame({"block": range(len(starts)), "twig": task % 8, "data": [every[b : b + BLOCK].tobytes() for b in starts]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["data"])
         return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
 
-    twigs = docs.mapInPandas(run, "block int, twig int, data binary").groupBy("block", "twig").applyInPandas(add, "block int, data binary")
-    got = twigs.groupBy("block").applyInPandas(add, "block int, data binary").toPandas().sort_values("block")  # a fixed number of rows
-    if not len(got):
-        return np.zeros((ROWS, CLASSES)), np.zeros(ROWS)
-    both = np.frombuffer(b"".join(got["data"]), np.float32).reshape(ROWS, CLASSES + 1)
-    return both[:, :-1].astype(np.float64), both[:, -1].astype(np.float64)
+    # merged tasks keep what is sent in proportion to the input
+    tasks = max(8, model.total // (TOKENS_A_NUMBER * width))
+    twigs = docs.coalesce(tasks).mapInPandas(run, "block int, twig int, data binary")
+    if tasks > 64:  # fewer parts need no first level
+        twigs = twigs.groupBy("block", "twig").applyInPandas(add, "block int, data binary")
+    got = twigs.groupBy("block").applyInPandas(add, "block int, data binary").toPandas().sort_values("block")  # a bounded number of rows
+    every = np.frombuffer(b"".join(got["data"]), np.float32).astype(np.float64) if len(got) else np.zeros(size)
+    sums, seen, words, bends = np.split(every, np.cumsum([ROWS * CLASSES, ROWS, width]))
+    return sums.reshape(ROWS, CLASSES), seen, words, bends
 
 
 def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, DataFrame]:
@@ -328,11 +418,28 @@ def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, D
     low = levels["level"][levels["n"].cumsum() <= COMMON]
     common = counts.where(level >= int(low.min() if len(low) else 2**30)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     model = class_layout(endings, common, total, distinct)
+    model.offsets = tree_offsets(leaf_masses(counts, model))
+    curvature = None
     for k in range(ROUNDS):
-        step(model, *round_of(train.where(F.pmod(F.xxhash64("raw"), F.lit(ROUNDS)) == k), model))
+        sums, seen, words, bends = round_of(train, model, k == 0)
+        curvature = bends if k == 0 else curvature
+        step(model, sums, seen)
+        model.word_weights += (WORD_RATE * (words - WORD_PULL * model.word_weights) / (curvature + WORD_PULL)).astype(np.float32)
+        np.clip(model.word_weights, -10, 10, out=model.word_weights)
     return model, counts
 
 
+def leaf_masses(counts: DataFrame, model: Model) -> np.ndarray:
+    """Counts plus a half a token by class and leaf, of the classes that hold more than one word."""
+    own = counts.sparkSession.createDataFrame([(k, int(c)) for k, c in enumerate(model.class_of_ending)], "ending int, class int")
+    leaf = F.shiftrightunsigned("token", 64 - DEPTH).cast("int")
+    inside = counts.where(~F.col("token").isin([int(x) for x in model.own])) if len(model.own) else counts
+    rows = inside.join(F.broadcast(own), "ending").groupBy("class", leaf.alias("leaf")).agg(F.sum(F.col("c") + 0.5).alias("mass")).toPandas()  # at most a leaf of each class
+    out = np.zeros((CLASSES, 1 << DEPTH))
+    out[rows["class"].to_numpy(np.int64), rows["leaf"].to_numpy(np.int64)] = rows["mass"].to_numpy(np.float64)
+    return out
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score (log10) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -347,22 +454,28 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
             features = model.features(classes, buckets, lengths)
             gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
             there = counts >= 0
+            word_gain = model.word_gains(hashes, classes, words_before(hashes, lengths)) / np.log(10)
+            gain += np.where(counts > 0, word_gain, 0.0)
             logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
             starts = np.cumsum(lengths) - lengths
-            rare = np.split(hashes[~there], np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1])
+            cuts = np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1]
+            rare, rare_gain = np.split(hashes[~there], cuts), np.split(word_gain[~there].astype(np.float32), cuts)
             yield pd.DataFrame(
                 {
                     "row": (np.int64(task) << 33) + done + np.arange(len(batch)), "id": batch["id"], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
-                    "logs": np.add.reduceat(logs, starts), "gain": np.add.reduceat(gain, starts), "rare": rare,
+                    "logs": np.add.reduceat(logs, starts), "gain": np.add.reduceat(gain, starts), "rare": rare, "rare_gain": rare_gain,
                 }
             )
             done += len(batch)
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_bytes(F.col(text)).alias("raw"))
-    parts = durable(rows.mapInPandas(run, "row long, id string, n_tokens long, n_known long, logs double, gain double, rare array<long>"), "scored")
-    met = parts.select("row", F.explode("rare").alias("token")).join(counts.select("token", "c"), "token", "left")
-    met = met.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("met"))
-    whole = parts.drop("rare").join(met, "row", "left").withColumn("logs", F.col("logs") + F.coalesce("more", F.lit(0.0)))
+    parts = durable(rows.mapInPandas(run, "row long, id string, n_tokens long, n_known long, logs double, gain double, rare array<long>, rare_gain array<float>"), "scored")
+    met = parts.select("row", F.explode(F.arrays_zip("rare", "rare_gain")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.rare_gain").alias("g"))
+    met = met.join(counts.select("token", "c"), "token", "left")
+    # an unknown word stands beside the tree of its class
+    known_gain = F.sum(F.when(F.col("c").isNotNull(), F.col("g").cast("double")).otherwise(0.0))
+    met = met.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("met"), known_gain.alias("more_gain"))
+    whole = parts.drop("rare", "rare_gain").join(met, "row", "left").withColumn("logs", F.col("logs") + F.coalesce("more", F.lit(0.0))).withColumn("gain", F.col("gain") + F.coalesce("more_gain", F.lit(0.0)))
     base = F.col("logs") - F.col("n_tokens") * float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return whole.select(F.col("id").cast(kind).alias("id"), "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), base.alias("base_score"), (F.col("logs") + F.col("gain")).alias("score"))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -351,6 +352,39 @@ def test_language_model_counts_and_beats_unigrams(spark, docs, none, texts, monk
     assert maxent_lm.score(every.limit(2), empty, counts).count() == 2
 
 
+def test_model_learns_words_within_their_class(spark):
+    # york and pork share their ending, and so their class; only the word before tells them apart
+    frequent = " ".join(f"w{chr(97 + k)}x" for k in range(26))
+    rows = [(k, ("new york", "old pork", frequent, frequent)[k % 4]) for k in range(1600)]
+    model, counts = maxent_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    asked = spark.createDataFrame([(1, "new york"), (2, "new pork"), (3, "old pork"), (4, "old york")], "doc_id long, text string")
+    got = {r.id: r.score for r in maxent_lm.score(asked, model, counts).collect()}
+    assert got[1] > got[2] + 0.1 and got[3] > got[4] + 0.1
+
+
+def test_words_of_a_class_share_its_probability():
+    draw = np.random.default_rng(1)
+    hashes = draw.integers(-(2**63), 2**63 - 1, 500, np.int64)
+    common = pd.DataFrame({"token": hashes, "ending": 7, "c": np.arange(500, 0, -1)})
+    model = maxent_lm.class_layout(pd.DataFrame({"ending": [7], "c": [common["c"].sum()], "v": [500]}), common, int(common["c"].sum()), 500)
+    own = int(model.class_of_ending[7])
+    inside = hashes[maxent_lm.OWN :]
+    leaves = np.zeros((maxent_lm.CLASSES, 1 << maxent_lm.DEPTH))
+    np.add.at(leaves[own], (inside.view(np.uint64) >> np.uint64(64 - maxent_lm.DEPTH)).astype(int), common["c"].to_numpy()[maxent_lm.OWN :] + 0.5)
+    model.offsets = maxent_lm.tree_offsets(leaves)
+    model.word_weights[:] = draw.normal(0, 2, len(model.word_weights))
+    gains = model.word_gains(inside, np.full(len(inside), own), np.tile(np.array([5, 9], np.uint64), (len(inside), 1)))
+    shares = (common["c"].to_numpy()[maxent_lm.OWN :] + 0.5) / leaves[own].sum()
+    assert np.abs(gains).max() > 0.5 and (shares * np.exp(gains)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_every_step_reads_all_training_texts(spark, monkeypatch):
+    seen, real = [], maxent_lm.round_of
+    monkeypatch.setattr(maxent_lm, "round_of", lambda docs, *a: seen.append(docs.count()) or real(docs, *a))
+    maxent_lm.fit(spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string"), F.lit(True))
+    assert seen == [40] * maxent_lm.ROUNDS
+
+
 # --- personal data ------------------------------------------------------------------------------------
 
 
