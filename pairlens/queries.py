@@ -204,6 +204,20 @@ def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("jd_id", "req_pos", "name", "status", "method", F.round("score", 4).alias("score"))
 
 
+def cascade_match_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiers of matching over all orders: each customer's priorities against those of the other customers of its block of four keys."""
+    needs = _profile_rows(spark, sf_dir, "req_pos").select(*extract.REQUIREMENT).withColumn("min_years", F.lit(None).cast("double"))
+    skills = _profile_rows(spark, sf_dir, "skill_pos").select(*extract.SKILL)
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    one = customers.select(F.col("c_custkey").alias("jd_id"), F.floor(F.col("c_custkey") / 4).alias("block"))
+    other = customers.select(F.col("c_custkey").alias("resume_id"), F.floor(F.col("c_custkey") / 4).alias("block"))
+    pairs = one.join(other, "block").where("jd_id <> resume_id").select("jd_id", "resume_id")
+    profiles = customers.select(F.col("c_custkey").alias("doc_id"), F.lit(None).cast("double").alias("total_years"), F.lit(None).cast("string").alias("highest_education"), F.lit(None).cast("struct<text:string,line:int,section:string>").alias("education_evidence"))
+    names = SkillDictionary({"1 Urgent": [], "2 High": ["high"], "3 Medium": ["medium"]})
+    out = match.match(pairs, extract.distinct_requirements(needs), extract.distinct_skills(skills), profiles, names)
+    return out.select("jd_id", "resume_id", "req_pos", "name", "status", "method", F.round("score", 4).alias("score"))
+
+
 POSTING = "Senior Data Engineer\nRequirements:\n- 5+ years of Python required\n- PostgreSQL and data pipelines mandatory\n- CI/CD experience required\n- Tableau is a plus\n- Bachelor's degree in Statistics required"
 RESUMES = [
     ("a", "DANA REED\nEXPERIENCE\nEngineer, Northwind | 01/2019 - Present\n- Six years of Python and postgres\n- Built data pipelines with Jenkins\nEDUCATION\nB.Sc Statistics\nSKILLS\nPython, SQL, Tableau"),
@@ -221,7 +235,7 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         doc_lines, section_ffill, clause_context, chunk_overlap, mask_contacts, mask_email, norm_keys, content_tokens, dictionary_hits, alias_lookup, cues, doc_types, requirement_dedupe, skill_dedupe,
-        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, prf_eval, posting_requirements, resume_skill_rows, cascade_match, analysis_reports,
+        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, prf_eval, posting_requirements, resume_skill_rows, cascade_match, cascade_match_blocks, analysis_reports,
     ]
     return {f.__name__: f for f in every}
 
@@ -375,6 +389,16 @@ m AS (SELECT n.*, s.points, n.key IN ('1 urgent', '2 high', '3 medium') AS known
 o AS (SELECT *, CASE WHEN points IS NULL THEN 0.0 ELSE round(least(1.0, least(1.0, CASE WHEN known THEN 1.0 ELSE {P.SYNONYM_EXACTNESS} END + 0.1) * points), 4) END AS score FROM m)
 SELECT o.doc_id AS jd_id, req_pos, name, CASE WHEN points IS NULL THEN 'missing' WHEN score >= {P.MET} THEN 'met' WHEN score >= {P.PARTIAL} THEN 'partial' ELSE 'contested' END AS status,
   CASE WHEN points IS NULL THEN 'none' WHEN known THEN 'taxonomy' ELSE 'synonym' END AS method, score::DOUBLE AS score FROM o JOIN customer ON c_custkey = o.doc_id
+""",
+        "cascade_match_blocks": f"""
+WITH p AS ({_PROFILE}), k AS (SELECT *, {_KEY.format('name')} AS key, CASE proficiency WHEN 'unknown' THEN 0.0 WHEN 'exposed' THEN 0.7 ELSE 1.0 END AS points FROM p),
+n AS (SELECT doc_id, key, min(pos) AS req_pos, arg_max(name, struct_pack(m := (importance = 'must')::INT, p := CASE WHEN importance = 'must' THEN pos ELSE -pos END)) AS name FROM k GROUP BY ALL),
+s AS (SELECT doc_id, key, arg_max(points, struct_pack(s := points, p := -pos)) AS points FROM k GROUP BY ALL),
+b AS (SELECT x.c_custkey AS jd_id, y.c_custkey AS resume_id FROM customer x JOIN customer y ON x.c_custkey // 4 = y.c_custkey // 4 AND x.c_custkey <> y.c_custkey),
+m AS (SELECT b.*, n.req_pos, n.name, s.points, n.key IN ('1 urgent', '2 high', '3 medium') AS known FROM b JOIN n ON n.doc_id = b.jd_id LEFT JOIN s ON s.doc_id = b.resume_id AND s.key = n.key),
+o AS (SELECT *, CASE WHEN points IS NULL THEN 0.0 ELSE round(least(1.0, least(1.0, CASE WHEN known THEN 1.0 ELSE {P.SYNONYM_EXACTNESS} END + 0.1) * points), 4) END AS score FROM m)
+SELECT jd_id, resume_id, req_pos, name, CASE WHEN points IS NULL THEN 'missing' WHEN score >= {P.MET} THEN 'met' WHEN score >= {P.PARTIAL} THEN 'partial' ELSE 'contested' END AS status,
+  CASE WHEN points IS NULL THEN 'none' WHEN known THEN 'taxonomy' ELSE 'synonym' END AS method, score::DOUBLE AS score FROM o
 """,
         "prf_eval": """
 WITH s AS (SELECT doc_id % 10 AS fold, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn FROM labels GROUP BY 1),
