@@ -174,6 +174,13 @@ def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.resolve_quotes(quotes, rows).select("doc_id", "quote_id", F.col("evidence.line").alias("line_no"))
 
 
+def quote_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote of every turn, looked up in its conversation."""
+    rows = turns(spark, sf_dir)
+    quotes = rows.select("doc_id", F.col("line_no").alias("quote_id"), F.substring("text", 5, 40).alias("quote"), (F.col("line_no") + 2).cast("int").alias("line_hint"))
+    return lines.resolve_quotes(quotes, rows).select("doc_id", "quote_id", F.col("evidence.line").alias("line_no"))
+
+
 def prf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = F.col("quality") == 1, F.col("toxic") == 0
     sums = table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 10).alias("fold")).agg(F.count_if(q & t).alias("tp"), F.count_if(~q & t).alias("fp"), F.count_if(q & ~t).alias("fn"))
@@ -235,7 +242,7 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         doc_lines, section_ffill, clause_context, chunk_overlap, mask_contacts, mask_email, norm_keys, content_tokens, dictionary_hits, alias_lookup, cues, doc_types, requirement_dedupe, skill_dedupe,
-        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, prf_eval, posting_requirements, resume_skill_rows, cascade_match, cascade_match_blocks, analysis_reports,
+        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, quote_lines_all, prf_eval, posting_requirements, resume_skill_rows, cascade_match, cascade_match_blocks, analysis_reports,
     ]
     return {f.__name__: f for f in every}
 
@@ -375,6 +382,11 @@ SELECT doc_id, (src * 100000000 + pos)::INT AS req_pos, name FROM (SELECT *, row
 WITH l AS ({_TURNS}), q AS (SELECT doc_id, line_no AS quote_id, CASE WHEN doc_id % 3 > 0 THEN lower(trim(regexp_replace(substr(text, 5, 40), '\\s+', ' ', 'g'))) END AS quote, line_no + 2 AS hint FROM l WHERE line_no <= 2),
 r AS (SELECT q.doc_id, quote_id, l.line_no, CASE WHEN quote <> '' AND (contains(lower(text), quote) OR (length(quote) > 12 AND contains(lower(text), left(quote, 60)))) THEN 0 ELSE abs(l.line_no - hint) + 1 END AS rank FROM q JOIN l ON l.doc_id = q.doc_id)
 SELECT doc_id, quote_id, arg_min(line_no, struct_pack(r := rank, l := line_no)) AS line_no FROM r GROUP BY doc_id, quote_id
+""",
+        "quote_lines_all": f"""
+WITH l AS ({_TURNS}), q AS (SELECT doc_id, line_no AS quote_id, lower(trim(regexp_replace(substr(text, 5, 40), '\\s+', ' ', 'g'))) AS quote, line_no + 2 AS hint FROM l),
+r AS (SELECT q.doc_id, quote_id, l.line_no, CASE WHEN quote <> '' AND (contains(lower(text), quote) OR (length(quote) > 12 AND contains(lower(text), left(quote, 60)))) THEN 0 ELSE abs(l.line_no - hint) + 1 END AS rank FROM q JOIN l ON l.doc_id = q.doc_id)
+SELECT doc_id, quote_id, arg_min(line_no, struct_pack(r := rank, l := line_no)) AS line_no FROM r GROUP BY doc_id, quote_id
 """,
         "resume_skill_rows": f"""
 WITH f(canonical, k, canon_ord) AS (VALUES {forms}), l AS (SELECT doc_id, line_no, ' ' || {_KEY.format('text')} || ' ' AS t FROM ({_LINES})),

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 
 from pairlens import queries
+from pairlens.operators import lines
 
 SF = os.environ.get("PAIRLENS_TESTDATA", "/root/testdata/sf0.001")
 
@@ -22,3 +23,16 @@ def test_cascade_over_all_orders_equals_sql(spark):
     assert out.columns == want.columns
     got = Counter(map(tuple, out.collect()))
     assert got == Counter(want.fetchall()) and max(r[2] for r in got) > 5 and all(r[0] != r[1] for r in got)
+
+
+def test_quotes_of_all_turns_equal_sql(spark):
+    out, want = queries.queries()["quote_lines_all"](spark, SF), by_sql("quote_lines_all")
+    assert out.columns == want.columns and Counter(map(tuple, out.collect())) == Counter(want.fetchall())
+    assert out.count() == queries.turns(spark, SF).count()
+
+
+def test_null_and_unmatched_quotes(spark):
+    rows = spark.createDataFrame([(1, 1, "a first line here", None), (1, 2, "and a second line", None)], "doc_id long, line_no int, text string, section string")
+    quotes = spark.createDataFrame([(1, 1, None, 2), (1, 2, "nowhere to be found", 1), (1, 3, "SECOND  line", 1), (2, 1, "a first", 1)], "doc_id long, quote_id int, quote string, line_hint int")
+    got = {(r.doc_id, r.quote_id): r.evidence and r.evidence.line for r in lines.resolve_quotes(quotes, rows).collect()}
+    assert got == {(1, 1): 2, (1, 2): 1, (1, 3): 2, (2, 1): None}
