@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlens.dims import DEFAULT, SkillDictionary
+from pairlens.dims import SkillDictionary
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 from pairlens.operators import extract, lines, match, model_output, score
@@ -233,9 +233,11 @@ RESUMES = [
 
 
 def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of one posting and two resumes."""
-    posting = spark.createDataFrame([("p", POSTING)], "doc_id string, raw_text string")
-    out = analyze(posting, spark.createDataFrame(RESUMES, "doc_id string, raw_text string"), (2026, 11), dictionary=DEFAULT).reports
+    """The whole analysis over all documents: each as a posting, met by the other documents of its block of four ids."""
+    every = documents(spark, sf_dir)
+    side = lambda name: every.select(F.col("doc_id").alias(name), F.floor(F.col("doc_id") / 4).alias("block"))
+    pairs = side("jd_id").join(side("resume_id"), "block").where("jd_id <> resume_id").select("jd_id", "resume_id")
+    out = analyze(every, every, (2026, 11), pairs=pairs, dictionary=WORDS).reports
     return out.select("jd_id", "resume_id", "overall_score", "verdict", "must_have_coverage", F.transform("blockers", lambda o: o["name"]).alias("blockers"), F.transform("strengths", lambda o: o["name"]).alias("strengths"), "suggestions")
 
 

@@ -7,6 +7,7 @@ import duckdb
 
 from pairlens import queries
 from pairlens.operators import lines
+from pairlens.plans.analyze import analyze
 
 SF = os.environ.get("PAIRLENS_TESTDATA", "/root/testdata/sf0.001")
 
@@ -36,3 +37,17 @@ def test_null_and_unmatched_quotes(spark):
     quotes = spark.createDataFrame([(1, 1, None, 2), (1, 2, "nowhere to be found", 1), (1, 3, "SECOND  line", 1), (2, 1, "a first", 1)], "doc_id long, quote_id int, quote string, line_hint int")
     got = {(r.doc_id, r.quote_id): r.evidence and r.evidence.line for r in lines.resolve_quotes(quotes, rows).collect()}
     assert got == {(1, 1): 2, (1, 2): 1, (1, 3): 2, (2, 1): None}
+
+
+def test_analysis_reports_every_pair_of_the_table(spark):
+    ids = [r.doc_id for r in queries.documents(spark, SF).select("doc_id").collect()]
+    want = {(a, b) for a in ids for b in ids if a != b and a // 4 == b // 4}
+    got = [(r.jd_id, r.resume_id) for r in queries.queries()["analysis_reports"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_analysis_of_one_posting_and_two_resumes(spark):
+    many = lambda rows: spark.createDataFrame(rows, "doc_id string, raw_text string")
+    out = analyze(many([("p", queries.POSTING)]), many(queries.RESUMES), (2026, 11)).reports
+    got = {r.resume_id: r for r in out.collect()}
+    assert set(got) == {"a", "b"} and got["a"].overall_score > got["b"].overall_score
