@@ -331,10 +331,10 @@ def posted(nodes: DataFrame, threshold: int) -> DataFrame:
     return own.join(nodes.select("node", "n", "signature"), "node")
 
 
-def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, numbered: bool = False) -> DataFrame:
     """id, text_hash, n (set size), component (least id reachable, its own included) of every row.
 
-    Rows with an empty set have component = id.
+    Rows with an empty set have component = id.  ``numbered`` adds the component's number, which rows without any id have too.
     """
     bounded_batches(docs.sparkSession)
     rows = durable(signed(docs, id_column, text, width), "signed")
@@ -360,17 +360,17 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
 
     placed = nodes.select("node", "set_hash", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("id").alias("name"))
-    placed = placed.join(names, "component").select("set_hash", "name")
+    placed = placed.join(names, "component").select("set_hash", "name", F.col("component").alias("number"))
     out = rows.select("id", "text_hash", "n", "set_hash").join(placed, "set_hash", "left")
-    return out.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component"), *(["number"] if numbered else []))
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component, the one with its name, and all rows with an empty set; columns as they were."""
-    known = durable(classes(docs, id_column=id_column, text=text, **options), "classes")
+    known = durable(classes(docs, id_column=id_column, text=text, numbered=True, **options), "classes")
     wordless = known.where("n = 0").select("id", "text_hash").distinct().withColumn("times", F.lit(1).cast("long"))
     # a component of rows without id keeps the one of them whose text hashes lowest
-    named = known.where("n > 0").groupBy("component", F.when(F.col("component").isNull(), F.col("text_hash")).alias("own"))
+    named = known.where("n > 0").groupBy("component", F.when(F.col("component").isNull(), F.col("number")).alias("own"))
     kept = named.agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("one")).select(F.col("one.id").alias("id"), F.col("one.text_hash").alias("text_hash"))
     often = known.where("n > 0").groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
     kept = kept.join(often, kept["id"].eqNullSafe(often["id"]) & (kept["text_hash"] == often["text_hash"])).select(kept["id"], kept["text_hash"], "times").unionByName(wordless)

@@ -173,6 +173,13 @@ def test_one_of_each_class_stays(docs, none, texts):
     assert near_dup.keep_one(none).count() == 0
 
 
+def test_one_of_near_copies_without_id_stays(spark):
+    base = " ".join(f"word{k}" for k in range(200))
+    rows = [(None, base), (None, base + " more"), (None, base + " other"), (None, "quite another text of some words"), (1, "a third text with its own id")]
+    kept = [r.text for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()]
+    assert len(kept) == 3 and sum(t.startswith("word0") for t in kept) == 1
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 26)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
