@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import by_value, text_bytes
+from pairlens.llm.common import by_value, durable, text_bytes
 
 by_value(__name__)
 
@@ -42,6 +42,9 @@ SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 100, 2048, 8192
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Repeated digests that are broadcast (some 30 bytes each); salts of a longer table.
+MOST_SENT, SALT = 200_000, 16
+
 ARCHIVE_SCHEMA = "archive_id string, n_records long, data binary"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -51,19 +54,26 @@ class BrokenArchive(ValueError):
 
 
 def with_first_copies(pages: DataFrame, *, id_column: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest (hex), refers_to: the smallest id with the same payload, null if that is the row's own.
+    """page_id, url, payload, digest (20 bytes), refers_to: the smallest id with the same payload, null if that is the row's own.
 
-    The groups are reduced before the shuffle to one row each; a hot group's
-    rows are only joined, which adaptive execution splits.
+    Digests alone are shuffled to find the repeated ones.  A table of at most
+    ``MOST_SENT`` of those goes to the pages, whose payloads then stay where they
+    were read; a longer one meets them by digest and salt, so that a hot group's
+    pages are dealt to many tasks.
     """
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_bytes(F.col(payload)).alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    both = rows.join(first, "digest", "left")
+    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_bytes(F.col(payload)).alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = durable(groups.where("n > 1").select("digest", "first"), "repeated-payloads")
+    if first.count() <= MOST_SENT:
+        both = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        both = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(dealt, ["digest", "salt"], "left")
     return both.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("refers_to"))
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    name = base64.b32encode(bytes.fromhex(digest)).decode()
+def record(page_id, url: str | None, payload: bytes, digest: bytes, refers_to, date: str) -> bytes:
+    name = base64.b32encode(digest).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
@@ -177,7 +187,7 @@ def write_archives(pages: DataFrame, *, date: str = DATE, **options) -> DataFram
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(batch[c].astype(object).tolist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
-                held.append(record(None if pd.isna(page_id) else int(page_id), None if url is None else str(url), bytes(payload), digest, None if pd.isna(refers_to) else int(refers_to), date))
+                held.append(record(None if pd.isna(page_id) else int(page_id), None if url is None else str(url), bytes(payload), bytes(digest), None if pd.isna(refers_to) else int(refers_to), date))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()

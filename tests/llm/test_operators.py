@@ -235,7 +235,9 @@ def test_shards_are_least_whole_and_gapless(spark, docs, none, texts, monkeypatc
 # --- WARC ----------------------------------------------------------------------------------
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_archives_round_trip(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "MOST_SENT", sent)
     rows = [(5, "http://a", "<p>one</p>"), (2, "http://b", "<p>one</p>"), (2, "http://b2", "<p>one</p>"), (7, None, ""), (8, "u\r\nv", None), (None, "http://c", "<p>one</p>"), (9, "x", "y" * 300_000), (10, "k", "Café 中")] + [(100 + k, "h", f"page {k} " * 50) for k in range(200)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     archives = warc.write_archives(pages).cache()
@@ -260,7 +262,7 @@ def test_archives_round_trip(spark):
 
 
 def test_records_are_validated():
-    raw = warc.record(1, "u", b"body", hashlib.sha1(b"body").hexdigest(), None, warc.DATE)
+    raw = warc.record(1, "u", b"body", hashlib.sha1(b"body").digest(), None, warc.DATE)
     assert warc.parse_record(raw)["payload"] == b"body"
     for broken in (raw.replace(b"body", b"bodx"), raw[:-1], raw.replace(b"WARC/1.1", b"WARC/9"), raw.replace(b"WARC-Date: ", b"Other: "), raw.replace(b"Length: 4", b"Length: 3")):
         with pytest.raises(warc.BrokenArchive):
