@@ -274,21 +274,30 @@ def test_records_are_validated():
 # --- top-k -----------------------------------------------------------------------------------
 
 
-def test_search_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 6)
+@pytest.mark.parametrize(("block", "sent", "chunk"), [(512, 32_000_000, 4096), (6, 0, 16)])
+def test_search_equals_brute_force(spark, monkeypatch, block, sent, chunk):
+    for name, value in (("QUERY_BLOCK", block), ("MOST_SENT", sent), ("MOST_DOUBTS", sent), ("CHUNK_ROWS", chunk), ("HELD_BLOCKS", 2)):
+        monkeypatch.setattr(topk, name, value)
     draw = np.random.default_rng(1)
     rows = [(i, draw.normal(size=8).tolist()) for i in range(400)] + [(500 + i, [0.5] * 8) for i in range(30)]
     rows += [(600, None), (700, []), (701, [float("nan")] * 8), (702, [None] + [1.0] * 7), (703, [float("inf")] * 8), (None, [1.0] * 8), (800, [1.0, 2.0]), (900, [2.0, 1.0]), (1, rows[1][1])]
+    rows += [(1000 + i, [2e6 * (-1) ** i, 1e6 + i]) for i in range(40)]  # products of sixty bits and more
     got = topk.search(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int"), F.col("vec_id") % 20 == 0, k=5)
-    fine = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = set()
     for q, x in {i: v for i, v in reversed(fine) if i % 20 == 0}.items():
-        ranked = sorted((-int(x @ y), i) for i, y in fine if i != q and len(x) == len(y))[:5]
+        ranked = sorted((-sum(map(int.__mul__, x, y)), i) for i, y in fine if i != q and len(x) == len(y))[:5]
         want |= {(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)}
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == want
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3e6, 1e16])
+def test_scores_beyond_64_bits_are_refused(spark, size):
+    with pytest.raises(Exception, match="exceeds 6"):
+        topk.search(spark.createDataFrame([(0, [size] * 2), (1, [size] * 2)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 
