@@ -8,16 +8,19 @@ the one before that alone (skip), and the pair of classes before.
 The word is predicted within its class by ``DEPTH`` log-linear decisions down a
 binary tree over the bits of its hash.  Each begins at the shares of the counts
 on both sides and adds the weights of the word before and of the one before that,
-hashed whole together with the decision into a table whose size follows the
-training tokens.  Words of one leaf divide it by their counts plus a half each.
-Each class has one share for unknown words beside its tree, so the probabilities
-of all words sum to one.
-
-Training: exact token counts over all training text, by one shuffle; then
-``ROUNDS`` gradient steps, each over all training documents, whose gradients
-tasks sum locally and one aggregation joins, in blocks.  Scoring is one pass of
-sparse numpy batches.  The counts of the ``COMMON`` most frequent tokens travel to
-the tasks (a fixed size); all other tokens meet their counts in a join.
+if those are frequent enough to tell anything, hashed whole together with the
+decision into a table whose size follows the training tokens.  Words of one leaf
+divide it by their counts plus a half each.  Each class has one share for unknown
+words beside its tree, so the probabilities of all words sum to one.
+
+Training: exact token counts over all training text, by one shuffle.  Then one pass
+over all training texts gathers the gradient of the first step, whose predictions
+are the shares, and writes every distinct class context with its count.  Later
+steps of the class weights read those counts, which stand for all training tokens
+exactly; later steps of the word weights read the texts again.  Tasks sum what they
+send locally, and it is summed up in a tree of bounded fan-in.  Scoring is one pass
+of sparse numpy batches.  The counts of the ``COMMON`` most frequent tokens travel
+to the tasks (a fixed size); all other tokens meet their counts in a join.
 
 Tokens are identified by a 64-bit hash.  Defined results: null text is empty and
 has the end token alone; a null id is never held out; with no training text only
@@ -39,18 +42,22 @@ from pairlens.llm.common import bounded_batches, by_value, durable, text_bytes
 
 by_value(__name__)
 
-#: Classes, how many of them are single words, hashed buckets of a word, buckets of endings, frequent tokens sent to tasks, gradient steps.
-CLASSES, OWN, BUCKETS, ENDINGS, COMMON, ROUNDS = 64, 24, 1024, 4096, 1 << 17, 5
+#: Classes, how many of them are single words, hashed buckets of a word, buckets of endings, frequent tokens sent to tasks.
+CLASSES, OWN, BUCKETS, ENDINGS, COMMON = 64, 24, 1024, 4096, 1 << 17
+#: Gradient steps of class weights and of word weights, the first of either from the shares.
+CLASS_ROUNDS, WORD_ROUNDS = 8, 2
 #: Rows of the weights: two word positions and the pair of classes before.
 ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: Step length, and the pull towards zero in expected counts.
-RATE, PULL = 0.25, 20.0
-#: Decisions of a word, step length and pull of their weights.
-DEPTH, WORD_RATE, WORD_PULL = 12, 0.3, 20.0
+RATE, PULL = 0.15, 20.0
+#: Decisions of a word, step length and pull of their weights, least count of a word that they look back to.
+DEPTH, WORD_RATE, WORD_PULL, LEAST_CONTEXT = 10, 0.5, 4.0, 32
 #: Training tokens for each word weight, and the bits of the least and largest table (what tasks and driver hold).
-TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 16, 12, 22
-#: Numbers in a gradient block, and training tokens of a task for each number it sends.
-BLOCK, TOKENS_A_NUMBER = 16_384, 4
+TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 4, 12, 22
+#: Numbers in a gradient block, training tokens of a task for each number it sends, blocks summed at once, tasks of a small table.
+BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 2, 64, 6
+#: Tokens whose contexts a task holds before it counts them, and bytes of contexts of a task.
+CONTEXTS_HELD, CONTEXT_BYTES = 2_000_000, 8_000_000
 #: Distinct tokens that a counting task holds before it passes them on.
 WORDS_KEPT = 600_000
 CHUNK = 4096
@@ -240,43 +247,49 @@ class Model:
             out[start : start + CHUNK] -= np.log(self.exponents(raised, features[start : start + CHUNK], room) @ ones)
         return out
 
-    def decisions(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By token and depth: 1 for right or -1 for left, the offset, and by word before the place of its weight."""
+    def decisions(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token and depth: 1 for right or -1 for left, the node, and by word before the place of its weight; the last place, always 0, if it is too rare."""
         bits, depth = (hashes.view(np.uint64) >> np.uint64(64 - DEPTH)).astype(np.int64)[:, None], np.arange(DEPTH)
         nodes = (classes << DEPTH)[:, None] + (1 << depth) + (bits >> DEPTH - depth)
         side = (2 * (bits >> DEPTH - 1 - depth & 1) - 1).astype(np.float32)
-        mixed = nodes.astype(np.uint64) * MIX[0]
-        shift = np.uint64(65 - len(self.word_weights).bit_length())
-        places = np.stack([((before[:, k, None] * MIX[k + 1] ^ mixed) * MIX[3] >> shift).astype(np.int64) for k in range(2)])
-        return side, np.take(self.offsets, nodes), places
+        mixed, width = nodes.astype(np.uint64) * MIX[0], len(self.word_weights) - 1
+        shift = np.uint64(65 - width.bit_length())
+        words, usual = before
+        places = np.stack([np.where(usual[:, k, None], ((words[:, k, None] * MIX[k + 1] ^ mixed) * MIX[3] >> shift).astype(np.int64), width) for k in range(2)])
+        return side, nodes, places
 
-    def word_odds(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def word_odds(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """By token and depth: the odds against the side taken, with and without context; side and places."""
-        side, offset, places = self.decisions(hashes, classes, before)
+        side, nodes, places = self.decisions(hashes, classes, before)
+        offset = np.take(self.offsets, nodes)
         logit = np.take(self.word_weights, places[0])
         logit += np.take(self.word_weights, places[1])
         logit += offset
         return np.exp(-side * logit), np.exp(-side * offset), side, places
 
-    def word_gains(self, hashes: np.ndarray, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def word_gains(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> np.ndarray:
         """What context adds to the log probability of each token within its class, if the token is known."""
-        out, treed = np.zeros(len(hashes)), np.flatnonzero(classes >= len(self.own))
+        out, treed = np.zeros(len(hashes)), np.flatnonzero((classes >= len(self.own)) & before[1].any(1))
         with np.errstate(over="ignore", invalid="ignore"):  # only unknown words go where no counts are
             for start in range(0, len(treed), CHUNK):
                 at = treed[start : start + CHUNK]
-                odds, bare, _, _ = self.word_odds(hashes[at], classes[at], before[at])
+                odds, bare, _, _ = self.word_odds(hashes[at], classes[at], (before[0][at], before[1][at]))
                 out[at] = np.log((1 + bare).prod(1, dtype=np.float64)) - np.log((1 + odds).prod(1, dtype=np.float64))
         return np.nan_to_num(out, posinf=0.0, neginf=0.0)
 
 
+#: Hashes of the word before each token and of the one before that, and whether these are frequent enough.
+Before = tuple[np.ndarray, np.ndarray]
 #: Odd multipliers: of tree nodes, of the two words before, and of both together.
 MIX = np.random.default_rng(5).integers(1, 2**63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words_before(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hashes of the word before each token and of the one before that; the end token's before a text."""
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return np.stack([np.where(place >= k, hashes[np.maximum(np.arange(len(hashes)) - k, 0)], END_HASH) for k in (1, 2)], 1).view(np.uint64)
+def words_before(hashes: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> Before:
+    """The two words before each token; the end token stands before a text."""
+    at, place = np.arange(len(hashes)), np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    back = [(place >= k, np.maximum(at - k, 0)) for k in (1, 2)]
+    words = np.stack([np.where(there, hashes[of], END_HASH) for there, of in back], 1).view(np.uint64)
+    return words, np.stack([np.where(there, counts[of] >= LEAST_CONTEXT, True) for there, of in back], 1)
 
 
 def tree_offsets(leaves: np.ndarray) -> np.ndarray:
@@ -316,47 +329,60 @@ def class_layout(endings: pd.DataFrame, common: pd.DataFrame, total: int, distin
     weights[:BUCKETS] = np.log(mass / mass.sum())
     return Model(
         common["token"].to_numpy(np.int64)[order], common["c"].to_numpy(np.int64)[order], own, class_of_ending, mass,
-        weights, total, distinct, np.zeros(CLASSES << DEPTH, np.float32), np.zeros(1 << min(MOST_BITS, max(LEAST_BITS, (total // TOKENS_A_WEIGHT).bit_length() - 1)), np.float32),
+        weights, total, distinct, np.zeros(CLASSES << DEPTH, np.float32), np.zeros((1 << min(MOST_BITS, max(LEAST_BITS, (total // TOKENS_A_WEIGHT).bit_length() - 1))) + 1, np.float32),
     )
 
 
-def gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], tables: tuple[Lookup, Lookup], sums: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Add to ``sums`` the gradient by feature row and class, to ``seen`` how often each row occurs; the tokens' classes."""
-    hashes, endings, lengths = tokens
-    classes, buckets, _ = model.facts(hashes, endings, tables)
-    features = model.features(classes, buckets, lengths)
-    count = features.shape[1]
-    for k in range(count):
+def observed(features: np.ndarray, classes: np.ndarray, sums: np.ndarray) -> None:
+    """Add to ``sums`` how often each feature row stands before each class."""
+    for k in range(features.shape[1]):
         sums += np.bincount(features[:, k] * CLASSES + classes, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-        seen += np.bincount(features[:, k], minlength=ROWS)
-    room, ones, raised = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32), np.exp(model.weights)
-    for start in range(0, len(features), CHUNK):
-        part = features[start : start + CHUNK]
-        expected = model.exponents(raised, part, room)
-        expected /= (expected @ ones)[:, None]
-        for k in range(count):
+
+
+def packed(features: np.ndarray) -> np.ndarray:
+    """The three feature rows of a context in one number, the first one highest."""
+    return ((features[:, 0] << 22 | features[:, 1] - BUCKETS << 12) | features[:, 2] - 2 * BUCKETS).astype(np.uint32)
+
+
+def unpacked(keys: np.ndarray) -> np.ndarray:
+    keys = keys.astype(np.int64)
+    return np.stack([keys >> 22, (keys >> 12 & BUCKETS - 1) + BUCKETS, (keys & 4095) + 2 * BUCKETS], 1)
+
+
+def expected(weights: np.ndarray, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> None:
+    """Add to ``sums`` how often the model expects each class behind each feature row of these contexts."""
+    room, ones, raised = np.empty((2, CHUNK, CLASSES), np.float32), np.ones(CLASSES, np.float32), np.exp(weights)
+    for start in range(0, len(keys), CHUNK):
+        part = unpacked(keys[start : start + CHUNK])
+        share = Model.exponents(raised, part, room)
+        share *= (counts[start : start + CHUNK] / (share @ ones))[:, None].astype(np.float32)
+        for k in range(part.shape[1]):
             order = np.argsort(part[:, k].astype(np.int16), kind="stable")
             named = part[order, k]
             firsts = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
-            np.take(expected, order, axis=0, out=room[1, : len(part)], mode="clip")
-            sums[named[firsts]] -= np.add.reduceat(room[1, : len(part)], firsts, axis=0)
-    return classes
+            np.take(share, order, axis=0, out=room[1, : len(part)], mode="clip")
+            sums[named[firsts]] += np.add.reduceat(room[1, : len(part)], firsts, axis=0)
 
 
-def word_gradient(model: Model, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], classes: np.ndarray, sums: np.ndarray, bend: np.ndarray | None) -> None:
-    """Add to ``sums`` the gradient of the word weights, to ``bend`` (if given) their curvature."""
-    hashes, _, lengths = tokens
-    before = words_before(hashes, lengths)
-    treed = np.flatnonzero(classes >= len(model.own))
+def word_gradient(model: Model, hashes: np.ndarray, classes: np.ndarray, before: Before, sums: np.ndarray, bend: np.ndarray | None) -> None:
+    """Add to ``sums`` the gradient of the word weights; with ``bend``, that of the first step, and its curvature to ``bend``."""
+    treed = np.flatnonzero((classes >= len(model.own)) & before[1].any(1))
+    shares = None if bend is None else 1 / (1 + np.exp(-model.offsets))
     for start in range(0, len(treed), CHUNK):
         at = treed[start : start + CHUNK]
-        odds, _, side, places = model.word_odds(hashes[at], classes[at], before[at])
-        miss = odds / (1 + odds)
-        wrong = (side * miss).ravel().astype(np.float64)
+        own = hashes[at], classes[at], (before[0][at], before[1][at])
+        if bend is None:
+            odds, _, side, places = model.word_odds(*own)
+            wrong = side * (odds / (1 + odds))
+        else:
+            side, nodes, places = model.decisions(*own)
+            right = np.take(shares, nodes)
+            wrong, curve = (side > 0) - right, right * (1 - right)
         for k in range(2):
-            np.add.at(sums, places[k].ravel(), wrong)
+            usual = before[1][at, k]
+            np.add.at(sums, places[k][usual].ravel(), wrong[usual].ravel().astype(np.float64))
             if bend is not None:
-                np.add.at(bend, places[k].ravel(), (miss * (1 - miss)).ravel().astype(np.float64))
+                np.add.at(bend, places[k][usual].ravel(), curve[usual].ravel().astype(np.float64))
 
 
 def step(model: Model, sums: np.ndarray, seen: np.ndarray) -> None:
@@ -366,43 +392,106 @@ def step(model: Model, sums: np.ndarray, seen: np.ndarray) -> None:
     np.clip(model.weights, -20, 20, out=model.weights)
 
 
-def round_of(docs: DataFrame, model: Model, bend: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The gradient over all texts in ``raw``: tasks sum, then blocks of numbers are summed in a tree.
+def word_step(model: Model, sums: np.ndarray, bend: np.ndarray) -> None:
+    model.word_weights += (WORD_RATE * (sums - WORD_PULL * model.word_weights) / (bend + WORD_PULL)).astype(np.float32)
+    np.clip(model.word_weights, -10, 10, out=model.word_weights)
+    model.word_weights[-1] = 0
 
-    By class weight and how often its row occurs, by word weight, and their curvature if ``bend``.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    width = len(model.word_weights)
-    size = ROWS * (CLASSES + 1) + width * (2 if bend else 1)
+
+PARTS = "block int, twig int, data binary"
+
+
+def parts_of(arrays: list[np.ndarray]) -> pd.DataFrame:
+    """What a task sends: all numbers in blocks."""
+    every, task = np.concatenate([x.ravel() for x in arrays]).astype(np.float32), TaskContext.get().partitionId()
+    starts = range(0, len(every), BLOCK)
+    return pd.DataFrame({"block": range(len(starts)), "twig": task // FAN_IN, "data": [every[b : b + BLOCK].tobytes() for b in starts]})
+
+
+def summed(parts: DataFrame, tasks: int, sizes: list[int]) -> list[np.ndarray]:
+    """The sums of what at most ``tasks`` tasks sent, as arrays of these sizes; no group holds more than ``FAN_IN`` blocks."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["data"])
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "twig": [group["twig"].iloc[0] // FAN_IN], "data": [total.astype(np.float32).tobytes()]})
+
+    while True:
+        parts, tasks = parts.groupBy("block", "twig").applyInPandas(add, PARTS), -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    got = parts.toPandas().sort_values("block")  # a bounded number of rows
+    every = np.frombuffer(b"".join(got["data"]), np.float32).astype(np.float64) if len(got) else np.zeros(sum(sizes))
+    return np.split(every, np.cumsum(sizes)[:-1])
+
+
+def first_round(docs: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Over all texts in ``raw``: observed classes by feature row, gradient and curvature of the word weights, and the table of contexts (data: keys, then counts)."""
+    sent, width = docs.sparkSession.sparkContext.broadcast(model), len(model.word_weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, hasher = sent.value, Hasher()
         tables = model.tables()
-        sums, seen, any_rows = np.zeros((ROWS, CLASSES)), np.zeros(ROWS), False
-        word_sums, bends = np.zeros(width), np.zeros(width) if bend else None
+        sums, word_sums, bend = np.zeros((ROWS, CLASSES)), np.zeros(width), np.zeros(width)
+        held, size, any_rows = [], 0, False
+
+        def contexts() -> pd.DataFrame:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"block": [-1], "twig": [0], "data": [keys.tobytes() + counts.astype(np.uint32).tobytes()]})
+
         for batch in batches:
             any_rows = True
-            tokens = hasher.of(batch["raw"].tolist())
-            classes = gradient(model, tokens, tables, sums, seen)
-            word_gradient(model, tokens, classes, word_sums, bends)
+            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
+            classes, buckets, counts = model.facts(hashes, endings, tables)
+            features = model.features(classes, buckets, lengths)
+            observed(features, classes, sums)
+            held.append(packed(features))
+            size += len(features)
+            if size >= CONTEXTS_HELD:
+                yield contexts()
+                held, size = [], 0
+            word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), word_sums, bend)
+        if held:
+            yield contexts()
         if any_rows:
-            every, task = np.concatenate([x.ravel() for x in (sums, seen, word_sums, bends) if x is not None]).astype(np.float32), TaskContext.get().partitionId()
-            starts = range(0, size, BLOCK)
-            yield pd.DataFrame({"block": range(len(starts)), "twig": task % 8, "data": [every[b : b + BLOCK].tobytes() for b in starts]})
+            yield parts_of([sums, word_sums, bend])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["data"])
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
+    rows = durable(docs.coalesce(tasks).mapInPandas(run, PARTS), "first-round")
+    sums, word_sums, bend = summed(rows.where("block >= 0"), tasks, [ROWS * CLASSES, width, width])
+    return sums.reshape(ROWS, CLASSES), word_sums, bend, rows.where("block < 0").select("data")
 
-    # merged tasks keep what is sent in proportion to the input
-    tasks = max(8, model.total // (TOKENS_A_NUMBER * width))
-    twigs = docs.coalesce(tasks).mapInPandas(run, "block int, twig int, data binary")
-    if tasks > 64:  # fewer parts need no first level
-        twigs = twigs.groupBy("block", "twig").applyInPandas(add, "block int, data binary")
-    got = twigs.groupBy("block").applyInPandas(add, "block int, data binary").toPandas().sort_values("block")  # a bounded number of rows
-    every = np.frombuffer(b"".join(got["data"]), np.float32).astype(np.float64) if len(got) else np.zeros(size)
-    sums, seen, words, bends = np.split(every, np.cumsum([ROWS * CLASSES, ROWS, width]))
-    return sums.reshape(ROWS, CLASSES), seen, words, bends
+
+def class_round(contexts: DataFrame, model: Model, tasks: int) -> np.ndarray:
+    """The classes that the model expects behind each feature row, over all training tokens."""
+    sent = contexts.sparkSession.sparkContext.broadcast(model.weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, any_rows = np.zeros((ROWS, CLASSES)), False
+        for batch in batches:
+            for data in batch["data"]:
+                any_rows, numbers = True, np.frombuffer(data, np.uint32)
+                expected(sent.value, numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :], sums)
+        if any_rows:
+            yield parts_of([sums])
+
+    return summed(contexts.coalesce(tasks).mapInPandas(run, PARTS), tasks, [ROWS * CLASSES])[0].reshape(ROWS, CLASSES)
+
+
+def word_round(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
+    """The gradient of the word weights over all texts in ``raw``."""
+    sent, width = docs.sparkSession.sparkContext.broadcast(model), len(model.word_weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, hasher, sums, any_rows = sent.value, Hasher(), np.zeros(width), False
+        tables = model.tables()
+        for batch in batches:
+            any_rows = True
+            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
+            classes, _, counts = model.facts(hashes, endings, tables)
+            word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), sums, None)
+        if any_rows:
+            yield parts_of([sums])
+
+    return summed(docs.coalesce(tasks).mapInPandas(run, PARTS), tasks, [width])[0]
 
 
 def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, DataFrame]:
@@ -419,13 +508,17 @@ def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, D
     common = counts.where(level >= int(low.min() if len(low) else 2**30)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     model = class_layout(endings, common, total, distinct)
     model.offsets = tree_offsets(leaf_masses(counts, model))
-    curvature = None
-    for k in range(ROUNDS):
-        sums, seen, words, bends = round_of(train, model, k == 0)
-        curvature = bends if k == 0 else curvature
-        step(model, sums, seen)
-        model.word_weights += (WORD_RATE * (words - WORD_PULL * model.word_weights) / (curvature + WORD_PULL)).astype(np.float32)
-        np.clip(model.word_weights, -10, 10, out=model.word_weights)
+    # merged tasks keep what is sent in proportion to the input
+    tasks = max(LEAST_TASKS, total // (TOKENS_A_NUMBER * len(model.word_weights)))
+    seen_classes, word_sums, bend, contexts = first_round(train, model, tasks)
+    seen, share = seen_classes.sum(1), model.mass / model.mass.sum()
+    size = contexts.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    step(model, seen_classes - seen[:, None] * share, seen)
+    for _ in range(CLASS_ROUNDS - 1):
+        step(model, seen_classes - class_round(contexts, model, max(LEAST_TASKS, size // CONTEXT_BYTES)), seen)
+    word_step(model, word_sums, bend)
+    for _ in range(WORD_ROUNDS - 1):
+        word_step(model, word_round(train, model, tasks), bend)
     return model, counts
 
 
@@ -454,7 +547,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
             features = model.features(classes, buckets, lengths)
             gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
             there = counts >= 0
-            word_gain = model.word_gains(hashes, classes, words_before(hashes, lengths)) / np.log(10)
+            word_gain = model.word_gains(hashes, classes, words_before(hashes, counts, lengths)) / np.log(10)
             gain += np.where(counts > 0, word_gain, 0.0)
             logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
             starts = np.cumsum(lengths) - lengths

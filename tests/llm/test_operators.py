@@ -393,16 +393,96 @@ def test_words_of_a_class_share_its_probability():
     np.add.at(leaves[own], (inside.view(np.uint64) >> np.uint64(64 - maxent_lm.DEPTH)).astype(int), common["c"].to_numpy()[maxent_lm.OWN :] + 0.5)
     model.offsets = maxent_lm.tree_offsets(leaves)
     model.word_weights[:] = draw.normal(0, 2, len(model.word_weights))
-    gains = model.word_gains(inside, np.full(len(inside), own), np.tile(np.array([5, 9], np.uint64), (len(inside), 1)))
+    model.word_weights[-1] = 0
+    gains = model.word_gains(inside, np.full(len(inside), own), (np.tile(np.array([5, 9], np.uint64), (len(inside), 1)), np.tile([True, False], (len(inside), 1))))
     shares = (common["c"].to_numpy()[maxent_lm.OWN :] + 0.5) / leaves[own].sum()
     assert np.abs(gains).max() > 0.5 and (shares * np.exp(gains)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_every_step_reads_all_training_texts(spark, monkeypatch):
-    seen, real = [], maxent_lm.round_of
-    monkeypatch.setattr(maxent_lm, "round_of", lambda docs, *a: seen.append(docs.count()) or real(docs, *a))
-    maxent_lm.fit(spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string"), F.lit(True))
-    assert seen == [40] * maxent_lm.ROUNDS
+def test_every_step_covers_all_training_texts(spark, monkeypatch):
+    texts, words = [], []
+    real = maxent_lm.first_round, maxent_lm.word_round
+
+    def first(docs, model, tasks):
+        out = real[0](docs, model, tasks)
+        counts = sum(np.frombuffer(r.data, np.uint32)[len(r.data) // 8 :].sum() for r in out[3].collect())
+        words.append((docs.count(), counts, model.total, out[0].sum() / 3))
+        return out
+
+    monkeypatch.setattr(maxent_lm, "first_round", first)
+    monkeypatch.setattr(maxent_lm, "word_round", lambda docs, *a: texts.append(docs.count()) or real[1](docs, *a))
+    monkeypatch.setattr(maxent_lm, "CONTEXTS_HELD", 50)
+    maxent_lm.fit(spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(9), F.lit(True))
+    assert words == [(400, 1200, 1200, 1200)] and texts == [400] * (maxent_lm.WORD_ROUNDS - 1)
+
+
+def test_sums_of_many_tasks(spark):
+    parts = [(b, t // maxent_lm.FAN_IN, np.full(4, float(t * 10 + b), np.float32).tobytes()) for t in range(500) for b in range(3)]
+    out = maxent_lm.summed(spark.createDataFrame(parts, maxent_lm.PARTS), 500, [5, 7])
+    assert [len(x) for x in out] == [5, 7] and np.concatenate(out).reshape(3, 4).tolist() == [[sum(t * 10 + b for t in range(500))] * 4 for b in range(3)]
+    assert [x.tolist() for x in maxent_lm.summed(spark.createDataFrame([], maxent_lm.PARTS), 3, [1, 2])] == [[0], [0, 0]]
+
+
+def test_scores_equal_a_dense_softmax(spark):
+    draw = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "kptmvz" for b in "aeiou" for c in ("n", "ru", "ka", "st")]
+    rows = [(k, " ".join(draw.choices(words, range(1, len(words) + 1), k=draw.randint(0, 40)))) for k in range(500)] + [(900, "kan unheard-of TEKA"), (901, None)]
+    learn = (F.col("doc_id") < 400) | (F.col("doc_id") == 901)
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = maxent_lm.fit(every, learn)
+    assert np.abs(model.word_weights).max() > 0.05 and np.abs(model.weights).max() > 0.5
+    facts = {r.token: (r.ending, r.c) for r in counts.collect()}
+    hasher, tables, depth = maxent_lm.Hasher(), model.tables(), maxent_lm.DEPTH
+    vocabulary = np.array(list(facts), np.int64)
+    endings, often = (np.array([facts[int(h)][k] for h in vocabulary]) for k in (0, 1))
+    classes, buckets, _ = model.facts(vocabulary, endings, tables)
+    place = {int(h): k for k, h in enumerate(vocabulary)}
+
+    def side_weight(node, before):
+        mask, width, total = 2**64 - 1, len(model.word_weights) - 1, 0.0
+        for k, word in enumerate(before):
+            if word is None or facts[word][1] >= maxent_lm.LEAST_CONTEXT:
+                own = int(maxent_lm.END_HASH if word is None else word) & mask
+                mixed = ((own * int(maxent_lm.MIX[k + 1]) ^ int(node) * int(maxent_lm.MIX[0])) & mask) * int(maxent_lm.MIX[3]) & mask
+                total += float(model.word_weights[mixed >> 65 - width.bit_length()])
+        return total
+
+    def distribution(before):
+        """The probability of every known word behind these two (nearest first), by the definition, and of all unknown ones together."""
+        own = [0 if w is None else model.facts(np.array([w]), np.array([facts[w][0]]), tables) for w in before]
+        bucket = [(k + 1) % maxent_lm.CLASSES if w is None else int(own[k][1][0]) for k, w in enumerate(before)]
+        c = [0 if w is None else int(own[k][0][0]) for k, w in enumerate(before)]
+        logits = model.weights[bucket[0]] + model.weights[maxent_lm.BUCKETS + bucket[1]] + model.weights[2 * maxent_lm.BUCKETS + c[0] * maxent_lm.CLASSES + c[1]]
+        share = np.exp(logits.astype(np.float64))
+        share /= share.sum()
+        out, rest = np.zeros(len(vocabulary)), 0.0
+        for k in range(maxent_lm.CLASSES):
+            inside = np.flatnonzero(classes == k)
+            mass = often[inside] + 0.5
+            rest += share[k] * 0.5 / model.mass[k]
+            if k < len(model.own):
+                out[inside] = share[k] * mass / model.mass[k]
+                continue
+            # the tree: at each node both sides' probabilities, then a leaf's words by their counts
+            leaf = (vocabulary[inside].view(np.uint64) >> np.uint64(64 - depth)).astype(int)
+            for i, (one, m) in enumerate(zip(leaf, mass)):
+                chance = 1.0
+                for d in range(depth):
+                    node = (k << depth) + (1 << d) + (one >> depth - d)
+                    right = 1 / (1 + math.exp(-(float(model.offsets[node]) + side_weight(node, before))))
+                    chance *= right if one >> depth - 1 - d & 1 else 1 - right
+                out[inside[i]] = share[k] * (model.mass[k] - 0.5) / model.mass[k] * chance * m / mass[leaf == one].sum()
+        assert out.sum() + rest == pytest.approx(1, abs=1e-4)
+        return out
+
+    got = {r.id: r.score for r in maxent_lm.score(every, model, counts).collect()}
+    for i, t in [r for r in rows if r[0] in (3, 450, 470, 901)]:
+        hashes, _, _ = hasher.of([(t or "").encode()])
+        tokens = [int(h) for h in hashes]
+        if any(h not in place for h in tokens):
+            continue
+        want = sum(math.log10(distribution([tokens[j - k] if j >= k else None for k in (1, 2)])[place[h]]) for j, h in enumerate(tokens))
+        assert got[i] == pytest.approx(want, abs=1e-3 * len(tokens)), i
 
 
 # --- personal data ------------------------------------------------------------------------------------
