@@ -53,7 +53,7 @@ RATE, PULL = 0.15, 20.0
 #: Decisions of a word, step length and pull of their weights, least count of a word that they look back to.
 DEPTH, WORD_RATE, WORD_PULL, LEAST_CONTEXT = 10, 0.5, 4.0, 32
 #: Training tokens for each word weight, and the bits of the least and largest table (what tasks and driver hold).
-TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 4, 12, 22
+TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 8, 12, 21
 #: Numbers in a gradient block, training tokens of a task for each number it sends, blocks summed at once, tasks of a small table.
 BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 2, 64, 6
 #: Tokens whose contexts a task holds before it counts them, and bytes of contexts of a task.
@@ -94,18 +94,6 @@ class Hasher:
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash and ending of every token, an end token after each text, and the number of each text's tokens."""
-        parts, group, size = [], [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text) + 1
-            if size >= HASHED_BYTES:
-                parts.append(self._some(group))
-                group, size = [], 0
-        if group or not parts:
-            parts.append(self._some(group))
-        return tuple(np.concatenate(x) for x in zip(*parts))
-
-    def _some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(x for t in texts for x in (t, b" ")), np.uint8)
         if len(self.up) < len(raw):
             room = max(HASHED_BYTES + 4096, len(raw))
@@ -132,6 +120,19 @@ class Hasher:
         return all_hashes, all_endings, lengths
 
 
+def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``HASHED_BYTES``, so that what is worked out for them stays small."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text) + 1
+        if size >= HASHED_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def counted(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, their endings, and the sums of their counts."""
     if not len(hashes):
@@ -149,12 +150,13 @@ def token_counts(docs: DataFrame) -> DataFrame:
         hasher, none = Hasher(), np.empty(0, np.int64)
         held = none, none, none
         for batch in batches:
-            hashes, endings, _ = hasher.of(batch["raw"].tolist())
-            new = counted(hashes, endings, np.ones(len(hashes), np.int64))
-            held = counted(*(np.concatenate(x) for x in zip(held, new)))
-            if len(held[0]) > WORDS_KEPT:
-                yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
-                held = none, none, none
+            for texts in portions(batch["raw"].tolist()):
+                hashes, endings, _ = hasher.of(texts)
+                new = counted(hashes, endings, np.ones(len(hashes), np.int64))
+                held = counted(*(np.concatenate(x) for x in zip(held, new)))
+                if len(held[0]) > WORDS_KEPT:
+                    yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
+                    held = none, none, none
         yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
 
     return docs.mapInPandas(run, "token long, ending int, c long").groupBy("token").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
@@ -401,11 +403,15 @@ def word_step(model: Model, sums: np.ndarray, bend: np.ndarray) -> None:
 PARTS = "block int, twig int, data binary"
 
 
-def parts_of(arrays: list[np.ndarray]) -> pd.DataFrame:
-    """What a task sends: all numbers in blocks."""
-    every, task = np.concatenate([x.ravel() for x in arrays]).astype(np.float32), TaskContext.get().partitionId()
-    starts = range(0, len(every), BLOCK)
-    return pd.DataFrame({"block": range(len(starts)), "twig": task // FAN_IN, "data": [every[b : b + BLOCK].tobytes() for b in starts]})
+def parts_of(arrays: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """What a task sends: the numbers of all arrays in blocks, of which the last of an array may be shorter."""
+    twig, number = TaskContext.get().partitionId() // FAN_IN, 0
+    for array in arrays:
+        flat = array.ravel()
+        for start in range(0, len(flat), BLOCK * 16):
+            some = [flat[at : at + BLOCK].astype(np.float32).tobytes() for at in range(start, min(len(flat), start + BLOCK * 16), BLOCK)]
+            yield pd.DataFrame({"block": range(number, number + len(some)), "twig": twig, "data": some})
+            number += len(some)
 
 
 def summed(parts: DataFrame, tasks: int, sizes: list[int]) -> list[np.ndarray]:
@@ -440,20 +446,21 @@ def first_round(docs: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray,
 
         for batch in batches:
             any_rows = True
-            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
-            classes, buckets, counts = model.facts(hashes, endings, tables)
-            features = model.features(classes, buckets, lengths)
-            observed(features, classes, sums)
-            held.append(packed(features))
-            size += len(features)
-            if size >= CONTEXTS_HELD:
-                yield contexts()
-                held, size = [], 0
-            word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), word_sums, bend)
+            for texts in portions(batch["raw"].tolist()):
+                hashes, endings, lengths = hasher.of(texts)
+                classes, buckets, counts = model.facts(hashes, endings, tables)
+                features = model.features(classes, buckets, lengths)
+                observed(features, classes, sums)
+                held.append(packed(features))
+                size += len(features)
+                if size >= CONTEXTS_HELD:
+                    yield contexts()
+                    held, size = [], 0
+                word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), word_sums, bend)
         if held:
             yield contexts()
         if any_rows:
-            yield parts_of([sums, word_sums, bend])
+            yield from parts_of([sums, word_sums, bend])
 
     rows = durable(docs.coalesce(tasks).mapInPandas(run, PARTS), "first-round")
     sums, word_sums, bend = summed(rows.where("block >= 0"), tasks, [ROWS * CLASSES, width, width])
@@ -471,7 +478,7 @@ def class_round(contexts: DataFrame, model: Model, tasks: int) -> np.ndarray:
                 any_rows, numbers = True, np.frombuffer(data, np.uint32)
                 expected(sent.value, numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :], sums)
         if any_rows:
-            yield parts_of([sums])
+            yield from parts_of([sums])
 
     return summed(contexts.coalesce(tasks).mapInPandas(run, PARTS), tasks, [ROWS * CLASSES])[0].reshape(ROWS, CLASSES)
 
@@ -485,11 +492,12 @@ def word_round(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
         tables = model.tables()
         for batch in batches:
             any_rows = True
-            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
-            classes, _, counts = model.facts(hashes, endings, tables)
-            word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), sums, None)
+            for texts in portions(batch["raw"].tolist()):
+                hashes, endings, lengths = hasher.of(texts)
+                classes, _, counts = model.facts(hashes, endings, tables)
+                word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), sums, None)
         if any_rows:
-            yield parts_of([sums])
+            yield from parts_of([sums])
 
     return summed(docs.coalesce(tasks).mapInPandas(run, PARTS), tasks, [width])[0]
 
@@ -542,24 +550,26 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
         tables = model.tables()
         log_mass, task = np.log10(model.mass), TaskContext.get().partitionId()
         for batch in batches:
-            hashes, endings, lengths = hasher.of(batch["raw"].tolist())
-            classes, buckets, counts = model.facts(hashes, endings, tables)
-            features = model.features(classes, buckets, lengths)
-            gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
-            there = counts >= 0
-            word_gain = model.word_gains(hashes, classes, words_before(hashes, counts, lengths)) / np.log(10)
-            gain += np.where(counts > 0, word_gain, 0.0)
-            logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
-            starts = np.cumsum(lengths) - lengths
-            cuts = np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1]
-            rare, rare_gain = np.split(hashes[~there], cuts), np.split(word_gain[~there].astype(np.float32), cuts)
-            yield pd.DataFrame(
-                {
-                    "row": (np.int64(task) << 33) + done + np.arange(len(batch)), "id": batch["id"], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
-                    "logs": np.add.reduceat(logs, starts), "gain": np.add.reduceat(gain, starts), "rare": rare, "rare_gain": rare_gain,
-                }
-            )
-            done += len(batch)
+            first = 0
+            for texts in portions(batch["raw"].tolist()):
+                hashes, endings, lengths = hasher.of(texts)
+                classes, buckets, counts = model.facts(hashes, endings, tables)
+                features = model.features(classes, buckets, lengths)
+                gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
+                there = counts >= 0
+                word_gain = model.word_gains(hashes, classes, words_before(hashes, counts, lengths)) / np.log(10)
+                gain += np.where(counts > 0, word_gain, 0.0)
+                logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
+                starts = np.cumsum(lengths) - lengths
+                cuts = np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1]
+                rare, rare_gain = np.split(hashes[~there], cuts), np.split(word_gain[~there].astype(np.float32), cuts)
+                yield pd.DataFrame(
+                    {
+                        "row": (np.int64(task) << 33) + done + np.arange(len(texts)), "id": batch["id"].to_numpy()[first : first + len(texts)], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
+                        "logs": np.add.reduceat(logs, starts), "gain": np.add.reduceat(gain, starts), "rare": rare, "rare_gain": rare_gain,
+                    }
+                )
+                first, done = first + len(texts), done + len(texts)
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_bytes(F.col(text)).alias("raw"))
