@@ -3,13 +3,14 @@
 Of every ``window - gram + 1`` neighbouring word k-grams the one with the least
 hash (the rightmost of equals) is kept as a fingerprint.  A document and an item
 that share ``window`` words in a row share all hashes of one such stretch, hence
-a fingerprint: no shared span of that length is missed.  Fingerprints are joined
-in each task against those of a block of items; a hit is extended word by word
-to its full shared span, and spans of at least ``window`` words count.
+a fingerprint: no shared span of that length is missed.  Documents are joined with
+items by fingerprint; a hit is extended word by word to its full shared span, and
+spans of at least ``window`` words count.
 
-Items are read in blocks of at most ``BLOCK_BYTES`` of text, one block being the
-usual case.  Only a block travels to the tasks, so memory is bounded whatever
-the number of items; between blocks the rows go to the shared folder.
+A benchmark of at most ``MOST_SENT`` bytes is broadcast, and the join is a look-up
+in the tasks that read the documents.  A larger one is joined by shuffle: the
+fingerprints of both sides meet, each pair of a document and an item once, and
+a document is then extended against its own items, ``PART`` at a time.
 
 Defined results: null or wordless texts have no words, no spans, no items.  An
 item of fewer than ``window`` words but not none is one window, found by its own
@@ -29,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import by_value, durable, fresh, text_bytes, worker_cache
+from pairlens.llm.common import bounded_batches, by_value, durable, fresh, quoted, text_bytes, worker_cache
 
 by_value(__name__)
 
-#: Bytes of item text that are sent to the tasks at once.
-BLOCK_BYTES = 16_000_000
+#: Bytes of item text that are broadcast at most, and items that one row carries to its document beyond that, about.
+MOST_SENT, PART = 16_000_000, 64
 #: Word hashes kept in a worker; beyond that it starts anew. Affects time only.
 CACHED_WORDS = 400_000
 #: Bytes of words: 0-9, a-z, A-Z (lower-cased) and all beyond ASCII; others separate.
@@ -87,15 +88,27 @@ def winnow(grams: np.ndarray, width: int) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 
+def prints_of(words: list[bytes], window: int, gram: int, known: WordHashes) -> tuple[int, np.ndarray]:
+    """The number of words and the whole hash of a short item; 0 and the fingerprints of another."""
+    hashes = hashes_of(words, known)
+    if len(words) < window:
+        return len(words), gram_hashes(hashes, max(1, len(words)))
+    grams = gram_hashes(hashes, gram)
+    return 0, np.unique(grams[winnow(grams, window - gram + 1)])
+
+
 class ItemIndex:
-    """Fingerprints of a block of items, and whole hashes of the short ones."""
+    """Fingerprints of some items (names, text), and whole hashes of the short ones; equal texts are one item."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int, gram: int):
+    def __init__(self, items: list[tuple[list[str], bytes]], window: int, gram: int):
         self.window, self.gram, self.known = window, gram, WordHashes()
-        self.items = [(i, words_of(text)) for i, text in items]
+        named: dict[tuple[bytes, ...], set[str]] = {}
+        for names, text in items:
+            named.setdefault(tuple(words_of(text)), set()).update(names)
+        self.items = list(named.items())
         self.prints: dict[int, list[tuple[int, int]]] = {}
         self.short: dict[int, dict[int, list[int]]] = {}
-        for k, (_, words) in enumerate(self.items):
+        for k, (words, _) in enumerate(self.items):
             hashes = hashes_of(words, self.known)
             if 0 < len(words) < window:
                 self.short.setdefault(len(words), {}).setdefault(int(gram_hashes(hashes, len(words))[0]), []).append(k)
@@ -112,8 +125,8 @@ class ItemIndex:
             return np.zeros(len(values), bool)
         return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Shared spans, and the items they belong to."""
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Shared spans, and the names of the items they belong to."""
         hashes = hashes_of(words, self.known)
         spans, found, size = [], set(), len(words)
         grams = gram_hashes(hashes, self.gram)
@@ -123,7 +136,7 @@ class ItemIndex:
             for k, q in self.prints[int(grams[p])]:
                 if reached.get((k, p - q), -1) > p:
                     continue
-                other = self.items[k][1]
+                other = self.items[k][0]
                 low, high, end = p, p, len(other)
                 while low > 0 and low - p + q > 0 and words[low - 1] == other[low - 1 - p + q]:
                     low -= 1
@@ -132,14 +145,14 @@ class ItemIndex:
                 reached[k, p - q] = max(high, p + 1)
                 if high - low >= self.window:
                     spans.append((low, high))
-                    found.add(k)
+                    found |= self.items[k][1]
         for n, table in self.short.items():
             grams = gram_hashes(hashes, n)
             for p in np.flatnonzero(self._in(grams, self.sorted_short[n])).tolist():
                 for k in table[int(grams[p])]:
-                    if words[p : p + n] == self.items[k][1]:
+                    if tuple(words[p : p + n]) == self.items[k][0]:
                         spans.append((p, p + n))
-                        found.add(k)
+                        found |= self.items[k][1]
         return spans, found
 
 
@@ -153,35 +166,83 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _block_udf(items: list[tuple[str | None, bytes]], window: int, gram: int, spark):
-    sent, name = spark.sparkContext.broadcast(items), f"winnow:{uuid.uuid4().hex}"
+def _hit(size: int, spans: list[tuple[int, int]], names: set[str]) -> tuple:
+    return size, [{"start": a, "stop": b} for a, b in joined(spans)], sorted(names)
+
+
+def _looked_up(docs: DataFrame, items: DataFrame, output: str, text: str, window: int, gram: int) -> DataFrame:
+    """``docs`` with its hits, by a look-up in the broadcast items (i, t)."""
+    every = [([] if r.i is None else [r.i], bytes(r.t)) for r in items.collect()]  # MOST_SENT bytes at most
+    sent, name = docs.sparkSession.sparkContext.broadcast(every), f"winnow:{uuid.uuid4().hex}"
 
     @F.pandas_udf(HITS)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = worker_cache(name, lambda: ItemIndex(sent.value, window, gram))
-        for texts, old_spans, old_items in batches:
+        for texts in batches:
             rows = []
-            for text, before, listed in zip(texts, old_spans, old_items):
+            for text in texts:
                 words = words_of(text)
-                spans, found = index.hits(words)
-                names = {index.items[k][0] for k in found} - {None}
-                if before is not None:  # from earlier blocks of items
-                    spans += [(x["start"], x["stop"]) for x in before]
-                    names |= set(listed)
-                rows.append((len(words), [{"start": a, "stop": b} for a, b in joined(spans)], sorted(names)))
+                rows.append(_hit(len(words), *index.hits(words)))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
-    return run
+    return docs.withColumn(output, run(text_bytes(F.col(text))))
 
 
-def item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks of a checked size."""
-    items = benchmark.select(F.col(id_column).cast("string").alias("i"), text_bytes(F.col(text_column)).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
-    blocks = -(-2 * total // BLOCK_BYTES) if total > BLOCK_BYTES else 1
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+def _joined(docs: DataFrame, items: DataFrame, output: str, text: str, window: int, gram: int) -> DataFrame:
+    """The same by a join of fingerprints."""
+    row = fresh(docs.columns, "_row")
+    base = durable(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")  # the numbers are drawn once
+    each = items.groupBy("t").agg(F.collect_set("i").alias("names")).withColumn("item", F.monotonically_increasing_id())
+    each = durable(each, "items")
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            for number, raw in zip(batch["item"], batch["t"]):
+                short, prints = prints_of(words_of(raw), window, gram, known)
+                yield pd.DataFrame({"short": short, "print": prints.view(np.int64), "item": number})
+
+    prints = durable(each.select("item", "t").mapInPandas(of_items, "short int, print long, item long"), "item-prints")
+    lengths = [r.short for r in prints.where("short > 0").select("short").distinct().collect()]  # fewer than window
+
+    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            for number, raw in zip(batch["row"], batch["raw"]):
+                hashes = hashes_of(words_of(raw), known)
+                grams = gram_hashes(hashes, gram)
+                every = [(0, grams[winnow(grams, window - gram + 1)])] + [(n, gram_hashes(hashes, n)) for n in lengths]
+                for short, own in every:
+                    yield pd.DataFrame({"short": short, "print": np.unique(own).view(np.int64), "row": number})
+
+    texts = base.select(quoted(row).alias("row"), text_bytes(F.col(text)).alias("raw"))
+    met = texts.mapInPandas(of_docs, "short int, print long, row long").join(prints, ["short", "print"]).select("row", "item").distinct()
+    met = durable(met, "met")
+    parts = met.groupBy("row").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    met = met.join(parts, "row").select("row", "item", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")).join(each, "item")
+    lists = met.groupBy("row", "part").agg(F.collect_list(F.struct("names", "t")).alias("items"))
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for number, raw, own in zip(batch["row"], batch["raw"], batch["items"]):
+                spans, names = ItemIndex([(list(x["names"]), bytes(x["t"])) for x in own], window, gram).hits(words_of(raw))
+                rows.append((number, [{"start": a, "stop": b} for a, b in joined(spans)], sorted(names)))
+            yield pd.DataFrame(rows, columns=["row", "spans", "items"])
+
+    kinds = {f.name: f.dataType for f in HITS}
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("spans", kinds["spans"]), T.StructField("items", kinds["items"])])
+    found = lists.join(texts, "row").mapInPandas(extend, schema)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    @F.pandas_udf(HITS)
+    def whole(raws: pd.Series, spans: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = [_hit(len(words_of(raw)), [] if own is None else [(x["start"], x["stop"]) for x in own], set() if listed is None else set(listed)) for raw, own, listed in zip(raws, spans, names)]
+        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+
+    kept = fresh(docs.columns, "_found")
+    out = base.join(found.select(F.col("row").alias(row), F.struct("spans", "items").alias(kept)), row, "left")
+    return out.withColumn(output, whole(text_bytes(F.col(text)), quoted(kept)["spans"], quoted(kept)["items"])).drop(row, kept)
 
 
 def find_overlaps(
@@ -190,15 +251,12 @@ def find_overlaps(
     """``docs`` with a struct column ``output``: n_words, spans (in words, merged), items (ids as sorted strings)."""
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    before: Column = F.lit(None).cast(HITS)
-    for k, items in enumerate(item_blocks(benchmark, item_id, item_text)):
-        if k:
-            docs = durable(docs, "decontaminate")
-        run, held = _block_udf(items, window, gram, docs.sparkSession), fresh(docs.columns, "_overlap")
-        out = docs.withColumn(held, run(text_bytes(F.col(text)), before["spans"], before["items"]))
-        docs = out.drop(output).withColumnRenamed(held, output)
-        before = F.col(output)
-    return docs
+    bounded_batches(docs.sparkSession)
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), text_bytes(F.col(item_text)).alias("t"))
+    total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    held = fresh(docs.columns, "_overlap")
+    out = (_looked_up if total <= MOST_SENT else _joined)(docs, items, held, text, window, gram)
+    return out.select(*(quoted(c) for c in docs.columns if c.lower() != output.lower()), quoted(held).alias(output))
 
 
 def hit_words(overlap: Column) -> Column:
