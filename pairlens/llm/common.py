@@ -86,4 +86,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/pairlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of a ``durable`` frame that nothing unwritten depends on any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.durable_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,13 +10,16 @@ that remain are skipped.  Within a list, collisions are counted over whole
 signatures.
 
 Lists never become all their pairs: a list gives a spanning forest of the pairs
-that agree often enough, and a list longer than ``BLOCK`` links all its nodes.
-Nodes so linked are a family, and no similar pair can leave one.  Families are
+that agree often enough.  One longer than ``BLOCK`` is dealt by bands of set size,
+each node in its own and the next, since similar sets lie at most one band apart;
+a band that is still longer links all its nodes.  Nodes so linked are a family,
+and no similar pair can leave one.  Families are
 then settled on full shingle sets, in blocks of bounded size: a small family is
 one block; a large one is divided into parts that each meet a hub of the nodes
 whose values are commonest, and afterwards every node outside its largest
-component meets all others.  Blocks give only links that join components, so
-what travels grows with nodes and blocks, not with pairs.
+component meets all others of a size that could match.  Blocks give only links
+that join components, so what travels grows with nodes and blocks, not with pairs.
+Sets too small to match any other (three shingles at 0.8) are not posted at all.
 
 A pair at the least similarity of 0.8 reaches the threshold of 26 of 48 with a
 chance of 0.99999; every link is confirmed exactly.
@@ -191,13 +194,25 @@ def candidate_links(lists: DataFrame, least: int, share: float) -> DataFrame:
     return lists.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
+def band(n: Column, share: float) -> Column:
+    """Sizes in the proportion ``share`` or nearer lie in the same band or in neighbours."""
+    return F.floor(F.log(n.cast("double")) / float(-np.log(share)) + 1e-9).cast("int") if share < 1 else n.cast("int")
+
+
 def family_links(able: DataFrame, least: int, share: float) -> DataFrame:
     """Links (a, b) that hold families together: candidates of short lists, and all nodes of long ones."""
     lists = able.select("node", "n", "signature", F.explode("keys").alias("key"))
-    stats = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "lists")
+    stats = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "lists")
     short = lists.join(stats.where(F.col("length") <= BLOCK).select("key"), "key")
-    long = able.select("node", F.explode("keys").alias("key")).join(stats.where(F.col("length") > BLOCK).select("key", "least"), "key")
-    return candidate_links(short, least, share).unionByName(long.select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    # the signatures of a list's nodes join those bands that are short
+    own = band(F.col("n"), share)
+    long = able.select("node", "n", F.explode("keys").alias("key")).join(stats.where(F.col("length") > BLOCK).select("key"), "key")
+    long = long.select("node", F.explode(F.array(F.xxhash64("key", own), F.xxhash64("key", own + 1))).alias("key"))
+    bands = durable(long.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "bands")
+    dealt = long.join(bands, "key")
+    brief = dealt.where(F.col("length") <= BLOCK).select("node", "key").join(able.select("node", "n", "signature"), "node").select(*short.columns)
+    whole = dealt.where(F.col("length") > BLOCK).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    return candidate_links(short.unionByName(brief), least, share).unionByName(whole)
 
 
 #: Shares of a family below its hub; the hub is the first that leaves at most ``HUB`` nodes.
@@ -216,10 +231,10 @@ def _every(count: Column) -> Column:
     return F.sequence(F.lit(0), count - 1)
 
 
-def with_family(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+def with_family(rows: DataFrame, table: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("family",)) -> DataFrame:
     """``rows`` joined by family to a table of large families, each of which meets its nodes in ``SALT`` tasks."""
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALT)).cast("int")).join(salted, ["family", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALT)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
 
 def family_blocks(members: DataFrame) -> DataFrame:
@@ -240,19 +255,21 @@ def family_blocks(members: DataFrame) -> DataFrame:
     return small.select(*wanted).unionByName(large.select(*wanted))
 
 
-def stray_blocks(members: DataFrame) -> DataFrame:
-    """(block, left, node, component, raw): nodes outside their family's largest component (``left``) against all its nodes.
+def stray_blocks(members: DataFrame, share: float) -> DataFrame:
+    """(block, left, node, component, raw): nodes outside their family's largest component (``left``) against all its nodes of their own and the neighbouring bands of size.
 
-    ``members``: family, node, component, raw of families in several parts and components.
+    ``members``: family, node, n, component, raw of families in several parts and components.
     """
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("raw")).alias("b"))
-    main = F.struct("n", "component")
-    total = sizes.groupBy("family").agg(F.max_by("component", main).alias("main"), F.max_by("n", main).alias("main_n"), F.max_by("b", main).alias("main_b"), F.sum("n").alias("n"), F.sum("b").alias("b"))
-    total = total.select("family", "main", _parts(F.col("n"), F.col("b")).alias("rights"), _parts(F.col("n") - F.col("main_n"), F.col("b") - F.col("main_b")).alias("lefts"))
-    rows = with_family(members, total)
-    as_left = rows.where("component != main").withColumn("i", _spot(F.col("lefts"))).withColumn("j", F.explode(_every(F.col("rights")))).withColumn("left", F.lit(True))
-    as_right = rows.withColumn("j", _spot(F.col("rights"))).withColumn("i", F.explode(_every(F.col("lefts")))).withColumn("left", F.lit(False))
-    return as_left.unionByName(as_right).select(F.xxhash64("family", "i", "j").alias("block"), "left", "node", "component", "raw")
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = with_family(members, main).withColumn("band", band(F.col("n"), share))
+    lefts, rights = rows.where("component != main"), rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    count = lambda side, name: side.groupBy("family", "band").agg(_parts(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).alias(name))
+    both = durable(count(lefts, "lefts").join(count(rights, "rights"), ["family", "band"]), "strays")
+    key = ("family", "band")
+    as_left = with_family(lefts, both, keys=key).withColumn("i", _spot(F.col("lefts"))).withColumn("j", F.explode(_every(F.col("rights")))).withColumn("left", F.lit(True))
+    as_right = with_family(rights, both, keys=key).withColumn("j", _spot(F.col("rights"))).withColumn("i", F.explode(_every(F.col("lefts")))).withColumn("left", F.lit(False))
+    return as_left.unionByName(as_right).select(F.xxhash64("family", "band", "i", "j").alias("block"), "left", "node", "component", "raw")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -340,12 +357,13 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
     rows = durable(signed(docs, id_column, text, width), "signed")
     named = rows.where("n > 0").groupBy("set_hash").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.min("id").alias("id"), F.min(F.struct("id", "text_hash")).alias("one"))
     nodes = durable(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are drawn once
-    able = durable(posted(nodes, THRESHOLD), "posted")
+    # two unlike sets of which the smaller has n shingles share at most n of n + 1
+    able = durable(posted(nodes.where(F.col("n") * (100 - percent) >= percent), THRESHOLD), "posted")
     families = durable(components(family_links(able, THRESHOLD, percent / 100)), "families")
-    ones = families.join(able.select("node", "weight"), "node").join(nodes.select("node", "one"), "node")
-    ones = ones.select("node", F.col("component").alias("family"), "weight", F.col("one.id").alias("i"), F.col("one.text_hash").alias("h"))
+    ones = families.join(able.select("node", "n", "weight"), "node").join(nodes.select("node", "one"), "node")
+    ones = ones.select("node", F.col("component").alias("family"), "n", "weight", F.col("one.id").alias("i"), F.col("one.text_hash").alias("h"))
     source = docs.select(F.col(id_column).alias("id"), text_bytes(F.col(text)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
-    members = source.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(*(F.first(c).alias(c) for c in ("family", "weight", "raw")))
+    members = source.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).groupBy("node").agg(*(F.first(c).alias(c) for c in ("family", "n", "weight", "raw")))
     members = durable(members, "members")
     links = durable(links_in_blocks(family_blocks(members), width, percent), "links")
     found = durable(components(links), "components")
@@ -355,7 +373,7 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
     mixed = rest.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("family")
     mixed = durable(mixed, "mixed")
     if not mixed.isEmpty():
-        late = durable(links_in_blocks(stray_blocks(with_family(rest, mixed)), width, percent), "late-links")
+        late = durable(links_in_blocks(stray_blocks(with_family(rest, mixed), percent / 100), width, percent), "late-links")
         found = durable(components(links.unionByName(late)), "components")
 
     placed = nodes.select("node", "set_hash", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

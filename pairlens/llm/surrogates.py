@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import durable, fresh
+from pairlens.llm.common import durable, forget, fresh
 
 ATTEMPTS = 40
 
@@ -219,11 +219,13 @@ def payload_table(units: DataFrame, key: str) -> DataFrame:
         first = told.groupBy("kind", "payload").agg(F.min("unit").alias("unit"), F.count(F.lit(1)).alias("n"))
         shared = told.join(first.where("n > 1").select("kind", "payload", F.col("unit").alias("first")), ["kind", "payload"]).where("unit != first").select("unit")
         known = told.join(real, ["kind", "payload"], "left_semi").select("unit")
-        again = durable(shared.unionByName(known).distinct(), "draw-again")
+        again, old = durable(shared.unionByName(known).distinct(), "draw-again"), held
         if again.isEmpty():
             return held.select("unit", "payload")
         marked = held.join(again.withColumn("again", F.lit(True)), "unit", "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("again"), F.lit(False)).cast("int"))
         held = durable(marked.select("unit", "attempt", F.when(F.col("again"), _payload(F.col("unit"), key, F.col("attempt"))).otherwise(F.col("payload")).alias("payload")), "payloads")
+        forget(old)
+        forget(again)
     raise RuntimeError(f"no distinct surrogates after {ATTEMPTS} draws")
 
 

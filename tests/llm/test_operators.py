@@ -98,9 +98,10 @@ def brute_overlap(text, items, window):
     return len(own), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-@pytest.mark.parametrize("block", [16_000_000, 600])
-def test_overlap_equals_brute_force(spark, docs, none, texts, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("sent", [16_000_000, 0])
+def test_overlap_equals_brute_force(spark, docs, none, texts, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "MOST_SENT", sent)
+    monkeypatch.setattr(decontaminate, "PART", 2)
     long, base = texts[12][1].split(), texts[0][1].split()
     items = [(1, " ".join(long[5000:5025])), (2, " ".join(base[10:19])), (3, " ".join(base[30:40])), (10, " ".join(base[35:50]).upper()), (4, None), (5, "..."), (6, "one"), (None, " ".join(long[9:30])), (1, prose(77, 40)), (7, "a a a a a a a a a a a a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -166,6 +167,39 @@ def test_classes_equal_brute_force(spark, texts, docs, none, monkeypatch, width,
     assert Counter((r.id, r.n, r.component) for r in got.collect()) == brute_classes(more, width, 80)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_short_texts_with_common_words_equal_brute_force(spark, monkeypatch, seed):
+    """One bigram in every text and few words in all: posting lists far longer than a block, of many sizes."""
+    monkeypatch.setattr(near_dup, "BLOCK", 48)
+    monkeypatch.setattr(near_dup, "HUB", 12)
+    draw = random.Random(seed)
+    some = [f"w{k}" for k in range(6)]
+    rows = []
+    for k in range(1500):
+        words = ["of", "the"] + [draw.choice(some) for _ in range(draw.choice([0, 1, 2, 3, 5, 8, 12]))]
+        rows.append((k, " ".join(words + (["of", "the"] if draw.random() < 0.3 else []))))
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert Counter((r.id, r.n, r.component) for r in got.collect()) == brute_classes(rows, 2, 80)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from pairlens.llm import components as module
+
+    monkeypatch.setattr(module, "HUB_LINKS", 3)
+    draw = random.Random(4)
+    links = [(0, k) for k in range(1, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(draw.randrange(200, 400), draw.randrange(200, 400)) for _ in range(120)] + [(59, 139)]
+    root = list(range(400))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for ab in links for x in ab if any(a != b for a, b in links if x in (a, b))}
+
+
 def test_one_of_each_class_stays(docs, none, texts):
     kept = near_dup.keep_one(docs, width=2)
     assert kept.columns == docs.columns
