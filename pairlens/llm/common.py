@@ -96,3 +96,15 @@ def forget(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(df.durable_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``totals`` has for a long ``key`` by which it was aggregated, inner.
+
+    The key is turned (bitwise not), so that the totals get an exchange of their own
+    behind their aggregation: adaptive execution splits a hot key of a join only if
+    both sides are plain exchanges.
+    """
+    name = fresh([*rows.columns, *totals.columns], "_turned")
+    turned = totals.withColumn(name, F.bitwise_not(F.col(key))).drop(key)
+    return rows.withColumn(name, F.bitwise_not(F.col(key))).join(turned, name).drop(name)

@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step is a minimum by node and a join.  The minimum is pre-aggregated; nodes
-with very many links meet theirs in a broadcast of at most ``HUBS`` rows, so that
-no task ever holds all links of a node, let alone a whole component.
+Every step is a minimum by node, pre-aggregated, and a join, which adaptive
+execution splits where a node has very many links; no task ever holds a whole
+component.
 """
 
 from __future__ import annotations
@@ -10,21 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import durable, forget
+from pairlens.llm.common import durable, forget, join_totals
 
-#: Nodes at most whose links are not shuffled, and the least links of such a node.
-HUBS, HUB_LINKS = 20_000, 64
 
-
-def _star(links: DataFrame, large: bool, count: int) -> DataFrame:
-    """One step over ``count`` links (u, v), u > v."""
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One step over links (u, v), u > v."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    # no more than HUBS nodes have so many links
-    busy = F.col("n") > max(HUB_LINKS, 2 * count // HUBS)
-    hubs = F.broadcast(least.where(busy).select("u", "m"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # large: each higher neighbour joins the least one known; small: each lower neighbour and the node itself do
-    moved = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(least.where(~busy).select("u", "m"), "u"))
+    moved = join_totals(both, least, "u")
     out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     out = out.where(F.col("u") != F.col("v"))
     return out if large else out.distinct()
@@ -43,6 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before, old = state, edges
-        edges = durable(_star(_star(edges, True, state[0]), False, state[0]), "links")
+        edges = durable(_star(_star(edges, True), False), "links")
         forget(old)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

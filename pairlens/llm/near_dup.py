@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import bounded_batches, by_value, durable, fresh, text_bytes
+from pairlens.llm.common import bounded_batches, by_value, durable, fresh, join_totals, text_bytes
 from pairlens.llm.components import components
 
 by_value(__name__)
@@ -211,7 +211,10 @@ def family_links(able: DataFrame, least: int, share: float) -> DataFrame:
     bands = durable(long.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("least")).where("length > 1"), "bands")
     dealt = long.join(bands, "key")
     brief = dealt.where(F.col("length") <= BLOCK).select("node", "key").join(able.select("node", "n", "signature"), "node").select(*short.columns)
-    whole = dealt.where(F.col("length") > BLOCK).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # a node joins the first of its lists' first nodes, and those join each other once, not at every node
+    firsts = dealt.where(F.col("length") > BLOCK).groupBy("node").agg(F.array_distinct(F.collect_list("least")).alias("firsts"))  # two for each coordinate at most
+    first = F.array_min("firsts").alias("a")
+    whole = firsts.select(first, F.col("node").alias("b")).unionByName(firsts.select(first, F.explode("firsts").alias("b")).distinct()).where("a != b")
     return candidate_links(short.unionByName(brief), least, share).unionByName(whole)
 
 
@@ -378,7 +381,7 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", w
 
     placed = nodes.select("node", "set_hash", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("id").alias("name"))
-    placed = placed.join(names, "component").select("set_hash", "name", F.col("component").alias("number"))
+    placed = join_totals(placed, names, "component").select("set_hash", "name", F.col("component").alias("number"))
     out = rows.select("id", "text_hash", "n", "set_hash").join(placed, "set_hash", "left")
     return out.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component"), *(["number"] if numbered else []))
 
