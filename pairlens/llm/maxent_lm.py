@@ -71,7 +71,7 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BYTE_WORDS, BASE = _RANDOM[LOWER], int(_RANDOM[256])
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SIGN = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
-#: Text bytes hashed at once; one longer text is still hashed whole.
+#: Text bytes hashed at once, about; a piece ends behind a space.
 HASHED_BYTES = 1 << 20
 
 
@@ -95,6 +95,25 @@ class Hasher:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash and ending of every token, an end token after each text, and the number of each text's tokens."""
         raw = np.frombuffer(b"".join(x for t in texts for x in (t, b" ")), np.uint8)
+        parts, start = [], 0
+        while start < len(raw):  # pieces end behind a space
+            stop = min(len(raw), start + HASHED_BYTES)
+            while not SPACE[raw[stop - 1]]:
+                more = SPACE[raw[stop : stop + 4096]]
+                stop += int(more.argmax()) + 1 if more.any() else len(more)
+            parts.append(self._piece(raw[start:stop], start))
+            start = stop
+        starts, hashes, endings = (np.concatenate(x) for x in zip(*parts))
+        texts_end = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        own = np.searchsorted(texts_end, starts, side="right")
+        lengths = np.bincount(own, minlength=len(texts)) + 1
+        all_hashes, all_endings = np.full(lengths.sum(), END_HASH), np.zeros(lengths.sum(), np.int64)
+        at = np.arange(len(starts)) + own
+        all_hashes[at], all_endings[at] = hashes, endings
+        return all_hashes, all_endings, lengths
+
+    def _piece(self, raw: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of a piece start in the whole, their hashes and their endings."""
         if len(self.up) < len(raw):
             room = max(HASHED_BYTES + 4096, len(raw))
             self.up, self.down = powers(BASE, room), powers(pow(BASE, -1, 2**64), room)
@@ -103,21 +122,15 @@ class Hasher:
         starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
         sums = np.cumsum(BYTE_WORDS[raw] * self.up[: len(raw)])
         hashes = (sums[ends - 1] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * self.down[starts]
+        del sums
         hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(29)
         # the last byte of a word that is no sign, and the one before it
-        core = np.maximum.accumulate(np.where(SIGN[raw], -1, np.arange(len(raw))))[ends - 1]
+        core = np.maximum.accumulate(np.where(SIGN[raw], np.int32(-1), np.arange(len(raw), dtype=np.int32)))[ends - 1]
         last = LOWER[raw[np.maximum(core, 0)]].astype(np.int64)
         second = np.where(core > starts, LOWER[raw[np.maximum(core - 1, 0)]], 0).astype(np.int64)
         endings = 2 + (second * 263 + last * 7919) % (ENDINGS - 2)
-        endings = np.where(core < starts, 0, np.where((last >= 48) & (last <= 57), 1, endings))
-        texts_end = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-        own = np.searchsorted(texts_end, starts, side="right")
-        lengths = np.bincount(own, minlength=len(texts)) + 1
-        all_hashes, all_endings = np.full(lengths.sum(), END_HASH), np.zeros(lengths.sum(), np.int64)
-        at = np.arange(len(starts)) + own
-        all_hashes[at], all_endings[at] = hashes.view(np.int64), endings
-        return all_hashes, all_endings, lengths
+        return starts + first, hashes.view(np.int64), np.where(core < starts, 0, np.where((last >= 48) & (last <= 57), 1, endings))
 
 
 def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -260,23 +273,33 @@ class Model:
         places = np.stack([np.where(usual[:, k, None], ((words[:, k, None] * MIX[k + 1] ^ mixed) * MIX[3] >> shift).astype(np.int64), width) for k in range(2)])
         return side, nodes, places
 
-    def word_odds(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By token and depth: the odds against the side taken, with and without context; side and places."""
+    def word_odds(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By token and depth: the odds against the side taken; side and places."""
         side, nodes, places = self.decisions(hashes, classes, before)
-        offset = np.take(self.offsets, nodes)
         logit = np.take(self.word_weights, places[0])
         logit += np.take(self.word_weights, places[1])
-        logit += offset
-        return np.exp(-side * logit), np.exp(-side * offset), side, places
+        logit += np.take(self.offsets, nodes)
+        logit *= -side
+        return np.exp(logit, out=logit), side, places
+
+    def leaf_logs(self) -> np.ndarray:
+        """By class and leaf: the log probability of the leaf within its class without any context."""
+        offsets = self.offsets.reshape(CLASSES, 1 << DEPTH).astype(np.float64)
+        out = np.zeros((CLASSES, 1))
+        for depth in range(DEPTH):
+            here = offsets[:, 1 << depth : 2 << depth]
+            out = np.stack([out - np.logaddexp(0, here), out - np.logaddexp(0, -here)], 2).reshape(CLASSES, -1)
+        return out
 
-    def word_gains(self, hashes: np.ndarray, classes: np.ndarray, before: Before) -> np.ndarray:
-        """What context adds to the log probability of each token within its class, if the token is known."""
+    def word_gains(self, hashes: np.ndarray, classes: np.ndarray, before: Before, leaves: np.ndarray) -> np.ndarray:
+        """What context adds to the log probability of each token within its class, if the token is known; ``leaves``: ``leaf_logs``."""
         out, treed = np.zeros(len(hashes)), np.flatnonzero((classes >= len(self.own)) & before[1].any(1))
         with np.errstate(over="ignore", invalid="ignore"):  # only unknown words go where no counts are
             for start in range(0, len(treed), CHUNK):
                 at = treed[start : start + CHUNK]
-                odds, bare, _, _ = self.word_odds(hashes[at], classes[at], (before[0][at], before[1][at]))
-                out[at] = np.log((1 + bare).prod(1, dtype=np.float64)) - np.log((1 + odds).prod(1, dtype=np.float64))
+                odds, _, _ = self.word_odds(hashes[at], classes[at], (before[0][at], before[1][at]))
+                odds += 1
+                out[at] = -np.log(odds.prod(1, dtype=np.float64)) - leaves[classes[at], (hashes[at].view(np.uint64) >> np.uint64(64 - DEPTH)).astype(np.int64)]
         return np.nan_to_num(out, posinf=0.0, neginf=0.0)
 
 
@@ -374,7 +397,7 @@ def word_gradient(model: Model, hashes: np.ndarray, classes: np.ndarray, before:
         at = treed[start : start + CHUNK]
         own = hashes[at], classes[at], (before[0][at], before[1][at])
         if bend is None:
-            odds, _, side, places = model.word_odds(*own)
+            odds, side, places = model.word_odds(*own)
             wrong = side * (odds / (1 + odds))
         else:
             side, nodes, places = model.decisions(*own)
@@ -548,7 +571,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, hasher, done = sent.value, Hasher(), 0
         tables = model.tables()
-        log_mass, task = np.log10(model.mass), TaskContext.get().partitionId()
+        log_mass, leaves, task = np.log10(model.mass), model.leaf_logs(), TaskContext.get().partitionId()
         for batch in batches:
             first = 0
             for texts in portions(batch["raw"].tolist()):
@@ -557,7 +580,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
                 features = model.features(classes, buckets, lengths)
                 gain = model.log_probabilities(features, classes) / np.log(10) - log_mass[classes]
                 there = counts >= 0
-                word_gain = model.word_gains(hashes, classes, words_before(hashes, counts, lengths)) / np.log(10)
+                word_gain = model.word_gains(hashes, classes, words_before(hashes, counts, lengths), leaves) / np.log(10)
                 gain += np.where(counts > 0, word_gain, 0.0)
                 logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
                 starts = np.cumsum(lengths) - lengths

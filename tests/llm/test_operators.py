@@ -182,10 +182,7 @@ def test_short_texts_with_common_words_equal_brute_force(spark, monkeypatch, see
     assert Counter((r.id, r.n, r.component) for r in got.collect()) == brute_classes(rows, 2, 80)
 
 
-def test_components_of_hubs(spark, monkeypatch):
-    from pairlens.llm import components as module
-
-    monkeypatch.setattr(module, "HUB_LINKS", 3)
+def test_components_of_hubs(spark):
     draw = random.Random(4)
     links = [(0, k) for k in range(1, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(draw.randrange(200, 400), draw.randrange(200, 400)) for _ in range(120)] + [(59, 139)]
     root = list(range(400))
@@ -428,7 +425,7 @@ def test_words_of_a_class_share_its_probability():
     model.offsets = maxent_lm.tree_offsets(leaves)
     model.word_weights[:] = draw.normal(0, 2, len(model.word_weights))
     model.word_weights[-1] = 0
-    gains = model.word_gains(inside, np.full(len(inside), own), (np.tile(np.array([5, 9], np.uint64), (len(inside), 1)), np.tile([True, False], (len(inside), 1))))
+    gains = model.word_gains(inside, np.full(len(inside), own), (np.tile(np.array([5, 9], np.uint64), (len(inside), 1)), np.tile([True, False], (len(inside), 1))), model.leaf_logs())
     shares = (common["c"].to_numpy()[maxent_lm.OWN :] + 0.5) / leaves[own].sum()
     assert np.abs(gains).max() > 0.5 and (shares * np.exp(gains)).sum() == pytest.approx(1, abs=1e-4)
 
