@@ -24,7 +24,7 @@ rows score alike; other columns are kept, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import by_value, text_bytes
+from pairlens.llm.common import bounded_batches, by_value, durable, text_bytes
 
 by_value(__name__)
 
@@ -207,33 +207,36 @@ def token_table(counts: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = MAX_LABELLED) -> Model:
     """Learn from the labelled documents where ``learn`` holds, ``bound`` at most."""
-    sample = labelled_sample(docs, labels, learn, id_column, text, label, bound)
+    bounded_batches(docs.sparkSession)
+    sample = durable(labelled_sample(docs, labels, learn, id_column, text, label, bound), "labelled")
     counts = bin_counts(sample)
     table = token_table(counts.sum(0))
     other = [token_table(counts.sum(0) - own) for own in counts]  # for each fold, what the others have taught
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [WordScores(x) for x in other]
-        for batch in batches:
-            rows = []
-            for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
-                scores = known[fold].of(text)
-                rows.append((int(toxic > 0), len(scores), [w for _, _, w in maximal_segments(scores)]))
-            yield pd.DataFrame(rows, columns=["toxic", "length", "weights"])
-
-    rows = sample.select("text", "toxic", "fold").mapInPandas(run, "toxic int, length long, weights array<double>").toPandas()
-    toxic, lengths = rows["toxic"].to_numpy(np.int64), rows["length"].to_numpy(np.int64)
-    weights = [np.asarray(x, np.float64) for x in rows["weights"]]
-    best = np.array([x.max() if len(x) else 0.0 for x in weights]) - np.log(lengths + 1.0)
+    def told(fact: Callable[[np.ndarray, int], list[float]], names: list[str]) -> pd.DataFrame:
+        """A row for each document of the sample: toxic, and some facts about the weights of its segments and its length."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = [WordScores(x) for x in other]
+            for batch in batches:
+                rows = []
+                for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
+                    scores = known[fold].of(text)
+                    rows.append((int(toxic > 0), *fact(np.array([w for _, _, w in maximal_segments(scores)]), len(scores))))
+                yield pd.DataFrame(rows, columns=["toxic", *names])
+
+        return sample.select("text", "toxic", "fold").mapInPandas(run, "toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas()
+
+    first = told(lambda weights, length: [(weights.max() if len(weights) else 0.0) - math.log(length + 1.0)], ["best"])
+    toxic = first["toxic"].to_numpy(np.int64)
     if not (toxic == 0).any() or not (toxic == 1).any():
         return Model(table, 0.0, 1.0, (-math.inf, 0.0, 0.0, 0.0))
-    clean = best[toxic == 0]
     # by quantiles, so that toxic passages under a clean label do not stretch the law
-    low, high = np.quantile(clean, [0.5, 0.9])
+    low, high = np.quantile(first["best"].to_numpy()[toxic == 0], [0.5, 0.9])
     scale = max(0.25, (high - low) / (math.log(-math.log(0.5)) - math.log(-math.log(0.9))))
-    model = Model(table, float(low + scale * math.log(-math.log(0.5))), float(scale), (0.0,))
-    facts = np.array([[1.0, *model.evidence(w, n)] for w, n in zip(weights, lengths.tolist())])
-    return Model(table, model.place, model.scale, logistic(facts, toxic))
+    law = Model(np.empty(0), float(low + scale * math.log(-math.log(0.5))), float(scale), (0.0,))
+    facts = told(law.evidence, ["most", "second", "often"])
+    return Model(table, law.place, law.scale, logistic(np.c_[np.ones(len(facts)), facts[["most", "second", "often"]].to_numpy()], facts["toxic"].to_numpy(np.int64)))
 
 
 def logistic(facts: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
