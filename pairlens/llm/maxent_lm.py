@@ -17,7 +17,7 @@ Training: exact token counts over all training text, by one shuffle.  Then one p
 over all training texts gathers the gradient of the first step, whose predictions
 are the shares, and writes every distinct class context with its count.  Later
 steps of the class weights read those counts, which stand for all training tokens
-exactly; later steps of the word weights read the texts again.  Tasks sum what they
+exactly; later steps of the word weights, if any are asked for, read the texts again.  Tasks sum what they
 send locally, and it is summed up in a tree of bounded fan-in.  Scoring is one pass
 of sparse numpy batches.  The counts of the ``COMMON`` most frequent tokens travel
 to the tasks (a fixed size); all other tokens meet their counts in a join.
@@ -45,13 +45,13 @@ by_value(__name__)
 #: Classes, how many of them are single words, hashed buckets of a word, buckets of endings, frequent tokens sent to tasks.
 CLASSES, OWN, BUCKETS, ENDINGS, COMMON = 64, 24, 1024, 4096, 1 << 17
 #: Gradient steps of class weights and of word weights, the first of either from the shares.
-CLASS_ROUNDS, WORD_ROUNDS = 8, 2
+CLASS_ROUNDS, WORD_ROUNDS = 8, 1
 #: Rows of the weights: two word positions and the pair of classes before.
 ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: Step length, and the pull towards zero in expected counts.
 RATE, PULL = 0.15, 20.0
 #: Decisions of a word, step length and pull of their weights, least count of a word that they look back to.
-DEPTH, WORD_RATE, WORD_PULL, LEAST_CONTEXT = 10, 0.5, 4.0, 32
+DEPTH, WORD_RATE, WORD_PULL, LEAST_CONTEXT = 10, 0.75, 4.0, 32
 #: Training tokens for each word weight, and the bits of the least and largest table (what tasks and driver hold).
 TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 8, 12, 21
 #: Numbers in a gradient block, training tokens of a task for each number it sends, blocks summed at once, tasks of a small table.
@@ -72,7 +72,7 @@ BYTE_WORDS, BASE = _RANDOM[LOWER], int(_RANDOM[256])
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SIGN = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 #: Text bytes hashed at once, about; a piece ends behind a space.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18
 
 
 def powers(base: int, count: int) -> np.ndarray:
@@ -179,7 +179,7 @@ class Lookup:
     """Values of known hashes by open addressing, many at a time; -1 for others."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        bits = max(4, (4 * len(hashes)).bit_length())
+        bits = max(4, (2 * len(hashes)).bit_length())
         self.mask, self.keys, self.values = (1 << bits) - 1, np.zeros(1 << bits, np.int64), np.full(1 << bits, -1)
         todo, step = np.arange(len(hashes)), 0
         while len(todo):
@@ -573,7 +573,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
         tables = model.tables()
         log_mass, leaves, task = np.log10(model.mass), model.leaf_logs(), TaskContext.get().partitionId()
         for batch in batches:
-            first = 0
+            if batch.empty:
+                continue
+            out = []
             for texts in portions(batch["raw"].tolist()):
                 hashes, endings, lengths = hasher.of(texts)
                 classes, buckets, counts = model.facts(hashes, endings, tables)
@@ -584,15 +586,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
                 gain += np.where(counts > 0, word_gain, 0.0)
                 logs = np.where(there, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
                 starts = np.cumsum(lengths) - lengths
-                cuts = np.cumsum(np.add.reduceat((~there).astype(np.int64), starts))[:-1]
-                rare, rare_gain = np.split(hashes[~there], cuts), np.split(word_gain[~there].astype(np.float32), cuts)
-                yield pd.DataFrame(
-                    {
-                        "row": (np.int64(task) << 33) + done + np.arange(len(texts)), "id": batch["id"].to_numpy()[first : first + len(texts)], "n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
-                        "logs": np.add.reduceat(logs, starts), "gain": np.add.reduceat(gain, starts), "rare": rare, "rare_gain": rare_gain,
-                    }
-                )
-                first, done = first + len(texts), done + len(texts)
+                sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), logs, gain, (~there).astype(np.int64))]
+                out.append((lengths, *sums, hashes[~there], word_gain[~there].astype(np.float32)))
+            lengths, known, logs, gain, n_rare, rare, rare_gain = (np.concatenate(x) for x in zip(*out))
+            cuts = np.cumsum(n_rare)[:-1]
+            yield pd.DataFrame(
+                {
+                    "row": (np.int64(task) << 33) + done + np.arange(len(batch)), "id": batch["id"], "n_tokens": lengths, "n_known": known,
+                    "logs": logs, "gain": gain, "rare": np.split(rare, cuts), "rare_gain": np.split(rare_gain, cuts),
+                }
+            )
+            done += len(batch)
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_bytes(F.col(text)).alias("raw"))
