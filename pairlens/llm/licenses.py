@@ -1,25 +1,31 @@
 """Licence scan: passages against templates by the Dice coefficient over word bigrams.
 
-Only column expressions are used; a scan neither joins nor shuffles.  Passages
-of a text are itself, its paragraphs, its lines and its sentences.  A passage is
-normalised to lower-case words, and meets only the templates whose number of
-bigrams lies within the bounds beyond which the coefficient cannot reach the
-threshold.
+Only column expressions are used; a scan neither joins nor shuffles.  Passages of
+a text are itself, its paragraphs, lines and sentences within a line; and, once
+marks of comments at the beginning of lines are dropped and lines joined, its
+paragraphs alone and in twos, and within each paragraph its sentences alone, in
+twos and in threes.  So a notice is found in a comment block, wrapped over lines,
+or inside a longer paragraph.  A passage is normalised to lower-case words, and
+meets only the templates whose number of bigrams lies within the bounds beyond
+which the coefficient cannot reach the threshold; it names the licence that it is
+most like.
 
 Before a text is cut into passages, and a passage into words, it must hold one of
 a few anchor words.  They are chosen so that each template keeps too few bigrams
 without one of them for a match: the test loses nothing.
 
 Defined results: null, empty and wordless texts match nothing; a passage of one
-word has no bigrams and matches nothing.  A template that several passages match
-counts once, with its best coefficient.  Equal coefficients rank by name.  Rows
-are independent; other columns are kept.
+word has no bigrams and matches nothing.  A licence that several passages match
+counts once, with its best coefficient; a passage equally like several licences
+names all of them.  Equal coefficients rank by name.  Rows are independent; other
+columns are kept.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +39,7 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
     "MIT": [
         "Released under the MIT License.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ],
     "GPL-3.0": [
@@ -42,7 +49,22 @@ TEMPLATES = {
     "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "BSD-2-Clause": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "Zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
@@ -101,11 +123,29 @@ def cost(word: str) -> int:
     return 500 if len(word) < 5 or word in COMMON else 4 if len(word) < 7 else 1
 
 
+#: Marks of comments at the beginning of a line, and the end of a sentence; plain enough to mean the same in any dialect.
+COMMENT = r"(^|\n)[ \t]*(?:#+|//+|/?[*]+/?|--+|;+|%+|<!--)[ \t]?"
+PARAGRAPH, SENTENCE = r"\n[ \t\r]*\n", r"([.!?])[ \t]+"
+
+
+def runs(parts: Column, most: int) -> Column:
+    """Each part, and up to ``most`` neighbouring ones joined by blanks."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.filter(F.transform(parts, lambda _, i: i + 1), lambda i: i + n - 1 <= F.size(parts)), lambda i: F.array_join(F.slice(parts, i, n), " "))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def passages(text: Column) -> Column:
-    """The text, its paragraphs, its lines and its sentences."""
+    """The text, its paragraphs, lines and sentences, and those of its lines joined without marks of comments."""
     lines = F.split(text, r"\n", -1)
-    sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), r"\n", -1)
-    return F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n", -1), lines, sentences))
+    sentences = F.split(F.regexp_replace(text, SENTENCE, "$1\n"), r"\n", -1)
+    joined = F.transform(F.split(F.regexp_replace(text, COMMENT, "$1"), PARAGRAPH, -1), lambda p: F.regexp_replace(p, r"[ \t\r\n]+", " "))
+    of = lambda p: let(F.split(F.regexp_replace(p, SENTENCE, "$1\n"), r"\n", -1), lambda s: runs(s, 3))
+    more = let(joined, lambda held: F.concat(runs(held, 2), F.flatten(F.transform(held, of))))
+    return F.array_distinct(F.concat(F.array(text), F.split(text, PARAGRAPH, -1), lines, sentences, more))
 
 
 def bigrams(passage: Column) -> Column:
@@ -132,7 +172,8 @@ def matches(text: Column, templates: dict[str, list[str]] | None = None, least:
     def of(grams: Column) -> Column:
         size = F.size(grams)
         near = F.filter(table, lambda t: (t["n"] >= size * ratio - 1e-9) & (t["n"] <= size / ratio + 1e-9))
-        return F.transform(near, lambda t: F.struct(t["license"].alias("license"), (2.0 * F.size(F.array_intersect(grams, t["bigrams"])) / (size + t["n"])).alias("score")))
+        scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), (2.0 * F.size(F.array_intersect(grams, t["bigrams"])) / (size + t["n"])).alias("score")))
+        return let(scored, lambda found: let(F.array_max(F.transform(found, lambda m: m["score"])), lambda best: F.filter(found, lambda m: m["score"] == best)))
 
     # a bigram takes at least three signs, so shorter passages need not be cut into words
     worth = F.filter(passages(text), lambda p: (F.length(p) >= 2 * low + 1) & hint(p))

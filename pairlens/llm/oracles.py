@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairlens.llm.licenses import TEMPLATES, compiled
+from pairlens.llm.licenses import TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: RFC 4648 base32.
@@ -85,25 +85,31 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 
 
 def license_matches(least: float = 0.8) -> str:
-    rows = ", ".join(f"('{t.name}', [{', '.join(repr(b) for b in t.bigrams)}])" for t in compiled(TEMPLATES))
+    """Every passage against every template; the words of both are taken here."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in TEMPLATES.items() for text in texts)
+    words = lambda c: rf"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    grams = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
+    sentences = lambda c: rf"string_split(regexp_replace({c}, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))"
+    runs = lambda c, most: "flatten([" + ", ".join(f"list_transform(range(1, greatest(len({c}) - {n - 2}, 1)), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))" for n in range(1, most + 1)) + "])"
     return rf"""
-WITH t(license, bigrams) AS (VALUES {rows}
+WITH t AS (SELECT license, {grams} AS bigrams FROM (SELECT license, {words('text')} AS words FROM (VALUES {rows}) x(license, text))
 ), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), j AS (
+  SELECT r, list_transform(regexp_split_to_array(regexp_replace(text, '(^|\n)[ \t]*(?:#+|//+|/?[*]+/?|--+|;+|%+|<!--)[ \t]?', '\1', 'g'), '\n[ \t\r]*\n'), lambda p: regexp_replace(p, '[ \t\r\n]+', ' ', 'g')) AS joined FROM d
+), s AS (SELECT r, {sentences('p')} AS held FROM (SELECT r, unnest(joined) AS p FROM j)
 ), p AS (
-  SELECT r, unnest(list_distinct(list_concat([text], list_concat(regexp_split_to_array(text, '
-[ 	]*
-'), list_concat(string_split(text, chr(10)),
-    string_split(regexp_replace(text, '([.!?])[ 	]+', '' || chr(10), 'g'), chr(10))))))) AS passage FROM d
-), w AS (
-  SELECT r, list_filter(string_split(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM p WHERE passage ILIKE '%licen%' OR passage ILIKE '%permission%' OR passage ILIKE '%software%' OR passage ILIKE '%source%'
-), g AS (
-  SELECT r, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1
+  SELECT DISTINCT r, passage FROM (
+    SELECT r, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\n[ \t\r]*\n'), list_concat(string_split(text, chr(10)), {sentences('text')})))) AS passage FROM d
+    UNION ALL SELECT r, unnest({runs('joined', 2)}) FROM j UNION ALL SELECT r, unnest({runs('held', 3)}) FROM s)
+), g AS (SELECT r, passage, {grams} AS grams FROM (SELECT r, passage, {words('passage')} AS words FROM p WHERE length(passage) > 2) WHERE len(words) > 1
+), c AS (
+  SELECT r, passage, license, max(2.0::DOUBLE * len(list_intersect(grams, bigrams)) / (len(grams) + len(bigrams))) AS score FROM g JOIN t
+    ON len(grams) BETWEEN len(bigrams) * {least / (2 - least)} - 1e-9 AND len(bigrams) / {least / (2 - least)} + 1e-9 GROUP BY ALL
 ), m AS (
-  SELECT r, license, max(2.0::DOUBLE * len(list_intersect(grams, bigrams)) / (len(grams) + len(bigrams))) AS score FROM g, t
-  WHERE len(grams) BETWEEN len(bigrams) * {least / (2 - least)} - 1e-9 AND len(bigrams) / {least / (2 - least)} + 1e-9 GROUP BY ALL
+  SELECT r, license, max(score) AS score FROM (SELECT *, max(score) OVER (PARTITION BY r, passage) AS best FROM c) WHERE score = best AND score >= {least} - 1e-12 GROUP BY r, license
 ), b AS (
-  SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, arg_min(license, struct_pack(a := -score, b := license)) AS best, max(score) AS score
-  FROM m WHERE score >= {least} - 1e-12 GROUP BY r
+  SELECT r, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, arg_min(license, struct_pack(a := -score, b := license)) AS best, max(score) AS score FROM m GROUP BY r
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, best AS best_license, round(score, 6) AS best_score FROM d LEFT JOIN b ON b.r = d.r
 """

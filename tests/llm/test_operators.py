@@ -443,10 +443,21 @@ def test_every_step_covers_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "first_round", first)
     monkeypatch.setattr(maxent_lm, "word_round", lambda docs, *a: texts.append(docs.count()) or real[1](docs, *a))
     monkeypatch.setattr(maxent_lm, "CONTEXTS_HELD", 50)
+    monkeypatch.setattr(maxent_lm, "WORD_ROUNDS", 3)
+    monkeypatch.setattr(maxent_lm, "HASHED_BYTES", 60)
     maxent_lm.fit(spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(9), F.lit(True))
     assert words == [(400, 1200, 1200, 1200)] and texts == [400] * (maxent_lm.WORD_ROUNDS - 1)
 
 
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = [prose(k, 30 * k).encode() for k in range(8)] + [b"", b" ", b"x" * 5000, b"  a  ", ("é" * 3000 + " b").encode()]
+    whole = maxent_lm.Hasher().of(texts)
+    monkeypatch.setattr(maxent_lm, "HASHED_BYTES", 64)
+    for a, b in zip(whole, maxent_lm.Hasher().of(texts)):
+        assert (a == b).all()
+    assert whole[2].tolist() == [len(t.split()) + 1 for t in texts] and [x for p in maxent_lm.portions(texts) for x in p] == texts
+
+
 def test_sums_of_many_tasks(spark):
     parts = [(b, t // maxent_lm.FAN_IN, np.full(4, float(t * 10 + b), np.float32).tobytes()) for t in range(500) for b in range(3)]
     out = maxent_lm.summed(spark.createDataFrame(parts, maxent_lm.PARTS), 500, [5, 7])
@@ -696,23 +707,59 @@ def test_no_surrogate_is_shared_or_real(spark, monkeypatch):
 
 
 def brute_licenses(text, least):
-    found = {}
-    for t in licenses.compiled(licenses.TEMPLATES):
-        lines = (text or "").split("\n")
-        sentences = re.sub(r"([.!?])[ \t]+", r"\1\n", text or "").split("\n")
-        for passage in {text or "", *re.split(r"\n[ \t\r]*\n", text or ""), *lines, *sentences}:
-            words = licenses.words_of(passage)
-            grams = {f"{a} {b}" for a, b in zip(words, words[1:])}
-            if grams:
-                score = 2 * len(grams & set(t.bigrams)) / (len(grams) + len(t.bigrams))
-                if score >= least:
-                    found[t.name] = max(score, found.get(t.name, 0))
+    found, text = {}, text or ""
+    templates = [(n, {f"{a} {b}" for a, b in zip(w, w[1:])}) for n, texts in licenses.TEMPLATES.items() for w in (re.findall(r"[^\W_]+", t.lower()) for t in texts)]
+    sentences = lambda t: re.sub(r"([.!?])[ \t]+", r"\1\n", t).split("\n")
+    passages = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n"), *sentences(text)}
+    bare = "\n".join(re.sub(r"^[ \t]*(?:#+|//+|/?[*]+/?|--+|;+|%+|<!--)[ \t]?", "", line) for line in text.split("\n"))
+    paragraphs = [" ".join(re.split("[ \t\r\n]+", p)) for p in re.split(r"\n[ \t\r]*\n", bare)]
+    for parts, most in [(paragraphs, 2), *((sentences(p), 3) for p in paragraphs)]:
+        passages |= {" ".join(parts[k : k + n]) for n in range(1, most + 1) for k in range(len(parts) - n + 1)}
+    for passage in passages:
+        words = re.findall(r"[^\W_]+", passage.lower())
+        grams = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        scores = {}
+        for name, own in templates:
+            scores[name] = max(scores.get(name, 0), 2 * len(grams & own) / (len(grams) + len(own)))
+        best = max(scores.values())
+        for name, score in scores.items():
+            if grams and score == best >= least:
+                found[name] = max(score, found.get(name, 0))
     return sorted(((n, round(s, 9)) for n, s in found.items()), key=lambda x: (-x[1], x[0]))
 
 
+GPL_HEADER = """# Some program
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+import os
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        (GPL_HEADER, "GPL-3.0"), (GPL_HEADER.replace("# ", "// ").replace("#", "//"), "GPL-3.0"), (GPL_HEADER.replace("GNU General", "GNU Affero General"), "AGPL-3.0"),
+        ("Some words come before. This work is licensed under the GNU General\nPublic License, version 3. Some come after it, in the same\nparagraph, at some length.", "GPL-3.0"),
+        ("We wrote this long ago. " + licenses.TEMPLATES["MPL-2.0"][0] + " More of the same line follows here, and it goes on for quite a while.", "MPL-2.0"),
+        ("A first sentence of some length stands here. " + licenses.TEMPLATES["Apache-2.0"][1].replace(" you", "\nyou") + " . And so on.", "Apache-2.0"),
+        ("Copyright 2020\n\nRedistribution and use are permitted:\n\n1. Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", "BSD-3-Clause"),
+    ],
+)
+def test_notices_in_their_surroundings(spark, text, name):
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses
+    assert name in [m.license for m in got] and [(m.license, round(m.score, 9)) for m in got] == brute_licenses(text, 0.8)
+
+
 @pytest.mark.parametrize("least", [0.8, 0.6])
 def test_licences_equal_brute_force(spark, docs, none, least):
-    mit = licenses.TEMPLATES["MIT"][1]
+    mit = licenses.TEMPLATES["MIT"][2]
     odd = ["Released under the MIT License.", "x\nLICENSED under the apache-license version 2.0!\ny", mit, mit.replace("hereby ", "").replace(". ", ".\n"), "Intro.  Licensed under CC BY 4.0. Bye", "This work is licensed under CC BY-NC 4.0.", "license", "general 4 4 0", mit + "\n\n" + mit, None, ""]
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(odd)], "doc_id long, text string, passages string").unionByName(docs.select("doc_id", "text", F.lit("x").alias("passages")))
     for r in licenses.scan(rows, least=least).collect():
