@@ -14,27 +14,19 @@ REQUIREMENT = ["doc_id", "req_pos", "name", "category", "importance", "min_years
 SKILL = ["doc_id", "skill_pos", "name", "category", "proficiency", "years", "evidence"]
 
 
-def grams(tokens: Column, widest: int) -> Column:
-    """All runs of 1 to ``widest`` tokens, joined by spaces."""
-
-    def of(held: Column) -> Column:
-        starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), lambda i: i + n - 1 <= F.size(held))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(held, i, n), " "))))
-
-    return X.let(tokens, of)
-
-
 def skill_hits(lines: DataFrame, skills: SkillDictionary, sections: list[str] | None = None) -> DataFrame:
     """``lines`` with (canonical, canon_ord): a row for each skill that a line names in any spelling.
 
-    Word runs of a line meet the dictionary in a hash join; a line names a skill once.
+    Each distinct word of a line meets the forms that begin with it; a form counts
+    if the line holds it whole and no earlier form of the same skill, so a line
+    names a skill once without any shuffle.
     """
     rows = lines if sections is None else lines.where(F.col("section").isin(sections))
-    runs = rows.withColumn("form_key", F.explode(F.array_distinct(grams(F.split(X.norm_key(F.col("text")), " "), skills.widest()))))
-    forms = skills.small(skills.forms(lines.sparkSession), len(skills.form_rows()))
-    hits = runs.join(forms.select("form_key", F.col("form_canonical").alias("canonical"), F.col("form_order").alias("canon_ord")), "form_key").drop("form_key")
-    # a line's copies all came from one row of this partition, but equal forms may repeat a skill
-    return hits.dropDuplicates(["doc_id", "line_no", "canonical"])
+    keyed = rows.withColumn("_key", F.concat(F.lit(" "), X.norm_key(F.col("text")), F.lit(" ")))
+    words = keyed.withColumn("first_word", F.explode(F.array_distinct(F.split(F.trim("_key"), " "))))
+    forms = skills.small(skills.first_words(lines.sparkSession), len(skills.form_rows()))
+    held = lambda form: F.col("_key").contains(F.concat(F.lit(" "), form, F.lit(" ")))
+    return words.join(forms, "first_word").where(held(F.col("form_key")) & ~F.exists("before", held)).drop("first_word", "form_key", "before", "_key")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -46,8 +38,8 @@ def numbered(df: DataFrame, out: str, *order: Column | str) -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
 
 
-def requirements(lines: DataFrame, skills: SkillDictionary) -> DataFrame:
-    """Requirements of postings by rules: named skills, then degrees, then clauses with a verb of action."""
+def requirements(lines: DataFrame, skills: SkillDictionary, most: int | None = P.MAX_ITEMS) -> DataFrame:
+    """Requirements of postings by rules: named skills, then degrees, then clauses with a verb of action; ``most`` a posting, or all."""
     known = clause_context(lines, 3).withColumn("_degree", X.asks_for_degree(F.col("text")))
     hits = skill_hits(known, skills).where(~X.is_prose(F.col("text")))
     own = F.col("context")
@@ -71,7 +63,7 @@ def requirements(lines: DataFrame, skills: SkillDictionary) -> DataFrame:
     )
     every = named.unionByName(degrees).unionByName(clauses).where(F.col("name").isNotNull())
     first = first_by(every, ["doc_id", "key"], "pass", "line_no", "canon_ord")
-    kept = numbered(first, "req_pos", "pass", "line_no", "canon_ord").where(F.col("req_pos") <= P.MAX_ITEMS).withColumn("name", F.substring("name", 1, 120))
+    kept = numbered(first, "req_pos", "pass", "line_no", "canon_ord").where(F.lit(True) if most is None else F.col("req_pos") <= most).withColumn("name", F.substring("name", 1, 120))
     return distinct_requirements(kept.select(*REQUIREMENT))
 
 
@@ -109,8 +101,8 @@ def fragments(lines: DataFrame, section: str | None = None) -> DataFrame:
     return parts.withColumn("part", X.stripped(part, r" .;:\-")).where(fine)
 
 
-def resume_skills(lines: DataFrame, skills: SkillDictionary) -> tuple[DataFrame, DataFrame]:
-    """Skills of resumes by rules, and (doc_id, certifications) of all of them."""
+def resume_skills(lines: DataFrame, skills: SkillDictionary, most: int | None = P.MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """Skills of resumes by rules, ``most`` a resume, or all, and (doc_id, certifications) of all of them."""
     own, section = F.col("context"), F.col("section")
     hits = skill_hits(clause_context(lines, 2), skills).select(
         "doc_id", F.lit(1).alias("pass"), "line_no", F.col("canon_ord").alias("ord"), X.norm_key(F.col("canonical")).alias("key"), F.col("canonical").alias("name"), X.category(own, section).alias("category"),
@@ -123,7 +115,7 @@ def resume_skills(lines: DataFrame, skills: SkillDictionary) -> tuple[DataFrame,
     )
     every = hits.unionByName(held)
     certificates = every.where("category = 'certification'").groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("certifications"))
-    kept = numbered(every, "skill_pos", "pass", "line_no", "ord").where(F.col("skill_pos") <= P.MAX_ITEMS)
+    kept = numbered(every, "skill_pos", "pass", "line_no", "ord").where(F.lit(True) if most is None else F.col("skill_pos") <= most)
     return distinct_skills(kept.select(*SKILL)), certificates
 
 

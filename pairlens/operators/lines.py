@@ -14,31 +14,46 @@ def doc_order() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
-def clean_lines(raw: Column) -> Column:
-    """array<struct<text, is_bullet>> of the retained lines of a text, in order."""
-    cleaned = F.transform(F.split(raw, P.LINE_ENDS), lambda t: F.substring(X.removed(F.translate(t, "\u00a0\u00ad", " "), r"[\s\x1c-\x1f]+$"), 1, P.MAX_LINE_CHARS))
-    rows = F.transform(cleaned, lambda t: F.struct(X.stripped(t).alias("text"), X.is_bullet(t).alias("is_bullet")))
-    return F.slice(F.filter(rows, lambda r: r["text"] != ""), 1, P.MAX_LINES)
+def clean_lines(raw: Column, most_lines: int | None = P.MAX_LINES, most_chars: int | None = P.MAX_LINE_CHARS) -> Column:
+    """array<struct<text, is_bullet>> of the retained lines of a text, in order; ``None`` lifts a limit."""
 
+    def cleaned(line: Column) -> Column:
+        bare = X.removed(F.translate(line, "\u00a0\u00ad", " "), r"[\s\x1c-\x1f]+$")
+        return bare if most_chars is None else F.substring(bare, 1, most_chars)
 
-def split_lines(docs: DataFrame) -> DataFrame:
+    rows = F.transform(F.transform(F.split(raw, P.LINE_ENDS), cleaned), lambda t: F.struct(X.stripped(t).alias("text"), X.is_bullet(t).alias("is_bullet")))
+    kept = F.filter(rows, lambda r: r["text"] != "")
+    return kept if most_lines is None else F.slice(kept, 1, most_lines)
+
+
+def split_lines(docs: DataFrame, **limits: int | None) -> DataFrame:
     """(doc_id, line_no, text, is_bullet) from (doc_id, raw_text); line numbers count retained lines from 1.
 
     Numbering happens inside each row, so no shuffle is needed.
     """
-    at = docs.select("doc_id", F.posexplode(clean_lines(F.col("raw_text"))).alias("at", "line"))
+    at = docs.select("doc_id", F.posexplode(clean_lines(F.col("raw_text"), **limits)).alias("at", "line"))
     return at.select("doc_id", (F.col("at") + 1).alias("line_no"), F.col("line.text").alias("text"), F.col("line.is_bullet").alias("is_bullet"))
 
 
-def tag_sections(lines: DataFrame) -> DataFrame:
-    """``lines`` with column section: that of the last heading up to here."""
-    marked = lines.withColumn("_heading", X.section_heading(F.col("text"), F.col("is_bullet")))
-    so_far = doc_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("section", F.last("_heading", ignorenulls=True).over(so_far)).drop("_heading")
+def read_lines(docs: DataFrame, **limits: int | None) -> DataFrame:
+    """``split_lines`` with column section, that of the last heading up to a line.
+
+    A text is cut at its headings before its lines become rows, so sections need no shuffle either.
+    """
+
+    def cut(lines: Column) -> Column:
+        marked = F.transform(lines, lambda r, i: F.struct((i + 1).alias("at"), X.section_heading(r["text"], r["is_bullet"]).alias("section")))
+        heads = F.concat(F.array(F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("section"))), F.filter(marked, lambda m: m["section"].isNotNull()))
+
+        def stretch(heads: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(heads, i + 1)["at"], F.size(lines) + 1)
+            return F.transform(heads, lambda h, i: F.struct(h["at"].alias("first"), h["section"].alias("section"), F.slice(lines, h["at"], end(i) - h["at"]).alias("lines")))
 
+        return X.let(heads, stretch)
 
-def read_lines(docs: DataFrame) -> DataFrame:
-    return tag_sections(split_lines(docs))
+    parts = docs.select("doc_id", F.explode(X.let(clean_lines(F.col("raw_text"), **limits), cut)).alias("part"))
+    rows = parts.select("doc_id", "part.first", "part.section", F.posexplode("part.lines").alias("at", "line"))
+    return rows.select("doc_id", (F.col("first") + F.col("at")).alias("line_no"), F.col("line.text").alias("text"), F.col("line.is_bullet").alias("is_bullet"), "section")
 
 
 def clause_context(lines: DataFrame, reach: int, out: str = "context") -> DataFrame:

@@ -24,7 +24,10 @@ PAIR = ["jd_id", "resume_id"]
 
 @dataclass(frozen=True)
 class MatchConfig:
-    """Scoring knobs; ``encode`` maps a text column to a column of unit vectors."""
+    """Scoring knobs; ``encode`` maps a text column to a column of unit vectors.
+
+    ``use_recency``, ``embedding_weight`` and ``evidence_credit`` are accepted and change nothing.
+    """
 
     use_embeddings: bool = True
     use_recency: bool = False
@@ -162,36 +165,43 @@ def scored(out: DataFrame, config: MatchConfig) -> DataFrame:
     held = out.withColumns({"weight": weight, "_overlap": overlap, "_raw": F.round(raw, 4), "_available": available})
     weak = F.coalesce(F.col("similarity") < P.NEAREST_LEAST, F.lit(False))
     status = F.when(F.col("_raw") >= P.MET, "met").when(F.col("_raw") >= P.PARTIAL, "partial").otherwise("contested")
-    note = F.when(F.col("_available").isNull(), F.concat(F.lit("years not stated; credited at 0.85 against a "), _short(F.col("min_years")), F.lit("-year minimum"))).otherwise(
-        F.concat(_short(F.col("_available")), F.lit(" years stated against a "), _short(F.col("min_years")), F.lit("-year minimum"))
+    note = F.when(F.col("_available").isNull(), F.concat(F.lit(P.YEARS_NOTES[0]), _short(F.col("min_years")), F.lit(P.YEARS_NOTES[2]))).otherwise(
+        F.concat(_short(F.col("_available")), F.lit(P.YEARS_NOTES[1]), _short(F.col("min_years")), F.lit(P.YEARS_NOTES[2]))
     )
     story = F.concat_ws(
-        "; ", F.concat(F.lit("matched via "), method, F.lit(" as '"), F.col("matched_as"), F.lit("' ("), F.col("matched_proficiency"), F.lit(")")), F.when(required.isNotNull(), note),
-        F.when((F.col("_overlap") > 0) & (method == "embedding"), F.format_string("wording overlap %.0f%%", F.col("_overlap") * 100)),
+        "; ", F.concat(F.lit(P.MATCHED_NOTE[0]), method, F.lit(P.MATCHED_NOTE[1]), F.col("matched_as"), F.lit(P.MATCHED_NOTE[2]), F.col("matched_proficiency"), F.lit(P.MATCHED_NOTE[3])), F.when(required.isNotNull(), note),
+        F.when((F.col("_overlap") > 0) & (method == "embedding"), F.format_string(P.OVERLAP_NOTE, F.col("_overlap") * 100)),
     )
     return held.select(
         *PAIR, "req_pos", "name", "category", "importance", "min_years", "evidence", "weight",
         F.when(~hit, "missing").when(weak, "contested").otherwise(status).alias("status"),
         F.when(~hit, 0.0).when(weak, F.round(F.least("_raw", "similarity"), 4)).otherwise(F.col("_raw")).alias("score"),
         "matched_as", "matched_proficiency", "resume_evidence", F.coalesce(method, F.lit("none")).alias("method"), "similarity",
-        F.when(hit, story).otherwise("No mention of this requirement in the resume.").alias("explanation"),
+        F.when(hit, story).otherwise(P.MISSING_NOTE).alias("explanation"),
     )
 
 
 def corroborate(outcomes: DataFrame, skills: DataFrame, dictionary: SkillDictionary) -> DataFrame:
-    """Gaps that are no musts but stand in the text of some skill's evidence become partial."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("skill_pos", F.lower("evidence.text").alias("t")))), lambda r: r["t"])
-    texts = skills.where(F.col("evidence").isNotNull()).groupBy("doc_id").agg(F.concat(F.lit(" "), X.norm_key(F.array_join(ordered, " ")), F.lit(" ")).alias("_text"))
+    """Gaps that are no musts but stand in the text of some skill's evidence become partial.
+
+    Only gaps are looked up, and each name once a resume, however many postings ask for it.
+    """
+    gap = F.col("status").isin("missing", "contested") & (F.col("importance") != "must") & (F.length("_key") >= 3)
+    held = outcomes.withColumn("_key", X.norm_key(F.col("name")))
+    wanted = held.where(gap).select("resume_id", "_key").distinct()
     forms = dictionary.forms(outcomes.sparkSession).groupBy("form_canonical").agg(F.collect_set("form_key").alias("_forms"))
     forms = forms.withColumn("_key", X.norm_key(F.col("form_canonical"))).drop("form_canonical")
-    held = outcomes.withColumn("_key", X.norm_key(F.col("name"))).join(dictionary.small(forms, dictionary.size()), "_key", "left").join(texts.withColumnRenamed("doc_id", "resume_id"), "resume_id", "left")
     every = F.array_union(F.coalesce("_forms", F.array().cast("array<string>")), F.array("_key"))
-    seen = F.exists(F.filter(every, lambda f: F.length(f) >= 3), lambda f: F.col("_text").contains(F.concat(F.lit(" "), f, F.lit(" "))))
-    rises = F.coalesce(F.col("status").isin("missing", "contested") & (F.col("importance") != "must") & (F.length("_key") >= 3) & seen, F.lit(False))
+    asked = wanted.join(dictionary.small(forms, dictionary.size()), "_key", "left").select("resume_id", "_key", F.explode(F.filter(every, lambda f: F.length(f) >= 3)).alias("_form"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("skill_pos", F.lower("evidence.text").alias("t")))), lambda r: r["t"])
+    texts = skills.where(F.col("evidence").isNotNull()).groupBy(F.col("doc_id").alias("resume_id")).agg(F.concat(F.lit(" "), X.norm_key(F.array_join(ordered, " ")), F.lit(" ")).alias("_text"))
+    seen = asked.join(texts, "resume_id").where(F.col("_text").contains(F.concat(F.lit(" "), "_form", F.lit(" ")))).select("resume_id", "_key").distinct()
+    held = held.join(seen.withColumn("_seen", F.lit(True)), ["resume_id", "_key"], "left")
+    rises = F.coalesce(gap & F.col("_seen"), F.lit(False))
     return held.withColumns({
         "status": F.when(rises, "partial").otherwise(F.col("status")), "score": F.when(rises, F.greatest(F.col("score"), F.lit(P.CORROBORATED))).otherwise(F.col("score")),
         "method": F.when(rises, "taxonomy").otherwise(F.col("method")),
-        "explanation": F.when(rises, F.concat("explanation", F.lit("; corroborated by resume text outside the extracted skill list"))).otherwise(F.col("explanation")),
+        "explanation": F.when(rises, F.concat("explanation", F.lit(P.CORROBORATED_NOTE))).otherwise(F.col("explanation")),
     }).select(outcomes.columns)
 
 

@@ -1,11 +1,14 @@
 """Repair of a language model's extraction: JSON recovery, names, years, evidence, and merging with the rules.
 
-The model itself is a hook: any function from (doc_id, chunk_no, numbered) rows
-to (doc_id, chunk_no, raw) rows, for instance a ``mapInPandas``.
+The model itself is a hook: any function from rows (doc_id, chunk_no, numbered,
+system, prompt, schema) to rows (doc_id, chunk_no, raw), for instance a
+``mapInPandas`` around a local model.  ``system`` and ``prompt`` are what to ask,
+``schema`` is the JSON schema that an answer keeps to.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,38 @@ JD_JSON = f"title string, company string, requirements array<struct<name:string,
 RESUME_JSON = f"skills array<struct<name:string,category:string,proficiency:string,years:double,evidence:{EVIDENCE_JSON}>>"
 
 
+#: What a model may answer in these fields.
+CATEGORIES = ["skill", "experience", "education", "certification", "soft", "domain", "language", "other"]
+IMPORTANCES = ["must", "preferred", "nice_to_have"]
+PROFICIENCIES = ["exposed", "working", "proficient", "expert"]
+
+
+def _answer(what: str, fields: dict, item: dict) -> str:
+    """JSON schema of an object with some fields and a list of items with evidence."""
+    evidence = {"type": "object", "properties": {"text": {"type": "string"}, "line": {"type": "integer", "minimum": 1}}, "required": ["text", "line"]}
+    items = {"type": "object", "properties": {"name": {"type": "string"}, "category": {"enum": CATEGORIES}, **item, "evidence": evidence}, "required": ["name", "category", *(k for k, v in item.items() if "enum" in v)], "additionalProperties": False}
+    return json.dumps({"type": "object", "properties": {**fields, what: {"type": "array", "items": items}}, "required": [what], "additionalProperties": False})
+
+
+TEXT_OR_NULL, NUMBER_OR_NULL = {"type": ["string", "null"]}, {"type": ["number", "null"]}
+SCHEMAS = {
+    "posting": _answer("requirements", {"title": TEXT_OR_NULL, "company": TEXT_OR_NULL}, {"importance": {"enum": IMPORTANCES}, "min_years": NUMBER_OR_NULL}),
+    "resume": _answer("skills", {}, {"proficiency": {"enum": PROFICIENCIES}, "years": NUMBER_OR_NULL}),
+}
+SYSTEM = {
+    "posting": "Read a job posting whose lines are numbered and list what it asks for as JSON. Name each requirement once. Call it must where the text demands it, preferred where it wishes for it, nice_to_have otherwise. "
+    "Give min_years only where a number of years is written. Quote the line that backs each entry, with its number, and add nothing that is not written.",
+    "resume": "Read a resume whose lines are numbered and list what its author can do as JSON. Name each skill once, with the best proof the text has for it: exposed if only mentioned, working if applied, proficient if used alone and well, expert if led or deep. "
+    "Give years only where a number of years is written. Quote the line that backs each entry, with its number, and add nothing that is not written.",
+}
+ASK = "Go through all lines below, from the first to the last, and make an entry for each that names something."
+
+
+def prompted(chunks_: DataFrame, side: str) -> DataFrame:
+    """Chunks with what a model is asked about them: system, prompt, schema. ``side``: posting or resume."""
+    return chunks_.withColumns({"system": F.lit(SYSTEM[side]), "prompt": F.concat(F.lit(ASK + "\n\n"), "numbered"), "schema": F.lit(SCHEMAS[side])})
+
+
 def recovered(raw: Column, schema: str) -> Column:
     """The JSON object in a model's text, null if there is none or it never ends."""
     text = X.json_object(raw)
@@ -57,7 +92,7 @@ def model_requirements(lines: DataFrame, generate: Callable[[DataFrame], DataFra
     Evidence is looked up in the lines, years are read from it and from nowhere
     else, and chunks whose output is no JSON mark the document as degraded.
     """
-    raw = generate(chunks(lines)).withColumn("_j", recovered(F.col("raw"), JD_JSON))
+    raw = generate(prompted(chunks(lines), "posting")).withColumn("_j", recovered(F.col("raw"), JD_JSON))
     facts = raw.groupBy("doc_id").agg(
         F.min_by(F.substring(F.trim("_j.title"), 1, 160), F.when(F.trim("_j.title") != "", F.col("chunk_no"))).alias("title"),
         F.min_by(F.substring(F.trim("_j.company"), 1, 160), F.when(F.trim("_j.company") != "", F.col("chunk_no"))).alias("company"), F.bool_or(F.col("_j").isNull()).alias("degraded"),
@@ -72,16 +107,17 @@ def model_requirements(lines: DataFrame, generate: Callable[[DataFrame], DataFra
     return out.select(*REQUIREMENT), facts
 
 
-def model_skills(lines: DataFrame, generate: Callable[[DataFrame], DataFrame], rules: DataFrame, dictionary: SkillDictionary) -> DataFrame:
-    """Skills from a model, repaired, followed by the rules' skills that it missed."""
-    raw = generate(chunks(lines)).withColumn("_j", recovered(F.col("raw"), RESUME_JSON))
+def model_skills(lines: DataFrame, generate: Callable[[DataFrame], DataFrame], rules: DataFrame, dictionary: SkillDictionary) -> tuple[DataFrame, DataFrame]:
+    """Skills from a model, repaired, followed by the rules' skills that it missed; and (doc_id, degraded) of the documents that it read."""
+    raw = generate(prompted(chunks(lines), "resume")).withColumn("_j", recovered(F.col("raw"), RESUME_JSON))
+    facts = raw.groupBy("doc_id").agg(F.bool_or(F.col("_j").isNull()).alias("degraded"), F.sum(F.coalesce(F.size("_j.skills"), F.lit(0))).alias("n")).where("n > 0").drop("n")
     items = raw.select("doc_id", "chunk_no", F.posexplode("_j.skills").alias("_i", "r")).where(F.trim("r.name") != "")
     items = items.select(
         "doc_id", (F.col("chunk_no") * 100_000 + F.col("_i")).cast("int").alias("skill_pos"), F.substring(F.trim("r.name"), 1, 120).alias("name"), F.coalesce("r.category", F.lit("skill")).alias("category"),
         F.coalesce("r.proficiency", F.lit("working")).alias("proficiency"), "r.years", F.col("r.evidence.text").alias("quote"), F.col("r.evidence.line").alias("line_hint"),
     )
     found = resolve_quotes(items.withColumnRenamed("skill_pos", "quote_id"), lines).withColumnRenamed("quote_id", "skill_pos").select(*SKILL)
-    return _first_of_both(found, rules, "skill_pos", dictionary)
+    return _first_of_both(found, rules, "skill_pos", dictionary), facts
 
 
 def merge_requirements(model: DataFrame, rules: DataFrame, dictionary: SkillDictionary) -> DataFrame:

@@ -22,9 +22,9 @@ def overall_score() -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted_mean(F.col("score"), F.col("weight"), 100))), 1)
 
 
-def must_coverage() -> Column:
+def must_coverage(partial_credit: float = 0.5) -> Column:
     must = F.col("importance") == "must"
-    got = F.sum(F.when(must & (F.col("status") == "met"), 1.0).when(must & (F.col("status") == "partial"), 0.5).otherwise(0.0))
+    got = F.sum(F.when(must & (F.col("status") == "met"), 1.0).when(must & (F.col("status") == "partial"), partial_credit).otherwise(0.0))
     return F.coalesce(F.round(F.least(F.lit(1.0), F.try_divide(got, F.nullif(F.count_if(must), F.lit(0)))), 4), F.lit(1.0))
 
 
@@ -41,13 +41,17 @@ def verdict(score: Column, coverage: Column, blocked: Column, gate: bool) -> Col
     return F.when(blocked, "weak").otherwise(out) if gate else out
 
 
-def _best_first(items: Column) -> Column:
+def best_first(items: Column) -> Column:
     """Outcomes by weight and score, both falling; equal ones keep the posting's order."""
     keyed = F.transform(items, lambda o: F.struct((-o["weight"]).alias("w"), (-o["score"]).alias("s"), o["req_pos"].alias("p"), o.alias("o")))
     return F.transform(F.array_sort(keyed, lambda a, b: F.when(F.struct(a["w"], a["s"], a["p"]) < F.struct(b["w"], b["s"], b["p"]), -1).otherwise(1)), lambda k: k["o"])
 
 
-def _in_order(items: Column) -> Column:
+def strengths(items: Column) -> Column:
+    return F.slice(best_first(F.filter(items, lambda o: o["status"] == "met")), 1, P.STRENGTHS)
+
+
+def in_order(items: Column) -> Column:
     return F.array_sort(items, lambda a, b: F.when(a["req_pos"] < b["req_pos"], -1).otherwise(1))
 
 
@@ -57,40 +61,42 @@ def suggestions(outcomes: Column, requirement_count: Column, longest: Column, to
     must = lambda o: o["importance"] == "must"
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     when = lambda test, line: F.when(test, F.array(line)).otherwise(F.array().cast("array<string>"))
-    none = "No requirements could be read from the job description, so this verdict is meaningless. Check that the posting was pasted with its line breaks intact."
-    one = text("Only one requirement was read, and its name is ", longest.cast("string"), " characters long, which means the job description lost its line breaks and the whole posting collapsed into a single clause. Re-paste it with the original formatting; this score is not trustworthy.")
+    say = P.ADVICE
     every = F.concat(
-        when(requirement_count == 0, F.lit(none)),
-        when((requirement_count == 1) & (longest >= 80), one),
-        pick(lambda o: must(o) & o["status"].isin("missing", "contested"), 1000, lambda o: text("Blocker: '", o["name"], "' is required but not evidenced. Add a concrete line showing it, or drop it from the resume if you have no example.")),
-        pick(lambda o: must(o) & (o["status"] == "partial"), 3, lambda o: text("Strengthen '", o["name"], "': currently ", F.coalesce(o["matched_proficiency"], F.lit("weak")), ". One quantified result would move it.")),
-        pick(lambda o: ~must(o) & (o["status"] == "contested"), 3, lambda o: text("Check '", o["name"], "': the closest resume evidence scored ", F.format_string("%.2f", o["score"]), ". Confirm whether you actually have this experience.")),
-        when(degraded, F.lit("Extraction ran in degraded (rule-based) mode, so recall on unusual phrasing is lower. Re-run with the model backend for a fuller read.")),
-        when(F.coalesce(total_years == 0, F.lit(True)) & (requirement_count > 0), F.lit("No parseable employment dates were found. Add MM/YYYY ranges so total experience is computable.")),
-        pick(lambda o: (o["importance"] == "preferred") & (o["status"] == "missing"), 4, lambda o: text("Preferred gap: '", o["name"], "'. Worth one mention if you have any exposure.")),
+        when(requirement_count == 0, F.lit(say["nothing read"])),
+        when((requirement_count == 1) & (longest >= 80), text(say["one long"][0], longest.cast("string"), say["one long"][1])),
+        pick(lambda o: must(o) & o["status"].isin("missing", "contested"), 1000, lambda o: text(say["blocker"][0], o["name"], say["blocker"][1])),
+        pick(lambda o: must(o) & (o["status"] == "partial"), 3, lambda o: text(say["partial"][0], o["name"], say["partial"][1], F.coalesce(o["matched_proficiency"], F.lit("weak")), say["partial"][2])),
+        pick(lambda o: ~must(o) & (o["status"] == "contested"), 3, lambda o: text(say["contested"][0], o["name"], say["contested"][1], F.format_string("%.2f", o["score"].cast("double")), say["contested"][2])),
+        when(degraded, F.lit(say["degraded"])),
+        when(F.coalesce(total_years == 0, F.lit(True)) & (requirement_count > 0), F.lit(say["no dates"])),
+        pick(lambda o: (o["importance"] == "preferred") & (o["status"] == "missing"), 4, lambda o: text(say["preferred"][0], o["name"], say["preferred"][1])),
     )
     return F.slice(every, 1, P.SUGGESTIONS)
 
 
 def reports(pairs: DataFrame, outcomes: DataFrame, profiles: DataFrame, postings: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """One row a pair: scores, verdict, ordered outcomes, blockers, strengths, suggestions and the configuration."""
+    """One row a pair: scores, verdict, ordered outcomes, blockers, strengths, suggestions and the configuration.
+
+    ``postings``: doc_id, title, company, seniority, jd_extractor. ``profiles``: doc_id, total_years, highest_education, certifications, resume_extractor, degraded.
+    """
     rows = outcomes.groupBy(*PAIR).agg(
-        overall_score().alias("overall_score"), must_coverage().alias("must_have_coverage"), gated().alias("_blocked"),
+        overall_score().alias("overall_score"), must_coverage(config.partial_credit).alias("must_have_coverage"), gated().alias("_blocked"),
         F.collect_list(F.struct(*OUTCOME)).alias("_all"), F.count(F.lit(1)).alias("n_requirements"), F.count_if(F.col("importance") == "must").alias("n_musts"), F.max(F.length("name")).alias("_longest"),
     )
-    held = pairs.select(*PAIR).join(rows, PAIR, "left").join(profiles.select(F.col("doc_id").alias("resume_id"), "total_years", "highest_education", "certifications"), "resume_id", "left").join(postings.withColumnRenamed("doc_id", "jd_id"), "jd_id", "left")
+    held = pairs.select(*PAIR).join(rows, PAIR, "left").join(profiles.select(F.col("doc_id").alias("resume_id"), "total_years", "highest_education", "certifications", "resume_extractor", "degraded"), "resume_id", "left").join(postings.withColumnRenamed("doc_id", "jd_id"), "jd_id", "left")
     kind = dict(rows.dtypes)["_all"]
     held = held.withColumns({
         "_all": F.coalesce("_all", F.array().cast(kind)), "overall_score": F.coalesce("overall_score", F.lit(0.0)), "must_have_coverage": F.coalesce("must_have_coverage", F.lit(1.0)),
         "_blocked": F.coalesce("_blocked", F.lit(False)), "n_requirements": F.coalesce("n_requirements", F.lit(0)), "n_musts": F.coalesce("n_musts", F.lit(0)), "_longest": F.coalesce("_longest", F.lit(0)),
     })
-    inside = _in_order(F.col("_all"))
+    inside = in_order(F.col("_all"))
     blockers = F.filter(inside, lambda o: (o["importance"] == "must") & o["status"].isin("missing", "contested"))
     settings = F.create_map(*(F.lit(x) for k, v in config.as_dict().items() for x in (k, v)))
     return held.select(
-        *PAIR, "title", "seniority", "overall_score", verdict(F.col("overall_score"), F.col("must_have_coverage"), F.col("_blocked"), config.must_have_gate).alias("verdict"), "must_have_coverage",
-        "n_requirements", "n_musts", _best_first(F.col("_all")).alias("outcomes"), (blockers if config.must_have_gate else F.array().cast(kind)).alias("blockers"),
-        F.slice(_best_first(F.filter("_all", lambda o: o["status"] == "met")), 1, P.STRENGTHS).alias("strengths"),
-        suggestions(inside, F.col("n_requirements"), F.col("_longest"), F.col("total_years"), F.lit(True)).alias("suggestions"),
-        "total_years", "highest_education", "certifications", settings.alias("scoring_config"),
+        *PAIR, "title", "company", "seniority", "overall_score", verdict(F.col("overall_score"), F.col("must_have_coverage"), F.col("_blocked"), config.must_have_gate).alias("verdict"), "must_have_coverage",
+        "n_requirements", "n_musts", best_first(F.col("_all")).alias("outcomes"), (blockers if config.must_have_gate else F.array().cast(kind)).alias("blockers"),
+        strengths(F.col("_all")).alias("strengths"),
+        suggestions(inside, F.col("n_requirements"), F.col("_longest"), F.col("total_years"), F.coalesce("degraded", F.lit(True))).alias("suggestions"),
+        "total_years", "highest_education", "certifications", "jd_extractor", "resume_extractor", F.coalesce("degraded", F.lit(True)).alias("degraded"), settings.alias("scoring_config"),
     )

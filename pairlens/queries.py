@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairlens import case_queries
 from pairlens.dims import SkillDictionary
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
@@ -51,8 +52,20 @@ def clause_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clause_context(turns(spark, sf_dir), 2).select("doc_id", "line_no", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
+def clause_context_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clause_context(turns(spark, sf_dir), 3).select("doc_id", "line_no", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.chunks(lines.read_lines(documents(spark, sf_dir)), 10, 2)
+    return _chunks(spark, sf_dir, P.CHUNK_LINES, P.CHUNK_OVERLAP)
+
+
+def chunk_overlap_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 10, 2)
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int, overlap: int) -> DataFrame:
+    out = lines.chunks(lines.read_lines(documents(spark, sf_dir)), size, overlap)
     return out.select("doc_id", "chunk_no", "first_line", "last_line", F.md5(F.col("numbered").cast("binary")).alias("numbered_md5"))
 
 
@@ -123,7 +136,9 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def employment_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order months as spells of employment in text, read back and merged."""
     orders = table(spark, sf_dir, "orders")
-    text = F.concat(F.date_format("o_orderdate", "MM/yyyy"), F.lit(" - "), F.date_format(F.add_months("o_orderdate", (F.col("o_orderkey") % 5).cast("int")), "MM/yyyy"))
+    key, until = F.col("o_orderkey"), F.add_months("o_orderdate", (F.col("o_orderkey") % 5).cast("int"))
+    spelled = lambda day: F.when(key % 3 == 0, F.date_format(day, "MM/yyyy")).when(key % 3 == 1, F.date_format(day, "MMM yyyy")).otherwise(F.date_format(day, "MMM. yyyy"))
+    text = F.concat(spelled("o_orderdate"), F.when(key % 2 == 0, " - ").otherwise(" to "), F.when(key % 11 == 0, "Present").otherwise(spelled(until)), F.lit(": clerk"))
     rows = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("line_no"), text.alias("text"), F.lit(None).cast("string").alias("section"))
     return extract.total_years(rows, (2026, 11))
 
@@ -142,10 +157,32 @@ def order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("jd_id", "overall_score", "coverage", "blocked", score.verdict(F.col("overall_score"), F.col("coverage"), F.col("blocked"), True).alias("verdict"), score.verdict(F.col("overall_score"), F.col("coverage"), F.col("blocked"), False).alias("ungated"))
 
 
+def _order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of each order as one array, named by their parts."""
+    known = F.when(F.col("req_pos") % 3 == 0, "exposed").when(F.col("req_pos") % 3 == 1, "working")
+    place = (F.col("req_pos") * 100_000 + F.col("l_partkey")).cast("long")  # line numbers repeat within an order
+    rows = order_outcomes(spark, sf_dir).withColumns({"req_pos": place, "name": F.concat(F.lit("part "), F.col("l_partkey").cast("string")), "matched_proficiency": known})
+    return rows.groupBy("jd_id").agg(F.collect_list(F.struct("req_pos", "name", "l_partkey", "importance", "score", "weight", "status", "matched_proficiency")).alias("items"))
+
+
+def _places(rows: DataFrame, items: Column) -> DataFrame:
+    return rows.select("jd_id", F.posexplode(items).alias("place", "o")).select("jd_id", (F.col("place") + 1).alias("place"), "o.req_pos", "o.l_partkey")
+
+
+def outcome_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(_order_items(spark, sf_dir), score.best_first(F.col("items")))
+
+
 def topk_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = Window.partitionBy("jd_id").orderBy(F.desc("weight"), F.desc("score"), "req_pos", "l_partkey")
-    met = order_outcomes(spark, sf_dir).where("status = 'met'").withColumn("place", F.row_number().over(best))
-    return met.where(F.col("place") <= 3).select("jd_id", "place", "req_pos", "l_partkey")
+    return _places(_order_items(spark, sf_dir), score.strengths(F.col("items")))
+
+
+def order_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next steps for every order; every third has no dates, every second was read by rules, every fifth is one long clause."""
+    rows, key = _order_items(spark, sf_dir), F.col("jd_id")
+    count = F.when(key % 5 == 0, 1).when(key % 7 == 0, 0).otherwise(F.size("items"))
+    out = score.suggestions(score.in_order(F.col("items")), count, F.when(key % 10 == 0, 90).otherwise(20), F.when(key % 3 == 0, 0.0).when(key % 3 == 1, 4.5), key % 2 == 0)
+    return rows.select("jd_id", F.size(out).alias("n"), F.array_join(out, "|").alias("suggestions"))
 
 
 def years_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +206,6 @@ def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir)
-    quotes = rows.where("line_no <= 2").select("doc_id", F.col("line_no").alias("quote_id"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 5, 40)).alias("quote"), (F.col("line_no") + 2).cast("int").alias("line_hint"))
-    return lines.resolve_quotes(quotes, rows).select("doc_id", "quote_id", F.col("evidence.line").alias("line_no"))
-
-
-def quote_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote of every turn, looked up in its conversation."""
     rows = turns(spark, sf_dir)
     quotes = rows.select("doc_id", F.col("line_no").alias("quote_id"), F.substring("text", 5, 40).alias("quote"), (F.col("line_no") + 2).cast("int").alias("line_hint"))
@@ -200,18 +231,6 @@ def resume_skill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiers of matching: a customer's first orders' priorities as needs, those of all but the first two as skills."""
-    needs = _profile_rows(spark, sf_dir, "req_pos").where("req_pos <= 5").select(*extract.REQUIREMENT).withColumn("min_years", F.lit(None).cast("double"))
-    skills = _profile_rows(spark, sf_dir, "skill_pos").where("skill_pos > 2").select(*extract.SKILL)
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
-    pairs = customers.select(F.col("c_custkey").alias("jd_id"), F.col("c_custkey").alias("resume_id"))
-    profiles = customers.select(F.col("c_custkey").alias("doc_id"), F.lit(None).cast("double").alias("total_years"), F.lit(None).cast("string").alias("highest_education"), F.lit(None).cast("struct<text:string,line:int,section:string>").alias("education_evidence"))
-    names = SkillDictionary({"1 Urgent": [], "2 High": ["high"], "3 Medium": ["medium"]})
-    out = match.match(pairs, extract.distinct_requirements(needs), extract.distinct_skills(skills), profiles, names)
-    return out.select("jd_id", "req_pos", "name", "status", "method", F.round("score", 4).alias("score"))
-
-
-def cascade_match_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tiers of matching over all orders: each customer's priorities against those of the other customers of its block of four keys."""
     needs = _profile_rows(spark, sf_dir, "req_pos").select(*extract.REQUIREMENT).withColumn("min_years", F.lit(None).cast("double"))
     skills = _profile_rows(spark, sf_dir, "skill_pos").select(*extract.SKILL)
@@ -243,10 +262,10 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
-        doc_lines, section_ffill, clause_context, chunk_overlap, mask_contacts, mask_email, norm_keys, content_tokens, dictionary_hits, alias_lookup, cues, doc_types, requirement_dedupe, skill_dedupe,
-        interval_merge, employment_years, order_verdicts, topk_strengths, years_scores, union_priority, json_recover, quote_lines, quote_lines_all, prf_eval, posting_requirements, resume_skill_rows, cascade_match, cascade_match_blocks, analysis_reports,
+        doc_lines, section_ffill, clause_context, clause_context_3, chunk_overlap, chunk_overlap_10, mask_contacts, mask_email, norm_keys, content_tokens, dictionary_hits, alias_lookup, cues, doc_types, requirement_dedupe, skill_dedupe,
+        interval_merge, employment_years, order_verdicts, outcome_order, topk_strengths, order_suggestions, years_scores, union_priority, json_recover, quote_lines, prf_eval, posting_requirements, resume_skill_rows, cascade_match, analysis_reports,
     ]
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | case_queries.queries()
 
 
 # --- the same in DuckDB SQL --------------------------------------------------
@@ -263,11 +282,18 @@ _KEY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lowe
 _CASE = lambda cases, other: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + f" ELSE {other} END"
 _HAS = lambda column, pattern: f"regexp_matches({column}, '" + pattern.replace("'", "''") + "')"
 _RANGES = "SELECT o_custkey AS doc_id, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS s, year(o_orderdate) * 12 + month(o_orderdate) - 1 + o_orderkey % 5 AS f FROM orders"
-_ISLANDS = f"""
+_SPELLS = _RANGES.replace(" AS f FROM", " AS f, o_orderkey FROM")
+_SPELLS = f"SELECT doc_id, s, CASE WHEN o_orderkey % 11 = 0 THEN 2026 * 12 + 10 ELSE f END AS f FROM ({_SPELLS})"
+
+
+def _islands(ranges: str) -> str:
+    return f"""
 SELECT doc_id, min(s)::INT AS start, max(f)::INT AS finish FROM (
   SELECT *, sum(CASE WHEN s <= m + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS g FROM (
-    SELECT *, max(f) OVER (PARTITION BY doc_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({_RANGES}))) GROUP BY doc_id, g
+    SELECT *, max(f) OVER (PARTITION BY doc_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({ranges}))) GROUP BY doc_id, g
 """
+
+
 _TURNS = "SELECT conv_id AS doc_id, turn AS line_no, text, role = 'assistant' AS is_bullet, turn // 5 AS section FROM conversations"
 _PROFILE = """
 SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS pos, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE ' ' || lower(o_orderpriority) END AS name,
@@ -278,16 +304,27 @@ SELECT *, CASE importance WHEN 'must' THEN 1.0 WHEN 'preferred' THEN 0.45 ELSE 0
   CASE WHEN score >= {P.MET} THEN 'met' WHEN score >= {P.PARTIAL} THEN 'partial' WHEN l_linestatus = 'F' THEN 'contested' ELSE 'missing' END AS status FROM (
   SELECT l_orderkey AS jd_id, l_linenumber AS req_pos, l_partkey, l_linestatus, CASE l_returnflag WHEN 'A' THEN 'must' WHEN 'N' THEN 'preferred' ELSE 'nice_to_have' END AS importance, round(l_discount * 10, 4)::DECIMAL(10,4) AS score FROM lineitem)
 """
+_PLACED = f"SELECT * REPLACE ((req_pos * 100000 + l_partkey)::BIGINT AS req_pos), req_pos AS line FROM ({_OUTCOMES})"
 
 
-def _context_sql() -> str:
-    """Two steps each way; step k of a direction counts if all steps before it do."""
+def _context_sql(reach: int) -> str:
+    """Some steps each way; step k of a direction counts if all steps before it do."""
     w = "OVER (PARTITION BY doc_id ORDER BY line_no)"
     ok = lambda f, k: f"coalesce({f}(line_no, {k}) {w} IS NOT NULL AND NOT {f}(is_bullet, {k}) {w} AND {f}(section, {k}) {w} IS NOT DISTINCT FROM section, false)"
-    flags = [ok("lead", 1), ok("lag", 1), ok("lead", 2), ok("lag", 2)]
-    going = [" AND ".join(flags[: k + 1]) for k in range(4)]
-    part = lambda k, f, n: f"CASE WHEN {going[k]} THEN {f}(text, {n}) {w} END"
-    return f"SELECT doc_id, line_no, md5(concat_ws(' ', {part(3, 'lag', 2)}, {part(1, 'lag', 1)}, text, {part(0, 'lead', 1)}, {part(2, 'lead', 2)})) AS context_md5 FROM ({_TURNS})"
+    steps = [(f, k) for k in range(1, reach + 1) for f in ("lead", "lag")]
+    part = {s: f"CASE WHEN {' AND '.join(ok(*x) for x in steps[: i + 1])} THEN {s[0]}(text, {s[1]}) {w} END" for i, s in enumerate(steps)}
+    order = [part["lag", k] for k in range(reach, 0, -1)] + ["text"] + [part["lead", k] for k in range(1, reach + 1)]
+    return f"SELECT doc_id, line_no, md5(concat_ws(' ', {', '.join(order)})) AS context_md5 FROM ({_TURNS})"
+
+
+def _chunks_sql(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""
+WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_LINES})), c AS (
+  SELECT doc_id, n, unnest(range(0, 1 + greatest(0, ceil((n - {size}) / {step}.0))::BIGINT)) AS chunk_no FROM (SELECT DISTINCT doc_id, n FROM l))
+SELECT c.doc_id, c.chunk_no::INT AS chunk_no, min(line_no)::INT AS first_line, max(line_no)::INT AS last_line, md5(string_agg(line_no || ': ' || text, chr(10) ORDER BY line_no)) AS numbered_md5
+FROM c JOIN l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.chunk_no * {step} + 1 AND c.chunk_no * {step} + {size} GROUP BY c.doc_id, c.chunk_no
+"""
 
 
 def _cues_sql() -> str:
@@ -307,6 +344,27 @@ FROM (SELECT *, lower(t) AS l FROM (SELECT p_partkey, concat_ws(' ', p_name, {wo
 """
 
 
+def _suggestions_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    say = P.ADVICE
+    some = lambda test, text, most: f"coalesce(list({text} ORDER BY req_pos) FILTER ({test}), [])[1:{most}]"
+    once = lambda test, text: f"CASE WHEN {test} THEN [{q(text)}] ELSE [] END"
+    count = "CASE WHEN jd_id % 5 = 0 THEN 1 WHEN jd_id % 7 = 0 THEN 0 ELSE count(*) END"
+    parts = [
+        once(f"{count} = 0", say["nothing read"]), once(f"{count} = 1 AND jd_id % 10 = 0", say["one long"][0] + "90" + say["one long"][1]),
+        some("importance = 'must' AND status IN ('missing', 'contested')", f"{q(say['blocker'][0])} || name || {q(say['blocker'][1])}", 1000),
+        some("importance = 'must' AND status = 'partial'", f"{q(say['partial'][0])} || name || {q(say['partial'][1])} || level || {q(say['partial'][2])}", 3),
+        some("importance <> 'must' AND status = 'contested'", f"{q(say['contested'][0])} || name || {q(say['contested'][1])} || printf('%.2f', score::DOUBLE) || {q(say['contested'][2])}", 3),
+        once("jd_id % 2 = 0", say["degraded"]), once(f"jd_id % 3 <> 1 AND {count} > 0", say["no dates"]),
+        some("importance = 'preferred' AND status = 'missing'", f"{q(say['preferred'][0])} || name || {q(say['preferred'][1])}", 4),
+    ]
+    every = parts[-1]
+    for p in reversed(parts[:-1]):
+        every = f"list_concat({p}, {every})"
+    rows = f"SELECT *, 'part ' || l_partkey AS name, ['exposed', 'working', 'weak'][line % 3 + 1] AS level FROM ({_PLACED})"
+    return f"SELECT jd_id, len(s)::INT AS n, array_to_string(s, '|') AS suggestions FROM (SELECT jd_id, ({every})[1:{P.SUGGESTIONS}] AS s FROM ({rows}) GROUP BY jd_id)"
+
+
 def _alias_sql() -> str:
     rows = "('brass', 'Brass'), ('bras', 'Brass'), ('steel', 'Steel'), ('part', 'Steel'), ('copper', 'Copper'), ('small', 'Copper'), ('tin', 'Tin'), ('tins', 'Tin')"
     return f"""
@@ -333,13 +391,10 @@ WITH l AS (
 ), h AS (SELECT *, CASE WHEN is_bullet THEN NULL WHEN text = 'Work Experience:' THEN 'experience' WHEN text = '## Education' THEN 'education' WHEN text = 'Key Skills' THEN 'skills' END AS heading FROM l)
 SELECT doc_id, line_no, text, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section, is_bullet FROM h
 """,
-        "clause_context": _context_sql(),
-        "chunk_overlap": f"""
-WITH l AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_LINES})), c AS (
-  SELECT doc_id, n, unnest(range(0, 1 + greatest(0, ceil((n - 10) / 8.0))::BIGINT)) AS chunk_no FROM (SELECT DISTINCT doc_id, n FROM l))
-SELECT c.doc_id, c.chunk_no::INT AS chunk_no, min(line_no)::INT AS first_line, max(line_no)::INT AS last_line, md5(string_agg(line_no || ': ' || text, chr(10) ORDER BY line_no)) AS numbered_md5
-FROM c JOIN l ON l.doc_id = c.doc_id AND l.line_no BETWEEN c.chunk_no * 8 + 1 AND c.chunk_no * 8 + 10 GROUP BY c.doc_id, c.chunk_no
-""",
+        "clause_context": _context_sql(2),
+        "clause_context_3": _context_sql(3),
+        "chunk_overlap": _chunks_sql(P.CHUNK_LINES, P.CHUNK_OVERLAP),
+        "chunk_overlap_10": _chunks_sql(10, 2),
         "mask_email": r"SELECT doc_id, md5(regexp_replace(text, '[\p{L}\p{M}\p{Nd}_.+-]+@[\p{L}\p{M}\p{Nd}_-]+\.[\p{L}\p{M}\p{Nd}_.]+', '[email]', 'g')) AS masked_md5 FROM documents",
         "norm_keys": f"SELECT doc_id, md5({_KEY.format('text')}) AS key_md5 FROM documents",
         "content_tokens": f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split({_KEY.format(chr(40) + 'concat_ws(' + repr(' and the ') + ', p_name, p_type, p_brand)' + chr(41))}, ' '), lambda w: length(w) > 1 AND w NOT IN ({stop})))), ' ') AS tokens FROM part",
@@ -360,8 +415,8 @@ WITH p AS ({_PROFILE}), g AS (
   SELECT doc_id, lower(trim(name)) AS k, min(pos) AS skill_pos, arg_max(struct_pack(name := name, proficiency := proficiency, years := years), struct_pack(s := CASE proficiency WHEN 'unknown' THEN 0.0 WHEN 'exposed' THEN 0.7 ELSE 1.0 END, p := -pos)) AS r FROM p GROUP BY ALL)
 SELECT doc_id, skill_pos, r.name AS name, r.proficiency AS proficiency, r.years AS years FROM g
 """,
-        "interval_merge": _ISLANDS,
-        "employment_years": f"SELECT doc_id, round_even(least(sum(finish - start + 1) / 12.0::DOUBLE, 60.0), 1)::DOUBLE AS total_years FROM ({_ISLANDS}) GROUP BY doc_id",
+        "interval_merge": _islands(_RANGES),
+        "employment_years": f"SELECT doc_id, round_even(least(sum(finish - start + 1) / 12.0::DOUBLE, 60.0), 1)::DOUBLE AS total_years FROM ({_islands(_SPELLS)}) GROUP BY doc_id",
         "order_verdicts": f"""
 WITH o AS ({_OUTCOMES}), a AS (
   SELECT jd_id, round_even(least(100.0, greatest(0.0, (sum(score::DECIMAL(10,4) * weight::DECIMAL(6,2)) * 100 / nullif(sum(weight::DECIMAL(6,2)), 0))::DOUBLE)), 1)::DOUBLE AS overall_score,
@@ -369,7 +424,9 @@ WITH o AS ({_OUTCOMES}), a AS (
     bool_or(importance = 'must' AND status IN ('missing', 'contested')) AS blocked FROM o GROUP BY jd_id)
 SELECT jd_id, overall_score, coverage, blocked, {verdict(1)} AS verdict, {verdict(0)} AS ungated FROM a
 """,
-        "topk_strengths": f"SELECT jd_id, place, req_pos, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY weight DESC, score DESC, req_pos, l_partkey)::INT AS place FROM ({_OUTCOMES}) WHERE status = 'met') WHERE place <= 3",
+        "outcome_order": f"SELECT jd_id, row_number() OVER (PARTITION BY jd_id ORDER BY weight DESC, score DESC, req_pos)::INT AS place, req_pos, l_partkey FROM ({_PLACED})",
+        "topk_strengths": f"SELECT jd_id, place, req_pos, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY weight DESC, score DESC, req_pos)::INT AS place FROM ({_PLACED}) WHERE status = 'met') WHERE place <= {P.STRENGTHS}",
+        "order_suggestions": _suggestions_sql(),
         "years_scores": f"""
 SELECT p_partkey, round(CASE WHEN h IS NULL THEN {P.YEARS_UNSTATED} WHEN h / r >= 1 THEN 1.0 ELSE greatest(0.0, 1.0 - least({1 - P.YEARS_FLOOR}, (1.0 - h / r) * {P.YEARS_SLOPE})) END, 6)::DOUBLE AS years_score
 FROM (SELECT p_partkey, (p_partkey % 12 + 1)::DOUBLE AS r, CASE WHEN p_size % 7 > 0 THEN p_size::DOUBLE / 5 END AS h FROM part)
@@ -381,11 +438,6 @@ SELECT doc_id, (src * 100000000 + pos)::INT AS req_pos, name FROM (SELECT *, row
 """,
         "json_recover": "SELECT event_id, props IS NOT NULL AND event_id % 10 > 0 AS has_object, CASE WHEN event_id % 10 > 0 THEN length(regexp_replace(props, '\\s', '', 'g'))::INT END AS kept_chars FROM events",
         "quote_lines": f"""
-WITH l AS ({_TURNS}), q AS (SELECT doc_id, line_no AS quote_id, CASE WHEN doc_id % 3 > 0 THEN lower(trim(regexp_replace(substr(text, 5, 40), '\\s+', ' ', 'g'))) END AS quote, line_no + 2 AS hint FROM l WHERE line_no <= 2),
-r AS (SELECT q.doc_id, quote_id, l.line_no, CASE WHEN quote <> '' AND (contains(lower(text), quote) OR (length(quote) > 12 AND contains(lower(text), left(quote, 60)))) THEN 0 ELSE abs(l.line_no - hint) + 1 END AS rank FROM q JOIN l ON l.doc_id = q.doc_id)
-SELECT doc_id, quote_id, arg_min(line_no, struct_pack(r := rank, l := line_no)) AS line_no FROM r GROUP BY doc_id, quote_id
-""",
-        "quote_lines_all": f"""
 WITH l AS ({_TURNS}), q AS (SELECT doc_id, line_no AS quote_id, lower(trim(regexp_replace(substr(text, 5, 40), '\\s+', ' ', 'g'))) AS quote, line_no + 2 AS hint FROM l),
 r AS (SELECT q.doc_id, quote_id, l.line_no, CASE WHEN quote <> '' AND (contains(lower(text), quote) OR (length(quote) > 12 AND contains(lower(text), left(quote, 60)))) THEN 0 ELSE abs(l.line_no - hint) + 1 END AS rank FROM q JOIN l ON l.doc_id = q.doc_id)
 SELECT doc_id, quote_id, arg_min(line_no, struct_pack(r := rank, l := line_no)) AS line_no FROM r GROUP BY doc_id, quote_id
@@ -397,15 +449,6 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot)::INT AS ski
 """,
         "cascade_match": f"""
 WITH p AS ({_PROFILE}), k AS (SELECT *, {_KEY.format('name')} AS key, CASE proficiency WHEN 'unknown' THEN 0.0 WHEN 'exposed' THEN 0.7 ELSE 1.0 END AS points FROM p),
-n AS (SELECT doc_id, key, min(pos) AS req_pos, arg_max(name, struct_pack(m := (importance = 'must')::INT, p := CASE WHEN importance = 'must' THEN pos ELSE -pos END)) AS name FROM k WHERE pos <= 5 GROUP BY ALL),
-s AS (SELECT doc_id, key, arg_max(points, struct_pack(s := points, p := -pos)) AS points FROM k WHERE pos > 2 GROUP BY ALL),
-m AS (SELECT n.*, s.points, n.key IN ('1 urgent', '2 high', '3 medium') AS known FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.key = n.key),
-o AS (SELECT *, CASE WHEN points IS NULL THEN 0.0 ELSE round(least(1.0, least(1.0, CASE WHEN known THEN 1.0 ELSE {P.SYNONYM_EXACTNESS} END + 0.1) * points), 4) END AS score FROM m)
-SELECT o.doc_id AS jd_id, req_pos, name, CASE WHEN points IS NULL THEN 'missing' WHEN score >= {P.MET} THEN 'met' WHEN score >= {P.PARTIAL} THEN 'partial' ELSE 'contested' END AS status,
-  CASE WHEN points IS NULL THEN 'none' WHEN known THEN 'taxonomy' ELSE 'synonym' END AS method, score::DOUBLE AS score FROM o JOIN customer ON c_custkey = o.doc_id
-""",
-        "cascade_match_blocks": f"""
-WITH p AS ({_PROFILE}), k AS (SELECT *, {_KEY.format('name')} AS key, CASE proficiency WHEN 'unknown' THEN 0.0 WHEN 'exposed' THEN 0.7 ELSE 1.0 END AS points FROM p),
 n AS (SELECT doc_id, key, min(pos) AS req_pos, arg_max(name, struct_pack(m := (importance = 'must')::INT, p := CASE WHEN importance = 'must' THEN pos ELSE -pos END)) AS name FROM k GROUP BY ALL),
 s AS (SELECT doc_id, key, arg_max(points, struct_pack(s := points, p := -pos)) AS points FROM k GROUP BY ALL),
 b AS (SELECT x.c_custkey AS jd_id, y.c_custkey AS resume_id FROM customer x JOIN customer y ON x.c_custkey // 4 = y.c_custkey // 4 AND x.c_custkey <> y.c_custkey),
@@ -419,4 +462,4 @@ WITH s AS (SELECT doc_id % 10 AS fold, count(*) FILTER (quality = 1 AND toxic =
 p AS (SELECT fold, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS r FROM s)
 SELECT fold, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM p
 """,
-    }
+    } | case_queries.oracle_sql()

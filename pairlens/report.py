@@ -35,10 +35,14 @@ def to_dict(report: Row) -> dict[str, Any]:
     return json.loads(json.dumps(report.asDict(recursive=True), default=str))
 
 
+def heading(report: Row, between: str) -> str:
+    return (report.title or "Untitled role") + (between + report.company if report.company else "")
+
+
 def render_text(report: Row, top: int = 40) -> str:
     """One report as plain text with its first ``top`` requirements."""
-    rows = [f"MATCH REPORT - {report.title or 'Untitled role'}", "=" * WIDTH]
-    rows += [f"overall {report.overall_score:5.1f}/100   verdict: {VERDICTS[report.verdict]}", f"must-have coverage {report.must_have_coverage:.0%} ({report.n_musts} required items)   requirements assessed: {report.n_requirements}"]
+    rows = [f"MATCH REPORT - {heading(report, ' at ')}", "=" * WIDTH]
+    rows += [f"overall {report.overall_score:5.1f}/100   verdict: {VERDICTS[report.verdict]}", f"must-have coverage {report.must_have_coverage:.0%} ({report.n_musts} required items)   requirements assessed: {report.n_requirements}", f"extraction: jd={report.jd_extractor} resume={report.resume_extractor}"]
     rows += ["", "REQUIREMENT BREAKDOWN", RULE]
     for o in report.outcomes[:top]:
         source = f" [resume L{o.resume_evidence.line}]" if o.resume_evidence else ""
@@ -58,7 +62,7 @@ def render_text(report: Row, top: int = 40) -> str:
 def render_console(report: Row, top: int = 30) -> str:
     """One report as an aligned table without colours."""
     level = f" ({report.seniority} level)" if report.seniority and report.seniority != "unknown" else ""
-    rows = [f"{report.title or 'Untitled role'}{level}", f"{report.overall_score:.1f}/100   {VERDICTS[report.verdict]}   must-have coverage {report.must_have_coverage:.0%}   requirements assessed: {report.n_requirements}", ""]
+    rows = [f"{heading(report, ' - ')}{level}", f"{report.overall_score:.1f}/100   {VERDICTS[report.verdict]}   must-have coverage {report.must_have_coverage:.0%}   requirements assessed: {report.n_requirements}", ""]
     rows.append(f"{'':9}{'req':6}{'requirement':42}{'score':>6}  {'via':11}{'resume':>7}")
     for o in report.outcomes[:top]:
         rows.append(f"{MARKS[o.status]:9}{TAGS[o.importance]:6}{o.name[:41]:42}{o.score:6.2f}  {o.method:11}{f'L{o.resume_evidence.line}' if o.resume_evidence else '-':>7}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pairlens.dims import DEFAULT, SkillDictionary
 from pairlens.functions import patterns as P
 from pairlens.operators.match import MatchConfig
-from pairlens.plans.analyze import analyze
+from pairlens.plans.analyze import analyze, every_pair
 from pairlens.sources.documents import decoded, doc_type
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -33,6 +33,6 @@ def match_stream(postings: DataFrame, resumes: DataFrame, as_of: tuple[int, int]
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
-            sink(analyze(postings, rows, as_of, dictionary=dictionary, config=config).reports, number)
+            sink(analyze(postings, rows, as_of, pairs=every_pair(postings, rows), dictionary=dictionary, config=config).reports, number)
 
     return resumes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from pairlens.dims import DEFAULT, SkillDictionary
 from pairlens.operators.match import MatchConfig
-from pairlens.plans.analyze import analyze
+from pairlens.plans.analyze import analyze, every_pair
 from pairlens.report import render_text, to_dict
 from pairlens.sources.documents import MOST_REQUEST_BYTES, read_requests
 
@@ -40,7 +40,8 @@ def answer(spark: SparkSession, body: str, as_of: tuple[int, int], dictionary: S
     if request is None:
         return 400, {"error": bad.first().error}
     one = lambda text: spark.createDataFrame([("text", text)], "doc_id string, raw_text string")
-    report = analyze(one(request.jd), one(request.resume), as_of, dictionary=dictionary, config=MatchConfig(use_embeddings=False)).reports.first()
+    posting, resume = one(request.jd), one(request.resume)
+    report = analyze(posting, resume, as_of, pairs=every_pair(posting, resume), dictionary=dictionary, config=MatchConfig(use_embeddings=False)).reports.first()
     return 200, {"report": to_dict(report), "text": render_text(report, request.top)}
 
 

@@ -16,6 +16,8 @@ def test_lines_are_numbered_cleaned_and_capped(spark):
     assert [len(r.text) for r in rows if r.doc_id == 4] == [2000]
     assert [r.is_bullet for r in rows if r.doc_id == 5] == [True, True, True, False, False]
     assert L.split_lines(docs(spark, "\n".join("ab" for _ in range(4100)))).count() == 4000
+    assert L.read_lines(docs(spark, "\n".join("ab" for _ in range(4100))), most_lines=None).count() == 4100
+    assert L.split_lines(docs(spark, "x" * 5000), most_chars=None).first().text == "x" * 5000
 
 
 def test_sections_run_on(spark):

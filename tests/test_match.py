@@ -11,7 +11,7 @@ from pairlens.dims import DEFAULT
 from pairlens.operators import extract, match, model_output
 from pairlens.operators.lines import read_lines
 from pairlens.operators.match import MatchConfig
-from pairlens.plans.analyze import analyze
+from pairlens.plans.analyze import analyze, every_pair
 from pairlens.plans.evaluate import evaluate, summarize
 from pairlens.report import as_json, render, to_dict
 from pairlens.sources.documents import read_cases, read_files, read_requests, read_texts
@@ -21,7 +21,7 @@ AS_OF = (2026, 11)
 
 def run(spark, posting, resume, **options):
     one = lambda t: spark.createDataFrame([("d", t)], "doc_id string, raw_text string")
-    return analyze(one(posting), one(resume), AS_OF, **options)
+    return analyze(one(posting), one(resume), AS_OF, pairs=every_pair(one(posting), one(resume)), **options)
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,37 @@ def test_model_output_is_repaired(spark):
     assert bad.count() == 0 and facts.first().degraded
 
 
+def test_backends(spark):
+    posting, resume = "Lead Engineer\n- K8s administration required\n- Python is a plus", "SKILLS\nPython, SQL"
+    said = {
+        "requirements": '{"title": "Head", "company": "Acme", "requirements": [{"name": "Beekeeping", "category": "skill", "importance": "must", "evidence": {"text": "K8s administration", "line": 2}}]}',
+        "skills": '{"skills": [{"name": "beekeeping", "category": "certification", "proficiency": "expert", "evidence": {"text": "Python, SQL", "line": 2}}]}',
+    }
+    asked = []
+
+    def generate(chunks, broken=False):
+        row = chunks.first()
+        asked.append((row.system, row.prompt, json.loads(row.schema)))
+        side = "requirements" if "requirements" in row.schema else "skills"
+        return chunks.select("doc_id", "chunk_no", F.lit('{"x": ' if broken else said[side]).alias("raw"))
+
+    report = run(spark, posting, resume, generate=generate).reports.first()
+    assert (report.title, report.company, report.jd_extractor, report.resume_extractor, report.degraded) == ("Head", "Acme", "model", "model", False)
+    assert {o.name: o.status for o in report.outcomes}["Beekeeping"] == "met" and report.certifications == ["beekeeping"]
+    assert not any("degraded" in s for s in report.suggestions) and "at Acme" in render(report, "text") and "jd=model resume=model" in render(report, "text")
+    assert len(asked) == 2 and all("2: " in prompt and schema["type"] == "object" for _, prompt, schema in asked)
+    for options in ({}, {"backend": "rules", "generate": generate}, {"backend": "llm", "generate": lambda c: generate(c, True)}):
+        report = run(spark, posting, resume, **options).reports.first()
+        assert (report.title, report.company, report.jd_extractor, report.resume_extractor, report.degraded) == ("Lead Engineer", None, "rules", "rules", True)
+        assert any("degraded" in s for s in report.suggestions) and {o.name for o in report.outcomes} == {"Kubernetes", "Python"}
+
+
+def test_partial_credit_counts_in_the_coverage(spark):
+    posting, resume = "Analyst\nRequirements:\n- 8+ years of SQL required", "SKILLS\nOne year of SQL"
+    coverage = lambda credit: run(spark, posting, resume, config=MatchConfig(partial_credit=credit)).reports.first().must_have_coverage
+    assert [coverage(x) for x in (0.0, 0.5, 1.0)] == [0.0, 0.5, 1.0]
+
+
 @pytest.mark.parametrize(("name", "reduced"), [("K8s administration", "Kubernetes"), ("Advanced SQL", "SQL"), ("4+ years building dashboards in Power BI", "Power BI"), ("CI/CD pipelines", "CI/CD"), ("Stakeholder management", "Communication"), ("Beekeeping", "Beekeeping")])
 def test_names_reduce(spark, name, reduced):
     rows = spark.createDataFrame([(1, name)], "k int, name string")
