@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pyarrow
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,15 @@ def worker_cache(key: str, make: Callable[[], Any]) -> Any:
     return holder.__dict__[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on, idle, when its task ends."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def fresh(columns: Iterable[str], base: str) -> str:
     """A column name like ``base`` that clashes with none of ``columns`` (case-insensitively)."""
     taken, name = {c.lower() for c in columns}, base

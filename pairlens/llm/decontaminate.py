@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import bounded_batches, by_value, durable, fresh, quoted, text_bytes, worker_cache
+from pairlens.llm.common import bounded_batches, by_value, durable, fresh, give_back, quoted, text_bytes, worker_cache
 
 by_value(__name__)
 
 #: Bytes of item text that are broadcast at most, and items that one row carries to its document beyond that, about.
 MOST_SENT, PART = 16_000_000, 64
 #: Word hashes kept in a worker; beyond that it starts anew. Affects time only.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Bytes of words: 0-9, a-z, A-Z (lower-cased) and all beyond ASCII; others separate.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -184,6 +184,8 @@ def _looked_up(docs: DataFrame, items: DataFrame, output: str, text: str, window
                 words = words_of(text)
                 rows.append(_hit(len(words), *index.hits(words)))
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+        index.known.clear()  # the index itself serves the worker's next task
+        give_back()
 
     return docs.withColumn(output, run(text_bytes(F.col(text))))
 
@@ -214,6 +216,8 @@ def _joined(docs: DataFrame, items: DataFrame, output: str, text: str, window: i
                 every = [(0, grams[winnow(grams, window - gram + 1)])] + [(n, gram_hashes(hashes, n)) for n in lengths]
                 for short, own in every:
                     yield pd.DataFrame({"short": short, "print": np.unique(own).view(np.int64), "row": number})
+        del known
+        give_back()
 
     texts = base.select(quoted(row).alias("row"), text_bytes(F.col(text)).alias("raw"))
     met = texts.mapInPandas(of_docs, "short int, print long, row long").join(prints, ["short", "print"]).select("row", "item").distinct()
@@ -229,6 +233,7 @@ def _joined(docs: DataFrame, items: DataFrame, output: str, text: str, window: i
                 spans, names = ItemIndex([(list(x["names"]), bytes(x["t"])) for x in own], window, gram).hits(words_of(raw))
                 rows.append((number, [{"start": a, "stop": b} for a, b in joined(spans)], sorted(names)))
             yield pd.DataFrame(rows, columns=["row", "spans", "items"])
+        give_back()
 
     kinds = {f.name: f.dataType for f in HITS}
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("spans", kinds["spans"]), T.StructField("items", kinds["items"])])
