@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import bounded_batches, by_value, durable, text_bytes
+from pairlens.llm.common import bounded_batches, by_value, durable, give_back, text_bytes
 
 by_value(__name__)
 
@@ -55,9 +55,9 @@ DEPTH, WORD_RATE, WORD_PULL, LEAST_CONTEXT = 10, 0.75, 4.0, 32
 #: Training tokens for each word weight, and the bits of the least and largest table (what tasks and driver hold).
 TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 8, 12, 21
 #: Numbers in a gradient block, training tokens of a task for each number it sends, blocks summed at once, tasks of a small table.
-BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 2, 64, 6
+BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 4, 64, 6
 #: Tokens whose contexts a task holds before it counts them, and bytes of contexts of a task.
-CONTEXTS_HELD, CONTEXT_BYTES = 2_000_000, 8_000_000
+CONTEXTS_HELD, CONTEXT_BYTES = 1_000_000, 8_000_000
 #: Distinct tokens that a counting task holds before it passes them on.
 WORDS_KEPT = 600_000
 CHUNK = 4096
@@ -171,6 +171,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
                     held = none, none, none
         yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
+        held = none, none, none
+        give_back()
 
     return docs.mapInPandas(run, "token long, ending int, c long").groupBy("token").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
@@ -484,8 +486,11 @@ def first_round(docs: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray,
             yield contexts()
         if any_rows:
             yield from parts_of([sums, word_sums, bend])
+        del model, hasher, tables, sums, word_sums, bend
+        give_back()
 
     rows = durable(docs.coalesce(tasks).mapInPandas(run, PARTS), "first-round")
+    sent.unpersist()
     sums, word_sums, bend = summed(rows.where("block >= 0"), tasks, [ROWS * CLASSES, width, width])
     return sums.reshape(ROWS, CLASSES), word_sums, bend, rows.where("block < 0").select("data")
 
@@ -502,8 +507,11 @@ def class_round(contexts: DataFrame, model: Model, tasks: int) -> np.ndarray:
                 expected(sent.value, numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :], sums)
         if any_rows:
             yield from parts_of([sums])
+        give_back()
 
-    return summed(contexts.coalesce(tasks).mapInPandas(run, PARTS), tasks, [ROWS * CLASSES])[0].reshape(ROWS, CLASSES)
+    out = summed(contexts.coalesce(tasks).mapInPandas(run, PARTS), tasks, [ROWS * CLASSES])[0].reshape(ROWS, CLASSES)
+    sent.unpersist()
+    return out
 
 
 def word_round(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
@@ -521,8 +529,12 @@ def word_round(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
                 word_gradient(model, hashes, classes, words_before(hashes, counts, lengths), sums, None)
         if any_rows:
             yield from parts_of([sums])
+        del model, hasher, tables, sums
+        give_back()
 
-    return summed(docs.coalesce(tasks).mapInPandas(run, PARTS), tasks, [width])[0]
+    out = summed(docs.coalesce(tasks).mapInPandas(run, PARTS), tasks, [width])[0]
+    sent.unpersist()
+    return out
 
 
 def fit(docs: DataFrame, learn: Column, *, text: str = "text") -> tuple[Model, DataFrame]:
@@ -597,6 +609,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_column: str =
                 }
             )
             done += len(batch)
+        del model, hasher, tables, leaves
+        give_back()
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_bytes(F.col(text)).alias("raw"))
