@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import bounded_batches, by_value, durable, fresh, join_totals, text_bytes
+from pairlens.llm.common import bounded_batches, by_value, durable, fresh, give_back, join_totals, text_bytes
 from pairlens.llm.components import components
 
 by_value(__name__)
@@ -105,6 +105,8 @@ def signed(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 signs.append(signature(shingles).tobytes() if len(shingles) else b"")
             yield pd.DataFrame({"id": batch["id"], "text_hash": batch["text_hash"], "set_hash": sets, "n": sizes, "signature": signs})
+        del known
+        give_back()
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).cast("string").alias("id"), F.xxhash64(text_bytes(F.col(text))).alias("text_hash"), text_bytes(F.col(text)).alias("raw"))
@@ -190,6 +192,8 @@ def candidate_links(lists: DataFrame, least: int, share: float) -> DataFrame:
         if held is not None:
             take(held, np.array([0, len(held)]))
         yield sets.links()
+        del held, sets
+        give_back()
 
     return lists.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
@@ -329,6 +333,8 @@ def links_in_blocks(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 (left if is_left else right).append((node, component, shingle_set(raw, width, known)))
         settle(sets, left or right, right, percent)
         yield sets.links()
+        del known, sets, left, right
+        give_back()
 
     return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(run, "a long, b long")
 
