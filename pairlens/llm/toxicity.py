@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import bounded_batches, by_value, durable, text_bytes
+from pairlens.llm.common import bounded_batches, by_value, durable, give_back, text_bytes
 
 by_value(__name__)
 
@@ -180,6 +180,8 @@ def bin_counts(sample: DataFrame) -> np.ndarray:
                 sums[2 * fold + int(toxic > 0), at] += times
         at = np.flatnonzero(sums.sum(0))
         yield pd.DataFrame({"bin": at} | {c: sums[k, at] for k, c in enumerate(columns)})
+        del bins, sums
+        give_back()
 
     columns = [f"n{k}" for k in range(2 * FOLDS)]
     rows = sample.select("text", "toxic", "fold").mapInPandas(run, ", ".join(f"{c} long" for c in ["bin", *columns]))
@@ -224,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_column: str = "
                     scores = known[fold].of(text)
                     rows.append((int(toxic > 0), *fact(np.array([w for _, _, w in maximal_segments(scores)]), len(scores))))
                 yield pd.DataFrame(rows, columns=["toxic", *names])
+            del known
+            give_back()
 
         return sample.select("text", "toxic", "fold").mapInPandas(run, "toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas()
 
@@ -268,5 +272,7 @@ def assess(docs: DataFrame, model: Model, text: str = "text") -> Column:
                 passages = [{"start": a, "stop": b, "weight": w, "chance": c} for (a, b, w), c in zip(found, model.chances(weights, len(scores)).tolist()) if c <= CHANCE] if found else []
                 rows.append((model.score(model.evidence(weights, len(scores))), passages))
             yield pd.DataFrame(rows, columns=["score", "passages"])
+        del known
+        give_back()
 
     return run(text_bytes(F.col(text)))
