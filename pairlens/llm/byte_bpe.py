@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import by_value, text_bytes, worker_cache
+from pairlens.llm.common import by_value, give_back, text_bytes, worker_cache
 
 by_value(__name__)
 
@@ -232,6 +232,7 @@ def encode_and_decode(text: Column, vocabulary_path: str, pattern: str) -> Colum
         for batch in batches:
             ids = words.encode_batch(batch)
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(x, words) for x in ids], dtype=object)})
+        give_back()
 
     return run(text_bytes(text))
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import by_value, durable, text_bytes
+from pairlens.llm.common import by_value, durable, give_back, text_bytes
 
 by_value(__name__)
 
@@ -194,6 +194,8 @@ def write_archives(pages: DataFrame, *, date: str = DATE, **options) -> DataFram
                     held, size = [], 0
         if held:
             yield close()
+        del held
+        give_back()
 
     rows = with_first_copies(pages, **options)
     # ids go as text: pandas would turn a nullable long into a float
@@ -217,6 +219,7 @@ def read_archives(archives: DataFrame, *, data: str = "data", payload: bool = Tr
                         yield framed(rows)
                         rows, size = [], 0
                 yield framed(rows)
+        give_back()
 
     def framed(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame({x: pd.Series([r[x] for r in rows], dtype=object) for x in fields})
