@@ -55,8 +55,9 @@ def norm_key(text: Column) -> Column:
     plain = text
     for sign, letters in LIGATURES.items():
         plain = F.replace(plain, F.lit(sign), F.lit(letters))
-    plain = F.translate(plain, *decompositions())
-    plain = F.lower(removed(plain, r"\p{M}+"))
+    plain = removed(F.translate(plain, *decompositions()), r"\p{M}+")
+    # plain ASCII, the usual case, has nothing to decompose
+    plain = F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text))
     plain = removed(removed(plain, r"\s+([#+])", "$1"), r"[^\w+#.]+", " ")
     return F.trim(removed(removed(plain, r"\s+", " "), r" ([#+])", "$1"))
 
