@@ -59,7 +59,7 @@ BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 4, 64, 6
 #: Tokens whose contexts a task holds before it counts them, and bytes of contexts of a task.
 CONTEXTS_HELD, CONTEXT_BYTES = 1_000_000, 8_000_000
 #: Distinct tokens that a counting task holds before it passes them on.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 250_000
 CHUNK = 4096
 #: The end token's place among the hashes.
 END_HASH = np.int64(0x5DEECE66D1234567)
@@ -404,12 +404,12 @@ def word_gradient(model: Model, hashes: np.ndarray, classes: np.ndarray, before:
         else:
             side, nodes, places = model.decisions(*own)
             right = np.take(shares, nodes)
-            wrong, curve = (side > 0) - right, right * (1 - right)
+            wrong, curve = ((side > 0) - right).astype(np.float32), (right * (1 - right)).astype(np.float32)
         for k in range(2):
             usual = before[1][at, k]
-            np.add.at(sums, places[k][usual].ravel(), wrong[usual].ravel().astype(np.float64))
+            np.add.at(sums, places[k][usual].ravel(), wrong[usual].ravel())
             if bend is not None:
-                np.add.at(bend, places[k][usual].ravel(), curve[usual].ravel().astype(np.float64))
+                np.add.at(bend, places[k][usual].ravel(), curve[usual].ravel())
 
 
 def step(model: Model, sums: np.ndarray, seen: np.ndarray) -> None:
@@ -462,7 +462,7 @@ def first_round(docs: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, hasher = sent.value, Hasher()
         tables = model.tables()
-        sums, word_sums, bend = np.zeros((ROWS, CLASSES)), np.zeros(width), np.zeros(width)
+        sums, word_sums, bend = np.zeros((ROWS, CLASSES)), np.zeros(width, np.float32), np.zeros(width, np.float32)
         held, size, any_rows = [], 0, False
 
         def contexts() -> pd.DataFrame:
@@ -519,7 +519,7 @@ def word_round(docs: DataFrame, model: Model, tasks: int) -> np.ndarray:
     sent, width = docs.sparkSession.sparkContext.broadcast(model), len(model.word_weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, hasher, sums, any_rows = sent.value, Hasher(), np.zeros(width), False
+        model, hasher, sums, any_rows = sent.value, Hasher(), np.zeros(width, np.float32), False
         tables = model.tables()
         for batch in batches:
             any_rows = True
