@@ -65,7 +65,7 @@ def remainder(column: Column, modulus: int) -> Column:
 
 
 #: Bytes of a batch that goes to a Python worker, so that very long texts do not pile up there.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -58,8 +58,8 @@ TOKENS_A_WEIGHT, LEAST_BITS, MOST_BITS = 8, 12, 21
 BLOCK, TOKENS_A_NUMBER, FAN_IN, LEAST_TASKS = 16_384, 4, 64, 6
 #: Tokens whose contexts a task holds before it counts them, and bytes of contexts of a task.
 CONTEXTS_HELD, CONTEXT_BYTES = 1_000_000, 8_000_000
-#: Distinct tokens that a counting task holds before it passes them on.
-WORDS_KEPT = 250_000
+#: Distinct tokens that a counting task holds before it passes them on, and rows that it sends at once.
+WORDS_KEPT, ROWS_SENT = 400_000, 30_000
 CHUNK = 4096
 #: The end token's place among the hashes.
 END_HASH = np.int64(0x5DEECE66D1234567)
@@ -159,6 +159,10 @@ def counted(hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> tupl
 def token_counts(docs: DataFrame) -> DataFrame:
     """token (hash), ending, c over all texts in ``raw``; tasks count before the shuffle."""
 
+    def told(held: tuple[np.ndarray, ...]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(held[0]), ROWS_SENT):
+            yield pd.DataFrame({name: x[at : at + ROWS_SENT] for name, x in zip(("token", "ending", "c"), held)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, none = Hasher(), np.empty(0, np.int64)
         held = none, none, none
@@ -168,9 +172,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 new = counted(hashes, endings, np.ones(len(hashes), np.int64))
                 held = counted(*(np.concatenate(x) for x in zip(held, new)))
                 if len(held[0]) > WORDS_KEPT:
-                    yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
+                    yield from told(held)
                     held = none, none, none
-        yield pd.DataFrame(dict(zip(("token", "ending", "c"), held)))
+        yield from told(held)
         held = none, none, none
         give_back()
 
