@@ -17,7 +17,7 @@ from pairlens.dims import SkillDictionary
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 from pairlens.operators.extract import first_by
-from pairlens.plans.stages import staged
+from pairlens.plans.stages import dealt, staged
 
 PAIR = ["jd_id", "resume_id"]
 
@@ -47,7 +47,7 @@ def index_skills(skills: DataFrame, dictionary: SkillDictionary) -> DataFrame:
     held = dictionary.with_canonical(skills, F.col("name"))
     rank = F.struct(X.proficiency_score(F.col("proficiency")).alias("s"), (-F.col("skill_pos")).alias("p"))
     best = held.where(F.col("canonical").isNotNull()).groupBy("doc_id", "canonical").agg(F.max_by("skill_pos", rank).alias("_best"), F.min("skill_pos").alias("_first"))
-    out = held.join(best, ["doc_id", "canonical"], "left")
+    out = held.join(dealt(best), ["doc_id", "canonical"], "left")
     return out.withColumn("_indexed", F.coalesce(F.col("skill_pos") == F.col("_best"), F.lit(False))).drop("_best")
 
 
@@ -91,31 +91,31 @@ def match(pairs: DataFrame, requirements: DataFrame, skills: DataFrame, profiles
     needs = dictionary.with_canonical(requirements.withColumnRenamed("doc_id", "jd_id"), F.col("name"), "req_canonical").withColumn("req_key", X.norm_key(F.col("name")))
     needs = staged(needs, "needs")
     indexed = staged(index_skills(skills, dictionary).withColumnRenamed("doc_id", "resume_id"), "indexed")
-    asked = pairs.select(*PAIR).join(needs, "jd_id")
+    asked = pairs.select(*PAIR).join(dealt(needs), "jd_id")
     held = indexed.where("_indexed").select("resume_id", F.col("canonical").alias("req_canonical"), "skill_pos")
     candidate = lambda df, tier, method, similarity=None: df.select(*PAIR, "req_pos", F.lit(tier).alias("tier") if isinstance(tier, int) else tier, "ord", "skill_pos", F.lit(method).alias("method"), F.lit(similarity).cast("double").alias("similarity"))
 
-    by_name = asked.join(held, ["resume_id", "req_canonical"]).withColumn("ord", F.lit(0))
+    by_name = asked.join(dealt(held), ["resume_id", "req_canonical"]).withColumn("ord", F.lit(0))
     surfaces = surface_index(indexed.withColumnRenamed("resume_id", "doc_id"), dictionary).select(F.col("doc_id").alias("resume_id"), F.col("surface_key").alias("req_key"), "skill_pos")
-    by_surface = asked.join(surfaces, ["resume_id", "req_key"]).withColumn("ord", F.lit(0))
+    by_surface = asked.join(dealt(surfaces), ["resume_id", "req_key"]).withColumn("ord", F.lit(0))
     level = X.degree_level(F.col("name"))
-    degree = asked.where("category = 'education'").join(profiles.select(F.col("doc_id").alias("resume_id"), "highest_education"), "resume_id")
+    degree = asked.where("category = 'education'").join(dealt(profiles.select(F.col("doc_id").alias("resume_id"), "highest_education")), "resume_id")
     by_degree = degree.where((level > 0) & (X.degree_level(F.col("highest_education")) >= level)).withColumn("ord", F.lit(0)).withColumn("skill_pos", F.lit(-1))
-    inside = pairs.select(*PAIR).join(sub_phrases(needs, dictionary).withColumnRenamed("canonical", "req_canonical"), "jd_id").join(held, ["resume_id", "req_canonical"])
+    inside = pairs.select(*PAIR).join(dealt(sub_phrases(needs, dictionary).withColumnRenamed("canonical", "req_canonical")), "jd_id").join(dealt(held), ["resume_id", "req_canonical"])
     tools = F.broadcast(bridges(dictionary, requirements))  # a fixed, small table
     practices = needs.select("jd_id", "req_pos", "req_canonical", "req_key").join(tools, (F.col("req_canonical") == F.col("practice_canonical")) | (F.col("req_key") == F.col("practice_key")))
-    through = pairs.select(*PAIR).join(practices.select("jd_id", "req_pos", F.col("tool").alias("req_canonical"), "ord"), "jd_id").join(held, ["resume_id", "req_canonical"])
+    through = pairs.select(*PAIR).join(dealt(practices.select("jd_id", "req_pos", F.col("tool").alias("req_canonical"), "ord")), "jd_id").join(dealt(held), ["resume_id", "req_canonical"])
 
     every = candidate(by_name, 1, "taxonomy").unionByName(candidate(by_surface, 2, "synonym")).unionByName(candidate(by_degree, 3, "taxonomy"))
     every = every.unionByName(candidate(inside, F.col("tier"), "taxonomy")).unionByName(candidate(through, 6, "embedding", P.BRIDGE_CREDIT))
     best = first_by(every, [*PAIR, "req_pos"], "tier", "ord", "skill_pos").select(*PAIR, "req_pos", "skill_pos", "method", "similarity")
     best = staged(best, "candidates")
     if config.use_embeddings and config.encode is not None:
-        open_ = asked.where(F.col("req_canonical").isNull()).join(best, [*PAIR, "req_pos"], "left_anti")
+        open_ = asked.where(F.col("req_canonical").isNull()).join(dealt(best), [*PAIR, "req_pos"], "left_anti")
         best = best.unionByName(nearest(open_, indexed, config.encode))
 
     theirs = indexed.select("resume_id", "skill_pos", F.col("name").alias("matched_as"), F.col("proficiency").alias("matched_proficiency"), F.col("years").alias("_years"), F.col("evidence").alias("resume_evidence"))
-    out = asked.join(best, [*PAIR, "req_pos"], "left").join(theirs, ["resume_id", "skill_pos"], "left").join(profiles.withColumnRenamed("doc_id", "resume_id"), "resume_id", "left")
+    out = asked.join(dealt(best), [*PAIR, "req_pos"], "left").join(dealt(theirs), ["resume_id", "skill_pos"], "left").join(dealt(profiles.withColumnRenamed("doc_id", "resume_id")), "resume_id", "left")
     return corroborate(scored(by_education(out), config), skills, dictionary)
 
 
@@ -195,8 +195,8 @@ def corroborate(outcomes: DataFrame, skills: DataFrame, dictionary: SkillDiction
     asked = wanted.join(dictionary.small(forms, dictionary.size()), "_key", "left").select("resume_id", "_key", F.explode(F.filter(every, lambda f: F.length(f) >= 3)).alias("_form"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("skill_pos", F.lower("evidence.text").alias("t")))), lambda r: r["t"])
     texts = skills.where(F.col("evidence").isNotNull()).groupBy(F.col("doc_id").alias("resume_id")).agg(F.concat(F.lit(" "), X.norm_key(F.array_join(ordered, " ")), F.lit(" ")).alias("_text"))
-    seen = asked.join(texts, "resume_id").where(F.col("_text").contains(F.concat(F.lit(" "), "_form", F.lit(" ")))).select("resume_id", "_key").distinct()
-    held = held.join(seen.withColumn("_seen", F.lit(True)), ["resume_id", "_key"], "left")
+    seen = asked.join(dealt(texts), "resume_id").where(F.col("_text").contains(F.concat(F.lit(" "), "_form", F.lit(" ")))).select("resume_id", "_key").distinct()
+    held = held.join(dealt(seen.withColumn("_seen", F.lit(True))), ["resume_id", "_key"], "left")
     rises = F.coalesce(gap & F.col("_seen"), F.lit(False))
     return held.withColumns({
         "status": F.when(rises, "partial").otherwise(F.col("status")), "score": F.when(rises, F.greatest(F.col("score"), F.lit(P.CORROBORATED))).otherwise(F.col("score")),
@@ -217,6 +217,6 @@ def nearest(open_: DataFrame, indexed: DataFrame, encode: Callable[[Column], Col
     """
     wanted = open_.select(*PAIR, "req_pos", encode(described(F.col("name"), F.col("evidence"))).alias("_mine"))
     pool = indexed.where((F.col("name") != "") & ~F.col("name").startswith("[")).select("resume_id", "skill_pos", encode(described(F.col("name"), F.col("evidence"))).alias("_theirs"))
-    both = wanted.join(pool, "resume_id").withColumn("_cosine", X.cosine(F.col("_mine"), F.col("_theirs")))
+    both = wanted.join(dealt(pool), "resume_id").withColumn("_cosine", X.cosine(F.col("_mine"), F.col("_theirs")))
     best = first_by(both, [*PAIR, "req_pos"], F.desc("_cosine"), "skill_pos").where(F.col("_cosine") >= P.NEAREST_LEAST)
     return best.select(*PAIR, "req_pos", "skill_pos", F.lit("embedding").alias("method"), F.round("_cosine", 4).alias("similarity"))

@@ -7,6 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: both sides are shuffled and sorted, none is broadcast.
+
+    Spark guesses sizes from compressed files or shuffles; what it takes for small can fill the driver.
+    """
+    return df.hint("merge")
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below spark.checkpoint.dir, which all executors share, and read it back.
 

@@ -19,6 +19,7 @@ from pairlens.functions import text as X
 from pairlens.operators import extract, lines, match, model_output, score
 from pairlens.plans.analyze import analyze
 from pairlens.plans.evaluate import prf
+from pairlens.plans.stages import dealt
 from pairlens.sources.documents import doc_type
 
 #: Words that occur in the test documents, as a dictionary with aliases, a shared form and a two-word form.
@@ -237,7 +238,7 @@ def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     one = customers.select(F.col("c_custkey").alias("jd_id"), F.floor(F.col("c_custkey") / 4).alias("block"))
     other = customers.select(F.col("c_custkey").alias("resume_id"), F.floor(F.col("c_custkey") / 4).alias("block"))
-    pairs = one.join(other, "block").where("jd_id <> resume_id").select("jd_id", "resume_id")
+    pairs = one.join(dealt(other), "block").where("jd_id <> resume_id").select("jd_id", "resume_id")
     profiles = customers.select(F.col("c_custkey").alias("doc_id"), F.lit(None).cast("double").alias("total_years"), F.lit(None).cast("string").alias("highest_education"), F.lit(None).cast("struct<text:string,line:int,section:string>").alias("education_evidence"))
     names = SkillDictionary({"1 Urgent": [], "2 High": ["high"], "3 Medium": ["medium"]})
     out = match.match(pairs, extract.distinct_requirements(needs), extract.distinct_skills(skills), profiles, names)

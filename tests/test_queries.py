@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import os
 from collections import Counter
 from decimal import Decimal
@@ -8,7 +9,10 @@ import duckdb
 import pytest
 
 from pairlens import case_queries, queries
-from pairlens.operators import lines
+from pairlens.operators import lines, match
+from pairlens.plans import analyze as analyze_module
+from pairlens.plans import evaluate as evaluate_module
+from pairlens.plans import stages
 from pairlens.plans.analyze import analyze, every_pair
 
 SF = os.environ.get("PAIRLENS_TESTDATA", "/root/testdata/sf0.001")
@@ -66,3 +70,36 @@ def test_analysis_of_one_posting_and_two_resumes(spark):
     out = analyze(postings, resumes, (2026, 11), pairs=every_pair(postings, resumes)).reports
     got = {r.resume_id: r for r in out.collect()}
     assert set(got) == {"a", "b"} and got["a"].overall_score > got["b"].overall_score
+
+
+def broadcast_files(plan):
+    """The broadcasts of a plan, printed as a tree, that hold rows read from files."""
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.split("\n")]
+    found = []
+    for k, (deep, x) in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = list(itertools.takewhile(lambda y: y[0] > deep, lines[k + 1 :]))
+            found += [x] if any("FileScan" in y for _, y in below) else []
+    return found
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans that are written on the way, as they stand before they run."""
+    held, write = [], stages.staged
+
+    def noted(df, label):
+        held.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    for module in (analyze_module, evaluate_module, match):
+        monkeypatch.setattr(module, "staged", noted)
+    return held
+
+
+@pytest.mark.parametrize("name", ["cascade_match"])
+def test_nothing_that_grows_with_the_tables_is_broadcast(spark, plans, name):
+    out = queries.queries()[name](spark, SF)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [x for p in plans for x in broadcast_files(p)]
+    assert all("SortMergeJoin" in p for p in plans[-1:])
