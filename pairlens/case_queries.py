@@ -16,6 +16,7 @@ from pairlens.functions import text as X
 from pairlens.operators import extract, lines, match, model_output
 from pairlens.plans.analyze import analyze
 from pairlens.plans.evaluate import evaluate, summarize
+from pairlens.plans.stages import dealt
 from pairlens.sources.documents import read_requests, read_texts
 
 AS_OF = (2026, 11)
@@ -199,7 +200,7 @@ def match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         skill(4, "Jenkins", level("working"), unsaid, none), skill(5, "Loom work", level("expert"), unsaid, none),
     )))
     profiles = keys.select("doc_id", (own % 7).cast("double").alias("total_years"), pick(DEGREES, own).alias("highest_education"), none.alias("education_evidence"))
-    pairs = keys.select(own.alias("jd_id"), F.explode(F.array(own, own + 1)).alias("resume_id")).join(keys.select(own.alias("resume_id")), "resume_id", "left_semi").select("jd_id", "resume_id")
+    pairs = keys.select(own.alias("jd_id"), F.explode(F.array(own, own + 1)).alias("resume_id")).join(dealt(keys.select(own.alias("resume_id"))), "resume_id", "left_semi").select("jd_id", "resume_id")
     out = match.match(pairs, needs, skills, profiles, TIER_SKILLS, match.MatchConfig(encode=near))
     return out.select("jd_id", "resume_id", "req_pos", "status", "method", F.round("score", 4).alias("score"), "matched_as", F.round("similarity", 4).alias("similarity"))
 

@@ -97,7 +97,7 @@ def plans(monkeypatch):
     return held
 
 
-@pytest.mark.parametrize("name", ["cascade_match"])
+@pytest.mark.parametrize("name", ["cascade_match", "match_tiers", "case_evaluation", "case_summary"])
 def test_nothing_that_grows_with_the_tables_is_broadcast(spark, plans, name):
     out = queries.queries()[name](spark, SF)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
