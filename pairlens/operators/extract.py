@@ -9,6 +9,7 @@ from pairlens.dims import SkillDictionary
 from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 from pairlens.operators.lines import clause_context, evidence
+from pairlens.plans.stages import dealt
 
 REQUIREMENT = ["doc_id", "req_pos", "name", "category", "importance", "min_years", "evidence"]
 SKILL = ["doc_id", "skill_pos", "name", "category", "proficiency", "years", "evidence"]
@@ -54,7 +55,7 @@ def requirements(lines: DataFrame, skills: SkillDictionary, most: int | None = P
         X.importance(F.col("text")).alias("importance"), F.lit(None).cast("double").alias("min_years"), evidence().alias("evidence"),
     )
     covered = hits.select("doc_id", "line_no").distinct()
-    rest = known.where(~F.col("_degree") & (F.col("is_bullet") | X.is_labelled(F.col("text")))).where(X.has_action_verb(plain)).join(covered, ["doc_id", "line_no"], "left_anti")
+    rest = known.where(~F.col("_degree") & (F.col("is_bullet") | X.is_labelled(F.col("text")))).where(X.has_action_verb(plain)).join(dealt(covered), ["doc_id", "line_no"], "left_anti")
     rest = rest.withColumn("_clause", X.without_label(plain)).where(F.length("_clause") >= 12)
     phrase = X.requirement_phrase(X.clean_markdown(F.col("_clause")))
     clauses = rest.select(
@@ -156,5 +157,5 @@ def resume_profiles(docs: DataFrame, lines: DataFrame, certificates: DataFrame,
     """One row for each document: total_years, highest_education, education_evidence, certifications."""
     out = docs.select("doc_id")
     for part in (total_years(lines, as_of), education(lines), certificates):
-        out = out.join(part, "doc_id", "left")
+        out = out.join(dealt(part), "doc_id", "left")
     return out.withColumn("certifications", F.coalesce("certifications", F.array().cast("array<string>")))

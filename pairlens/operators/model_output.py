@@ -19,6 +19,7 @@ from pairlens.functions import patterns as P
 from pairlens.functions import text as X
 from pairlens.operators.extract import REQUIREMENT, SKILL, first_by
 from pairlens.operators.lines import chunks, resolve_quotes
+from pairlens.plans.stages import dealt
 
 EVIDENCE_JSON = "struct<text:string,line:int>"
 JD_JSON = f"title string, company string, requirements array<struct<name:string,category:string,importance:string,min_years:double,evidence:{EVIDENCE_JSON}>>"
@@ -77,7 +78,7 @@ def canonical_names(rows: DataFrame, key: list[str], dictionary: SkillDictionary
     tried = rows.select(*key, F.posexplode(F.concat(F.array("name"), name_variants(F.col("name")))).alias("_at", "_variant"))
     known = dictionary.with_canonical(tried, F.col("_variant"), "_canonical").where(F.col("_canonical").isNotNull())
     best = known.groupBy(*key).agg(F.min_by("_canonical", "_at").alias("_canonical"))
-    return rows.join(best, key, "left").withColumn(out, F.coalesce("_canonical", "name")).drop("_canonical")
+    return rows.join(dealt(best), key, "left").withColumn(out, F.coalesce("_canonical", "name")).drop("_canonical")
 
 
 def label_keys(rows: DataFrame, key: list[str], dictionary: SkillDictionary, out: str = "label_key") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import patterns as P
 from pairlens.operators.match import PAIR, MatchConfig
+from pairlens.plans.stages import dealt
 
 OUTCOME = ["req_pos", "name", "category", "importance", "min_years", "evidence", "weight", "status", "score", "matched_as", "matched_proficiency", "resume_evidence", "method", "similarity", "explanation"]
 
@@ -84,7 +85,7 @@ def reports(pairs: DataFrame, outcomes: DataFrame, profiles: DataFrame, postings
         overall_score().alias("overall_score"), must_coverage(config.partial_credit).alias("must_have_coverage"), gated().alias("_blocked"),
         F.collect_list(F.struct(*OUTCOME)).alias("_all"), F.count(F.lit(1)).alias("n_requirements"), F.count_if(F.col("importance") == "must").alias("n_musts"), F.max(F.length("name")).alias("_longest"),
     )
-    held = pairs.select(*PAIR).join(rows, PAIR, "left").join(profiles.select(F.col("doc_id").alias("resume_id"), "total_years", "highest_education", "certifications", "resume_extractor", "degraded"), "resume_id", "left").join(postings.withColumnRenamed("doc_id", "jd_id"), "jd_id", "left")
+    held = pairs.select(*PAIR).join(dealt(rows), PAIR, "left").join(dealt(profiles.select(F.col("doc_id").alias("resume_id"), "total_years", "highest_education", "certifications", "resume_extractor", "degraded")), "resume_id", "left").join(dealt(postings.withColumnRenamed("doc_id", "jd_id")), "jd_id", "left")
     kind = dict(rows.dtypes)["_all"]
     held = held.withColumns({
         "_all": F.coalesce("_all", F.array().cast(kind)), "overall_score": F.coalesce("overall_score", F.lit(0.0)), "must_have_coverage": F.coalesce("must_have_coverage", F.lit(1.0)),

@@ -15,7 +15,7 @@ from pairlens.operators.lines import read_lines
 from pairlens.operators.match import MatchConfig, match
 from pairlens.operators.model_output import merge_requirements, model_requirements, model_skills
 from pairlens.operators.score import reports
-from pairlens.plans.stages import staged
+from pairlens.plans.stages import dealt, staged
 
 Backend = Literal["auto", "llm", "rules"]
 
@@ -63,7 +63,7 @@ def analyze(
         found, told = staged(found, "model-requirements"), staged(told, "model-facts")
         needs = merge_requirements(found, needs, dictionary)
         read = found.select("doc_id").distinct().withColumn("_read", F.lit(True))
-        heads = heads.withColumnRenamed("title", "_title").join(told.select("doc_id", "title", "company"), "doc_id", "left").join(read, "doc_id", "left")
+        heads = heads.withColumnRenamed("title", "_title").join(dealt(told.select("doc_id", "title", "company")), "doc_id", "left").join(dealt(read), "doc_id", "left")
         heads = heads.select("doc_id", F.coalesce("title", "_title").alias("title"), "company", "seniority", F.when(F.col("_read"), "model").otherwise("rules").alias("jd_extractor"))
         skills, facts = model_skills(resume_lines, model, skills, dictionary)
         facts = staged(facts, "model-resumes")
@@ -74,7 +74,7 @@ def analyze(
     if facts is None:
         profiles = profiles.withColumns({"resume_extractor": F.lit("rules"), "degraded": F.lit(True)})
     else:
-        profiles = profiles.join(facts, "doc_id", "left").withColumn("resume_extractor", F.when(F.col("degraded").isNotNull(), "model").otherwise("rules")).withColumn("degraded", F.coalesce("degraded", F.lit(True)))
+        profiles = profiles.join(dealt(facts), "doc_id", "left").withColumn("resume_extractor", F.when(F.col("degraded").isNotNull(), "model").otherwise("rules")).withColumn("degraded", F.coalesce("degraded", F.lit(True)))
     profiles = staged(profiles, "profiles")
     outcomes = staged(match(pairs, needs, skills, profiles, dictionary, config), "outcomes")
     return Analysis(jd_lines, resume_lines, needs, skills, profiles, outcomes, reports(pairs, outcomes, profiles, heads, config))
