@@ -10,7 +10,7 @@ from pairlens.functions import patterns as P
 from pairlens.operators.match import MatchConfig
 from pairlens.operators.model_output import label_keys
 from pairlens.plans.analyze import analyze
-from pairlens.plans.stages import staged
+from pairlens.plans.stages import dealt, staged
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -33,23 +33,23 @@ def evaluate(cases: DataFrame, as_of: tuple[int, int], *, dictionary: SkillDicti
     wanted = cases.select("id", F.explode("expected_matched").alias("name"), F.lit("matched").alias("side")).unionByName(cases.select("id", F.explode("expected_missing").alias("name"), F.lit("missing").alias("side")))
     every = said.select("id", "name").unionByName(wanted.select("id", "name")).distinct()
     keys = staged(label_keys(staged(every, "labels"), ["id", "name"], dictionary), "label-keys")
-    got = said.join(keys, ["id", "name"]).select("id", "side", "name", "label_key").distinct()
-    want = wanted.join(keys, ["id", "name"])
-    met = want.join(got.select("id", "side", "label_key", F.lit(True).alias("_met")).distinct(), ["id", "side", "label_key"], "left")
+    got = said.join(dealt(keys), ["id", "name"]).select("id", "side", "name", "label_key").distinct()
+    want = wanted.join(dealt(keys), ["id", "name"])
+    met = want.join(dealt(got.select("id", "side", "label_key", F.lit(True).alias("_met")).distinct()), ["id", "side", "label_key"], "left")
     matched = F.col("side") == "matched"
     hits = met.groupBy("id").agg(
         F.count_if(matched & F.col("_met").isNotNull()).alias("tp"), F.count_if(matched & F.col("_met").isNull()).alias("fn"),
         F.count_if(~matched & F.col("_met").isNotNull()).alias("gap_tp"), F.count_if(~matched & F.col("_met").isNull()).alias("gap_fn"),
         F.array_sort(F.collect_list(F.when(matched & F.col("_met").isNull(), F.col("name")))).alias("unmatched_expected"),
     )
-    extra = got.where(matched).join(want.select("id", "label_key").distinct(), ["id", "label_key"], "left_anti")
+    extra = got.where(matched).join(dealt(want.select("id", "label_key").distinct()), ["id", "label_key"], "left_anti")
     extra = extra.groupBy("id").agg(F.count(F.lit(1)).alias("fp"), F.array_sort(F.collect_list("name")).alias("unexpected_matched"))
     cited = said.where((F.col("side") == "matched") & F.col("resume_evidence").isNotNull()).select("id", F.col("resume_evidence.line").alias("line_no"), F.col("resume_evidence.text").alias("_quote"))
-    there = cited.join(run.resume_lines.select(F.col("doc_id").alias("id"), "line_no", "text"), ["id", "line_no"], "left")
+    there = cited.join(dealt(run.resume_lines.select(F.col("doc_id").alias("id"), "line_no", "text")), ["id", "line_no"], "left")
     bad = there.groupBy("id").agg(F.count_if(~F.coalesce(F.col("text").contains(F.col("_quote")), F.lit(False))).alias("bad_evidence"))
-    out = cases.select("id", "expected_verdict").join(run.reports.select(F.col("jd_id").alias("id"), F.col("verdict").alias("predicted_verdict"), "overall_score", "must_have_coverage"), "id", "left")
+    out = cases.select("id", "expected_verdict").join(dealt(run.reports.select(F.col("jd_id").alias("id"), F.col("verdict").alias("predicted_verdict"), "overall_score", "must_have_coverage")), "id", "left")
     for part in (hits, extra, bad):
-        out = out.join(part, "id", "left")
+        out = out.join(dealt(part), "id", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("tp", "fn", "gap_tp", "gap_fn", "fp", "bad_evidence")} | {c: F.coalesce(c, empty) for c in ("unmatched_expected", "unexpected_matched")})
 
