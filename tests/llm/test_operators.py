@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -773,3 +774,15 @@ def test_anchors_lose_nothing():
     for t in known:
         bare = [b for b in t.bigrams if not any(s in b for s in signs)]
         assert len(bare) < math.ceil(0.8 * len(t.bigrams) / 1.2 - 1e-9)
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(60)] + [(int(a), int(b)) for a, b in draw.integers(100, 400, (220, 2))] + [(7, 7), (5_000_000_000, 3)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few links")
+    few = components(links)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(sys.modules[components.__module__], "FEW", 0)
+    assert sorted(few.collect()) == sorted(components(links).collect()) and 0 < jobs <= 12
